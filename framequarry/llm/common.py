@@ -65,8 +65,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of an input (file sizes for files), without running anything."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(size, 1 << 60)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0  # the planner's "unknown": rows made on the driver
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -139,5 +139,15 @@ def batches_of(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -
         at = to
 
 
+def kept_ddl(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """The DDL of columns that a map passes through unchanged (doc_id is always there)."""
+    return "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep if c != "doc_id")
+
+
+def with_kept(out: pa.RecordBatch, batch: pa.RecordBatch, keep: tuple[str, ...]) -> pa.RecordBatch:
+    also = [c for c in keep if c != "doc_id"]
+    return pa.RecordBatch.from_arrays([*out.columns, *(batch.column(c) for c in also)], names=[*out.schema.names, *also]) if also else out
+
+
 def record(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)

@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, batches_of, record, text_key
+from .common import arrow_batches, batches_of, kept_ddl, record, text_key, with_kept
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -201,26 +202,30 @@ _FOUND = "doc_id long, tk long, n_words long, spans array<int>, items array<stri
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
-def find_phrases(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, tk (a hash of the text), n_words, merged spans by word, items; one row for each row.
+def find_phrases(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tk (a hash of the text), n_words, merged spans by word, items and columns to keep; one row for each row.
 
     One block needs no shuffle at all. Several are united by document.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    slim = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
+    slim = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text", *(c for c in keep if c not in ("doc_id", "text")))
     passes = []
-    for phrases in phrase_blocks(benchmark):
+    blocks = phrase_blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    alone = second is None
+    for phrases in chain([first], [] if alone else [second], blocks):
         sent = spark.sparkContext.broadcast(phrases)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in batches_of(whole, most=SHARD_BYTES):
                     counts, spans, items = sent.value.in_shard(batch.column("text").to_pylist())
-                    yield record(_FOUND_ARROW, doc_id=batch.column("doc_id"), tk=batch.column("tk"), n_words=counts, spans=spans, items=items)
+                    out = record(_FOUND_ARROW, doc_id=batch.column("doc_id"), tk=batch.column("tk"), n_words=counts, spans=spans, items=items)
+                    yield with_kept(out, batch, keep if alone else ())
 
-        passes.append(slim.mapInArrow(run, _FOUND))
-    if len(passes) == 1:
+        passes.append(slim.mapInArrow(run, _FOUND + (kept_ddl(docs, keep) if alone else "")))
+    if alone:
         return passes[0]
     united = passes[0]
     for other in passes[1:]:
@@ -232,7 +237,11 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield record(_FOUND_ARROW, doc_id=batch.column("doc_id"), tk=batch.column("tk"), n_words=batch.column("n_words"), spans=[merged(x) for x in batch.column("spans").to_pylist()], items=batch.column("items"))
 
-    return grouped.select("*", F.explode("copy")).drop("copy", "col").mapInArrow(merge, _FOUND)
+    found = grouped.select("*", F.explode("copy")).drop("copy", "col").mapInArrow(merge, _FOUND)
+    if not keep:
+        return found
+    once = found.dropDuplicates(["doc_id", "tk"]).withColumnRenamed("doc_id", "did").withColumnRenamed("tk", "key")
+    return slim.join(once, F.col("doc_id").eqNullSafe(F.col("did")) & (F.col("tk") == F.col("key"))).select("doc_id", "tk", "n_words", "spans", "items", *(c for c in keep if c != "doc_id"))
 
 
 def merged(lists: list[list[int]]) -> list[int]:

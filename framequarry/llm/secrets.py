@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches, batches_of, record
+from .common import arrow_batches, batches_of, kept_ddl, record, with_kept
 
 #: Fixed values of the scan's contract: the strong kinds, in the order ties are listed.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -116,8 +116,8 @@ def redact(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the redacted text if asked for.
+def scan_documents(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, the redacted text if asked for, and columns to keep.
 
     A narrow map: no shuffle, whole texts, one row for each row.
     """
@@ -135,7 +135,7 @@ def scan_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 columns |= {"base_sha256": [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], "spans": [written(spans) for _, spans in found]}
                 if with_text:
                     columns["redacted"] = [redact(t, s) if s else t for t, (_, s) in zip(texts, found, strict=True)]
-                yield record(schema, **columns)
+                yield with_kept(record(schema, **columns), batch, keep)
 
     kinds = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * with_text
-    return docs.select("doc_id", "text").mapInArrow(run, kinds)
+    return docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text"))).mapInArrow(run, kinds + kept_ddl(docs, keep))
