@@ -34,7 +34,7 @@ BLOCK = 1 << 16
 MAGIC = b"FQBP\x01\x00\x00\x00"
 END_ID = 2
 FILE_BYTES = 16 << 20
-MEMO = 300_000
+MEMO = 250_000
 LEVEL = 3
 
 
@@ -145,37 +145,80 @@ class Reader:
             held, have = [joined[length:]], have - length
 
 
+#: The tokenizer's own split of a text (fixed value), and the line ends we put between parts.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies spell each byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that lets no token span ASCII white space; remembers the parts it has met."""
+    """Encodes texts with a tokenizer that lets no token span ASCII white space; remembers what it has met.
 
-    MARK = "\x01"
+    Parts between white space are encoded once each. Most of them (no character from U+0250 on, where
+    normal forms and cases are plain) are lower-cased and split here, and only their pieces, all in one
+    text, go to a copy of the tokenizer without those steps; the ends of words in the ids part them
+    again. All other parts go through the whole tokenizer one by one.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.split, self.wide, self.letters = regex.compile(_SPLIT).findall, regex.compile(r"[^\x00-\u024f]").search, _byte_letters()
         self.known: dict[bytes, bytes] = {}
-        mark = self._ids(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        spelt = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        parts = self.bare.encode_batch_fast([" ".join(spelt[k : k + 256]) for k in range(0, len(spelt), 256)], add_special_tokens=False)
+        ids = np.array([i for x in parts for i in x.ids], "<u4")
+        cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cut) != len(pieces):
+            raise ValueError("the tokenizer joins parts across white space")
+        raw, at, out = ids.tobytes(), 0, {}
+        for piece, end in zip(pieces, cut, strict=True):
+            out[piece] = raw[4 * at : 4 * end]
+            at = end
+        return out
 
     def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new parts: all in one text with a mark between, whose id no other part can have."""
+        """Ids of new parts."""
         texts = [p.decode() for p in parts]
-        plain = [k for k, t in enumerate(texts) if self.mark is not None and self.MARK not in t]
-        out = {parts[k]: np.array(self._ids(t), "<u4").tobytes() for k, t in enumerate(texts) if self.mark is None or self.MARK in t}
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self._ids(f" {self.MARK} ".join([texts[k] for k in some])), "<u4")
-            cut = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for k, a, b in zip(some, cut, cut[1:], strict=False):
-                out[parts[k]] = raw[4 * (a + 1) : 4 * b]
-            if len(cut) != len(some) + 1:
-                raise ValueError("the tokenizer joins parts across white space")
+        hard = [k for k, t in enumerate(texts) if not t.isascii() and self.wide(t)]
+        out = {parts[k]: ids for k, ids in zip(hard, self._ids([texts[k] for k in hard]), strict=True)}
+        skip = set(hard)
+        plain = [k for k in range(len(texts)) if k not in skip]
+        found = self.split("\n".join([texts[k] for k in plain]).lower())
+        if len(self.pieces) >= MEMO:
+            self.pieces.clear()
+        known = self.pieces
+        fresh = list({p for p in found if p not in known and p != "\n"})
+        learnt = self._pieces(fresh) if fresh else {}
+        known.update((p, ids) for p, ids in learnt.items() if len(p) <= 64)
+        if any(len(p) > 64 for p in learnt):
+            known = known | learnt
+        held, turn = [], iter(plain)
+        for piece in [*found, "\n"] if plain else []:
+            if piece == "\n":
+                out[parts[next(turn)]] = held[0] if len(held) == 1 else b"".join(held)
+                held = []
+            else:
+                held.append(known[piece])
         return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
