@@ -27,7 +27,7 @@ def classify(status: Column, code: Column) -> Column:
 
 def retry_after_seconds(header: Column, now: Column) -> Column:
     """Seconds to wait: a number, or an HTTP date less now; never negative; null if it is neither."""
-    number = F.expr("try_cast(null as double)") if header is None else header.try_cast("double")
+    number = header.try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
     wait = F.coalesce(number, date.cast("double") - now.cast("double"))
     return F.when(wait.isNotNull() & ~F.isnan(wait), F.greatest(wait, F.lit(0.0)))
@@ -35,7 +35,7 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
 
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """Wait before the next attempt (0 first): what the vendor asks, at most half a minute, or doubling."""
-    return F.coalesce(F.least(retry_after, F.lit(LONGEST_WAIT)), FIRST_WAIT * F.pow(F.lit(2.0), attempt))
+    return F.when(retry_after.isNotNull(), F.least(retry_after, F.lit(LONGEST_WAIT))).otherwise(FIRST_WAIT * F.pow(F.lit(2.0), attempt))
 
 
 def poll_interval_ms(turn: Column) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import mask_queries, pixel_queries  # noqa: F401  (they register their queries)
+from . import job_queries, mask_queries, pixel_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES  # noqa: F401
