@@ -1,0 +1,476 @@
+"""Each training-data operator against a brute-force version, and on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from framequarry.llm import bitplanes, bpe, decontaminate, langid, minhash, pii, quality, secrets, simhash, substrings
+from framequarry.llm.common import table
+
+WORD = re.compile("[^\x20\x09-\x0D]+")
+KINDS = "doc_id long, text string, lang string, source string, n_chars long, spans string, key int"
+
+
+def awkward(spark):
+    """Null, empty and blank texts, ties, repeated rows, a null id, clashing extra columns, one long text."""
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(20_000))
+    texts = [None, "", " \n\t ", "one", "one", "The quick brown fox jumps over the lazy dog again.", long, long]
+    rows = [(k, t, "en", "s", 1, "x", 0) for k, t in enumerate(texts)]
+    rows += [rows[5], (None, "no id here at all", None, None, None, None, None)]
+    return spark.createDataFrame(rows, KINDS)
+
+
+def upper_only(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+# -- op 1 -------------------------------------------------------------------------------------
+
+
+def brute_substrings(rows):
+    seen = {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 19):
+            seen.setdefault(tuple(w[k : k + 20]), (d, k))
+    out = set()
+    for d, t in rows:
+        w, gone = WORD.findall(t or ""), set()
+        for k in range(len(w) - 19):
+            if seen[tuple(w[k : k + 20])] < (d, k):
+                gone |= set(range(k, k + 20))
+        out.add((d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return out
+
+
+def repeated_texts(seed: int, n: int):
+    rng = random.Random(seed)
+    rows = [(0, None), (1, ""), (2, " \n ")]
+    for k in range(n):
+        size, w = rng.choice([2, 3, 30, 500]), []
+        while len(w) < rng.randint(0, 200):
+            c = rng.random()
+            if c < 0.2 and len(rows) > 5 and rows[-1][1]:
+                s = rng.choice(rows[3:])[1].split()
+                a = rng.randint(0, len(s))
+                w += s[a : a + rng.randint(5, 60)]
+            elif c < 0.3:
+                w += [rng.choice("ab")] * rng.randint(1, 45)
+            else:
+                w += [f"w{rng.randint(0, size)}" for _ in range(rng.randint(1, 30))]
+        rows.append((k + 3, rng.choice([" ", "\n", "  "]).join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_substrings_equal_brute_force(spark):
+    rows = repeated_texts(4, 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in substrings.dedup_substrings(df).collect()} == brute_substrings(rows)
+
+
+def test_recompression_names_equal_stretches_alike():
+    rng = random.Random(3)
+    middle = " ".join(f"m{rng.randint(0, 9)}" for _ in range(60)).encode()
+    raws = [b"a b c d " + middle + b" x y", b"q " + middle + b" z z z z"]
+    keys = []
+    for raw in raws:
+        w = substrings.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        e = substrings.chunk_entries(w, np.zeros(1, np.int64), np.zeros(1, np.int32))
+        keys.append(set(e["key"].tolist()))
+    assert len(keys[0] & keys[1]) >= 3
+
+
+# -- op 2 -------------------------------------------------------------------------------------
+
+
+def brute_simhash(rows):
+    import xxhash
+
+    prints = {}
+    for d, t in rows:
+        w = WORD.findall(upper_only(t or ""))
+        shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
+        hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    ids = sorted(prints)
+    up = {d: d for d in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    return {(d, f"{prints[d]:016x}", root(d)) for d in ids}
+
+
+@pytest.mark.parametrize("block", [4096, 32])
+def test_simhash_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(60)]
+    rows = [(0, None), (1, ""), (2, "  \n"), (3, "one two"), (4, "One Two")]
+    for k in range(200):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randint(0, 59)] = f"z{rng.randint(0, 9)}"
+        rows.append((10 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in simhash.near_duplicates(df).collect()} == brute_simhash(rows)
+
+
+# -- op 3 -------------------------------------------------------------------------------------
+
+
+def test_base_spans_and_digest(spark):
+    key, hexes = "AKIA" + "A1" * 8, "0123456789abcdef01234567"
+    text = f'é PassWord = "hunter22" token: ab secret=token:abcdefg {key} AKIASHORT {hexes} 0123 API-KEY=zzzzzz api_key=zzzzzz'
+    base = secrets.base_spans(text)
+    assert [(k, text[s:e]) for k, s, e in base] == [("assign", 'PassWord = "hunter22'), ("access", key), ("hex", hexes), ("assign", "api_key=zzzzzz")]
+    row = secrets.scan_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (2, 1, 1)
+    assert row.base_sha256 == hashlib.sha256(secrets.written(base).encode()).hexdigest()
+
+
+def test_a_short_match_still_consumes():
+    assert secrets.base_spans("token=token:abcdefgh") == []
+
+
+def test_weak_parts_need_each_other():
+    weak = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6kL9n"
+    alone, linked = f"see {weak} here", f"user=alice and {weak} here"
+    assert secrets.scan(alone)[1] == []
+    assert [k for k, _, _ in secrets.scan(linked)[1]] == ["identifier", "candidate"]
+    assert secrets.scan(f"user=alice\n\n{weak}")[1] == []  # another paragraph
+    assert secrets.scan("user=alice" + " x" * 300 + f" {weak}")[1] == []  # out of reach
+    assert secrets.redact(linked, secrets.scan(linked)[1]) == "[SECRET] and [SECRET] here"
+
+
+# -- op 4 -------------------------------------------------------------------------------------
+
+_TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def brute_decontamination(texts, items):
+    windows = {}
+    for i, t in items:
+        w = _TOKEN.findall(upper_only(t or ""))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+    out = []
+    for t in texts:
+        w, hit, found = _TOKEN.findall(upper_only(t or "")), set(), set()
+        for size in {len(k) for k in windows}:
+            for k in range(len(w) - size + 1):
+                if owners := windows.get(tuple(w[k : k + size])):
+                    found |= owners
+                    hit |= set(range(k, k + size))
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+def test_fm_index_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(25):
+        vocabulary = ["a", "b", "c", "Dd", "é", "x1"]
+        items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.choice([0, 3, 10, 12, 15])))) for i in range(8)]
+        texts = [None, "", "a " * 300] + [" ".join(rng.choices(vocabulary + ["zz"], weights=[3] * 6 + [0.3], k=rng.randint(0, 200))) for _ in range(15)]
+        counts, spans, found = decontaminate.Phrases([(i, decontaminate.words_of(t)) for i, t in items]).in_shard(texts)
+        mine = [(n, sum(b - a for a, b in zip(s[::2], s[1::2])), f) for n, s, f in zip(counts, spans, found)]
+        assert mine == brute_decontamination(texts, items)
+
+
+def test_blocks_of_phrases_are_united(spark, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(14))
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (2, "clean"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, " ".join(item.split()[2:])), (None, item), (9, None)], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
+    assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect())) == whole
+    assert whole[0] == (1, 16, 14, 2, hashlib.sha256(b"7,8").hexdigest(), True)
+    kept = decontaminate.find_phrases(docs, bench, keep=("doc_id", "text")).where("size(spans) = 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3]
+
+
+# -- op 5 -------------------------------------------------------------------------------------
+
+
+def test_trees_learn_and_walk_like_one_by_one():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, len(quality.FEATURES)))
+    y = ((x[:, 3] > 0.2) ^ (x[:, 7] < -0.5)).astype(float)
+    trees = quality.grow(x[:2000], y[:2000])
+    assert ((trees.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    row, total = x[2500], trees.base
+    for at in trees.roots.tolist():
+        while trees.left[at] != at:
+            at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+        total += trees.value[at]
+    assert trees.margin(x[2500:2501])[0] == pytest.approx(total)
+
+
+def test_quality_is_good_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    truth = {r.doc_id: r.quality for r in table(spark, d, "labels").collect()}
+    rows = [r for r in got.collect() if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.9
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+# -- op 6 -------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def network(spark):
+    return langid.learnt(table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def test_languages_of_held_out_rows(spark, network):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = [r for r in langid.identify(docs, network).collect() if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.95
+
+
+def test_fast_prediction_equals_the_training_network(network):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 123, (5, 40)).astype(np.uint8)
+    strips = np.concatenate([np.full((5, langid.LEAD), 32, np.uint8), data, np.full((5, langid.LEAD), 32, np.uint8)], axis=1)
+    _, ahead = network._forward("f", strips)
+    _, behind = network._forward("b", strips[:, ::-1])
+    logits = np.concatenate([ahead, behind[::-1]], axis=2) @ network.weights["out"] + network.weights["bias"]
+    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    fast = network.positions(strips)
+    assert np.allclose(fast.transpose(1, 2, 0), p[langid.LEAD : -langid.LEAD], atol=1e-4)
+
+
+def test_gradients_are_right():
+    net = langid.Network(["a", "b"], seed=3)
+    data, label = np.random.default_rng(1).integers(0, 256, (2, 5)).astype(np.uint8), np.array([0, 1])
+
+    def loss() -> float:
+        _, ahead = net._forward("f", data)
+        _, behind = net._forward("b", data[:, ::-1])
+        logits = (np.concatenate([ahead, behind[::-1]], axis=2) @ net.weights["out"] + net.weights["bias"]).astype(np.float64)
+        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        return -logits[:, np.arange(2), label].mean()
+
+    net.weights = {k: w.astype(np.float64) for k, w in net.weights.items()}
+    tape_f, ahead = net._forward("f", data)
+    tape_b, behind = net._forward("b", data[:, ::-1])
+    both = np.concatenate([ahead, behind[::-1]], axis=2).astype(np.float64)
+    logits = both @ net.weights["out"] + net.weights["bias"]
+    p = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
+    p[:, np.arange(2), label] -= 1
+    p /= p.shape[0] * p.shape[1]
+    grads = {k: np.zeros_like(w) for k, w in net.weights.items()}
+    g = p @ net.weights["out"].T
+    net._backward("f", data, tape_f, g[:, :, : langid.HIDDEN], grads)
+    for name in ("candf", "gatef"):
+        w = net.weights[name]
+        before = w[1, 2]
+        w[1, 2] = before + 1e-3
+        up = loss()
+        w[1, 2] = before - 1e-3
+        down = loss()
+        w[1, 2] = before
+        assert grads[name][1, 2] == pytest.approx((up - down) / 2e-3, abs=2e-4)
+
+
+# -- op 7 -------------------------------------------------------------------------------------
+
+
+def test_fingerprint_bins_and_edits(spark):
+    import xxhash
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in minhash.fingerprint_neighbours(docs).collect()}
+
+    def shingles(t):
+        w = WORD.findall(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    errors = []
+    for k, (d, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        a, b = shingles(t), shingles(edited)
+        errors.append(got[d].near_edited - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.08
+    d, t = rows[0]
+    least = {}
+    for s in shingles(t):
+        h = 42
+        for w in s:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        least[h & 127] = min(h >> 16, least.get(h & 127, 1 << 64))
+    f = got[d].fingerprint
+    assert all(int(f[2 * b : 2 * b + 2], 16) == v & 255 for b, v in least.items())
+
+
+def test_equal_texts_and_single_documents(spark):
+    df = spark.createDataFrame([(5, None), (None, "a b c d e f g"), (1, ""), (3, "x"), (3, "x")], "doc_id long, text string")
+    rows = minhash.fingerprint_neighbours(df).collect()
+    assert len(rows) == 5 and len({r.fingerprint for r in rows if r.doc_id == 3}) == 1
+    alone = minhash.fingerprint_neighbours(df.where("doc_id = 3").limit(1)).first()
+    assert alone.near_next == 1.0
+
+
+# -- op 8 -------------------------------------------------------------------------------------
+
+
+def test_pseudonyms_keep_format_and_link(spark):
+    rows = [(1, "card 4111 1111 1111 1111 and 4111-1111-1111-1111, bad 4111111111111112"), (2, "ip 12.84.156.107. bad 300.1.1.1 on 1999-12-31 or 12/31/1999, bad 31.04.2000"), (3, "+1 (325) 555-8094 and 325-555-8094"), (4, "John.Doe99@mail.example.com"), (5, None), (6, "john.doe99@mail.example.com x")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", got[1].text)
+    assert got[1].n_card == 2 and cards[0].replace(" ", "") == cards[1].replace("-", "") and "4111111111111112" in got[1].text
+    digits = [int(c) for c in re.sub(r"\D", "", cards[0])]
+    assert sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    assert got[2].n_ip == 1 and got[2].n_date == 2 and "300.1.1.1" in got[2].text and "31.04.2000" in got[2].text and "12.84.156.107" not in got[2].text
+    assert re.sub(r"\D", "", got[3].text[:17])[1:] == re.sub(r"\D", "", got[3].text[22:]) and got[3].text.startswith("+1 (")
+    assert got[5].text is None and got[4].text == got[6].text[:-2] != "john.doe99@mail.example.com"
+
+
+def test_permutations_are_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    dates = spark.range(pii.DAYS).select(F.date_format(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m"))
+    assert dates.select(pii._date("k", F.col("m")).alias("x")).distinct().count() == pii.DAYS
+    numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("m"))
+    assert numbers.select(pii.permute_digits("k", "x", F.col("m")).alias("x")).distinct().count() == 1000
+
+
+# -- op 9 -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("bits", [True, False])
+def test_planes_round_trip(bits):
+    import pyarrow as pa
+
+    rng, sink = np.random.default_rng(4), pa.BufferOutputStream()
+    docs = [rng.integers(0, 1 << 32, rng.integers(0, 90_000), dtype=np.uint64).astype("<u4") for _ in range(8)]
+    writer = bitplanes.Writer(sink, bits)
+    for k, ids in enumerate(docs):
+        writer.add(None if k == 0 else k, ids)
+    writer.close()
+    reader = bitplanes.Reader(pa.BufferReader(sink.getvalue()))
+    back = list(reader.documents())
+    assert [d for d, _ in back] == [None, *range(1, 8)] and all((a == b).all() for (_, a), b in zip(back, docs))
+    assert (np.concatenate([reader.block(k) for k in range(len(reader.blocks))]) == np.concatenate(docs)).all()
+
+
+def test_words_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = bitplanes.default_tokenizer(), random.Random(2)
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    letters = [*"abC '  \n\t\r\xa0\x1c\x85́éñΣİ12٣!?_\x01", "the", "'s", "中", "😀", "<|endoftext|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert bitplanes.word_encoder(path).encode_all(texts) == want
+
+
+def test_files_give_back_every_document(spark):
+    from tokenizers import Tokenizer
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    whole, at, want = Tokenizer.from_file(bitplanes.default_tokenizer()), 0, set()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        ids = [*whole.encode(r.text, add_special_tokens=False).ids, 2]
+        want.add((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert {tuple(r) for r in bitplanes.round_trip(docs).collect()} == want
+
+
+# -- op 10 ------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_tiktoken():
+    import tiktoken
+
+    path, pattern = bpe.default_ranks()
+    coder = bpe.text_coder(path, pattern)
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder.coder.ranks, special_tokens={})
+    rng = random.Random(3)
+    letters = [*"abc '  \n\t\r\xa0 \x1c\x85́ßéñ12٣!?_-$$'s'tll", "  ", "\n\n", "the", " is", "中文", "😀", "\0", "aaaaaaaa"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    got = coder.encode_all(texts)
+    assert got == [np.array(other.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert all(coder.decode(ids) == t.encode() for ids, t in zip(got, texts))
+
+
+def test_appends_and_edits_equal_a_fresh_encoding():
+    path, pattern = bpe.default_ranks()
+    coder, rng = bpe.text_coder(path, pattern).coder, random.Random(9)
+    data = bytes(rng.choices(b"the quick brown fox's lazy dogs ", k=400))
+    grown = bpe.PrefixEncoding(coder)
+    for k in range(0, 400, 7):
+        grown.append(data[k : k + 7])
+    assert grown.last == bpe.PrefixEncoding(coder, data).last
+    for _ in range(20):
+        a = rng.randint(0, len(grown.data))
+        b = rng.randint(a, min(len(grown.data), a + 9))
+        new = bytes(rng.choices(b"the and of", k=rng.randint(0, 8)))
+        computed = grown.edit(a, b, new)
+        fresh = bpe.PrefixEncoding(coder, bytes(grown.data))
+        assert grown.last == fresh.last and grown.ids() == fresh.ids()
+        assert computed <= len(grown.data)
+    assert coder.decode(grown.ids()) == bytes(grown.data)
+
+
+# -- awkward rows for all ---------------------------------------------------------------------
+
+
+def all_operators(spark, docs, network):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    return {
+        "substrings": substrings.dedup_substrings(docs),
+        "simhash": simhash.near_duplicates(docs),
+        "secrets": secrets.scan_documents(docs),
+        "contamination": decontaminate.contamination(docs, bench),
+        "quality": quality.score_quality(docs, labels),
+        "language": langid.identify(docs, network),
+        "minhash": minhash.fingerprint_neighbours(docs),
+        "pii": pii.pseudonymise(docs),
+        "bitplanes": bitplanes.round_trip(docs),
+        "bpe": bpe.encode_documents(docs),
+    }
+
+
+def test_awkward_rows(spark, network):
+    docs = awkward(spark)
+    got = {name: df.collect() for name, df in all_operators(spark, docs, network).items()}
+    assert {name: len(rows) for name, rows in got.items()} == dict.fromkeys(got, docs.count())
+    by_id = {name: {r.doc_id: r for r in rows} for name, rows in got.items()}
+    assert by_id["substrings"][6].n_removed == 0 and by_id["substrings"][7].n_removed == 20_000
+    assert by_id["language"][0].lang_pred == by_id["language"][2].lang_pred == "und"
+    assert by_id["contamination"][5].contaminated and not by_id["contamination"][6].contaminated
+    assert by_id["simhash"][0].fingerprint == "0" * 16 and by_id["simhash"][7].component_id == 6
+    assert by_id["minhash"][6].fingerprint == by_id["minhash"][7].fingerprint
+
+
+def test_empty_tables(spark, network):
+    for name, df in all_operators(spark, awkward(spark).limit(0), network).items():
+        assert df.collect() == [], name
+    assert langid.learnt(awkward(spark).limit(0)).languages == ["und"]
