@@ -191,7 +191,8 @@ def resize(field: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
     if field.shape[:2] == (out_h, out_w):
         return field
     rows, cols = _weights(field.shape[0], out_h, kind), _weights(field.shape[1], out_w, kind)
-    return np.einsum("ij,jk...,lk->il...", rows, field, cols)
+    tall = np.tensordot(rows, field, axes=(1, 0))
+    return np.moveaxis(np.tensordot(tall, cols, axes=(1, 1)), -1, 1)
 
 
 def resample(rgb: np.ndarray, alpha: np.ndarray, out_h: int, out_w: int) -> tuple[np.ndarray, np.ndarray]:
