@@ -212,7 +212,7 @@ def resample(rgb: np.ndarray, alpha: np.ndarray, out_h: int, out_w: int) -> tupl
 def fill_polygon(points: list[tuple[int, int]], height: int, width: int) -> np.ndarray:
     """Cells whose centre is inside a polygon of (y, x) vertices, by crossing parity; borders included."""
     yy, xx = np.mgrid[0:height, 0:width]
-    inside = np.zeros((height, width), bool)
+    inside, border = np.zeros((height, width), bool), np.zeros((height, width), bool)
     for (y0, x0), (y1, x1) in zip(points, points[1:] + points[:1], strict=True):
         crosses = (y0 > yy) != (y1 > yy)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -222,8 +222,8 @@ def fill_polygon(points: list[tuple[int, int]], height: int, width: int) -> np.n
         for k in range(steps + 1):
             y, x = round(y0 + (y1 - y0) * k / steps), round(x0 + (x1 - x0) * k / steps)
             if 0 <= y < height and 0 <= x < width:
-                inside[y, x] = True
-    return inside
+                border[y, x] = True
+    return inside | border
 
 
 def plate(rgb: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, float, float]:
