@@ -5,19 +5,20 @@ Nothing here keeps a document, a link or a fingerprint on the driver.
 
 from __future__ import annotations
 
+import atexit
 import math
-import os
+import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import python_ready
+
 #: Rows per Arrow batch: a worker holds one batch of texts at a time.
 ARROW_ROWS = 1000
 #: White space of the contracts' words: space and \t \n \v \f \r.
@@ -31,24 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Ready a session for Python workers: bounded batches, and this package on every executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    context = spark.sparkContext
-    if getattr(context, "_framequarry_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    bundle = os.path.join(tempfile.mkdtemp(), f"{top.name}-package.zip")
-    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    context.addPyFile(bundle)
-    context._framequarry_shipped = True
+    python_ready(spark, rows)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of our own only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "framequarry-checkpoints")
+        own = tempfile.mkdtemp(prefix="framequarry-checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
