@@ -13,12 +13,12 @@ the predicted language.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ UNKNOWN = "und"
 HIDDEN = 6
 SAMPLE_ROWS, PIECE, PIECES_EACH, STEPS, ROWS_A_STEP, RATE = 3000, 48, 4, 200, 128, 0.03
 STRIP, LEAD, WIDE = 240, 12, 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id):
