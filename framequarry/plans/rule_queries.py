@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..operators import masks, rules
 from .adapters import GRID_SQL, JOBS_SQL, SIDE, grid, job_images
 from .registry import query, table
@@ -93,3 +94,36 @@ def layers_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = F.round(F.aggregate("alpha", F.lit(0.0), lambda s, a: s + a), 6)
     per = grid(spark, sf_dir).select("image_id", "vec_id", area.alias("area")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("low"), "vec_id"))).alias("l"))
     return per.select("image_id", F.posexplode("l").alias("k", "o")).select("image_id", "o.vec_id", (F.col("k") + 1).alias("layer"), (-F.col("o.low")).alias("area"))
+
+
+@query("SELECT p_partkey, CAST(p_size * 37 AS BIGINT) AS width, p_partkey * 3 AS height FROM part")
+def png_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width and height from the first 24 bytes of a PNG, in SQL."""
+
+    def four(value):
+        return F.unhex(F.lpad(F.hex(value.cast("long")), 8, "0"))
+
+    head = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), four(F.col("p_size") * 37), four(F.col("p_partkey") * 3))
+    bytes_ = table(spark, sf_dir, "part").select("p_partkey", head.alias("head"))
+    return bytes_.select("p_partkey", *(F.conv(F.hex(F.substring("head", at, 4)), 16, 10).cast("long").alias(n) for n, at in (("width", 17), ("height", 21))))
+
+
+_SAMPLES = "'s' || doc_id || ['.png', '.txt', '.JPG', '', '.cr2', '.gif'][doc_id % 6 + 1]"
+
+
+@query(f"SELECT name, n_chars AS size FROM (SELECT {_SAMPLES} AS name, n_chars FROM documents) WHERE lower(regexp_extract(name, '[^.]*$')) IN ('png', 'jpg', 'cr2') AND contains(name, '.') ORDER BY name LIMIT 8")
+def samples_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight readable samples by name (the report's own limit), with their sizes."""
+    ends = F.array(*map(F.lit, (".png", ".txt", ".JPG", "", ".cr2", ".gif")))
+    name = F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % 6).cast("int")))
+    named = table(spark, sf_dir, "documents").select(name.alias("name"), F.col("n_chars").alias("size"))
+    readable = formats.extension(F.col("name")).isin(*formats.EXTENSIONS)
+    return named.where(readable).orderBy("name").limit(8)
+
+
+@query("SELECT seq, cast(floor(seq / 7) AS BIGINT) AS job, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 3 = 0 THEN 'chair' ELSE 'lamp' END AS prompt FROM (SELECT event_id AS seq FROM events)")
+def blank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts trimmed; a blank one is no prompt."""
+    k = F.col("event_id")
+    text = F.when(k % 11 == 0, "   ").when(k % 3 == 0, " chair ").otherwise("lamp")
+    return table(spark, sf_dir, "events").select(k.alias("seq"), F.floor(k / 7).alias("job"), rules.blank_to_null(text).alias("prompt"))
