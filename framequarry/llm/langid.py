@@ -2,8 +2,8 @@
 
 The network reads UTF-8 bytes in both directions, labels every position and pools the positions'
 probabilities over the document. It is trained here in numpy, by backpropagation through time, on a
-bounded sample of labelled rows (`SAMPLE_ROWS`, chosen by a hash of doc_id) of which pieces of
-`PIECE` bytes are read. For prediction a text is cut into strips of `STRIP` bytes that overlap by
+bounded sample of labelled rows (`SAMPLE_ROWS`, chosen by a hash of doc_id; at most `SAMPLE_CHARS`
+characters of each) of which pieces of `PIECE` bytes are read. For prediction a text is cut into strips of `STRIP` bytes that overlap by
 `LEAD` bytes on either side, so that all strips of a batch run side by side; every byte of every text
 is labelled exactly once. Gates use clipped linear functions, so a step is a few array operations.
 
@@ -26,7 +26,7 @@ from .common import arrow_batches, batches_of, kept_ddl, record, text_bytes, wit
 
 UNKNOWN = "und"
 HIDDEN = 6
-SAMPLE_ROWS, PIECE, PIECES_EACH, STEPS, ROWS_A_STEP, RATE = 3000, 48, 4, 200, 128, 0.03
+SAMPLE_ROWS, SAMPLE_CHARS, PIECE, PIECES_EACH, STEPS, ROWS_A_STEP, RATE = 3000, 20_000, 48, 4, 200, 128, 0.03
 STRIP, LEAD, WIDE = 240, 12, 2048
 _LETTER = regex.compile(r"\p{L}")
 
@@ -188,15 +188,14 @@ class Network:
 
 
 def learnt(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Train on a bounded sample: the first `sample_rows` labelled rows by a hash of doc_id."""
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
-        .select("lang", F.substring("text", 1, 20000).alias("text"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h", "lang", F.length("text"), "text")
-        .limit(sample_rows)
-        .select("lang", "text")
-        .toArrow()
-    )
+    """Train on a bounded sample: the first `sample_rows` labelled rows by a hash of doc_id, `SAMPLE_CHARS` characters of each.
+
+    The sample is settled on ids alone; only its own texts are fetched.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
+    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample_rows).select("doc_id")
+    rows = labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample_rows).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
     network = Network(sorted(set(langs)) or [UNKNOWN])
     rng, pieces, labels = np.random.default_rng(5), [], []
