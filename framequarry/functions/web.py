@@ -50,7 +50,9 @@ def error_code(body: Column) -> Column:
 def content_disposition(name: Column) -> Column:
     """Attachment header: an ASCII fallback and the percent-encoded name."""
     plain = F.regexp_replace(F.regexp_replace(name, r"[^\x20-\x7E]", "_"), r'["\\]', "_")
-    return F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), F.regexp_replace(F.url_encode(name), r"\+", "%20"))
+    # form encoding differs from the header's in three signs
+    encoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(name), r"\+", "%20"), r"\*", "%2A"), "%7E", "~")
+    return F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), encoded)
 
 
 def safe_stem(name: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from framequarry.plans import catalogue
 from framequarry.plans.adapters import job_images
 
@@ -15,3 +18,17 @@ def test_every_failed_image_is_ranked(spark, small):
         failed.setdefault(r.job, []).append((ORDER.index(CODES[r.seq % 6]), r.seq))
     assert any(min(f)[1] % 11 >= 4 for f in failed.values())
     assert {(r.job, r.code) for r in catalogue.QUERIES["failure_rank"](spark, small).collect()} == {(job, ORDER[min(f)[0]]) for job, f in failed.items()}
+
+
+def header(name: str) -> str:
+    plain = re.sub(r'["\\]', "_", re.sub(r"[^\x20-\x7E]", "_", name))
+    return f"attachment; filename=\"{plain}\"; filename*=UTF-8''{quote(name, safe='')}"
+
+
+def test_every_document_has_a_header(spark, small, tmp_path):
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    signs = ['say "hi"\\now', "a:b|c[d]{e}<f>", "line\nend\r\n\ttab", "a+b c*d~e/f?g#h%i", "it's (1) $&;=@!^`,", "\u00e9\u4e2d\U0001f600\x00\x7f", "", " "]
+    rows = given + [(10**9 + k, t) for k, t in enumerate(signs)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.header for r in catalogue.QUERIES["content_disposition"](spark, str(tmp_path)).collect()}
+    assert got == {d: header(t[:24] + ".zip") for d, t in rows}
