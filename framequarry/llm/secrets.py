@@ -2,8 +2,8 @@
 
 Three strong kinds stand alone: assignments, access identifiers and long hexadecimal strings. Three
 weak kinds are too common to report by themselves: account identifiers, secret-shaped strings and
-endpoints. Each document is cut into scopes (paragraphs between empty lines, and no part further
-than `REACH` code points from the anchor); the weak parts are interval-joined within their scope,
+endpoints. Each document is cut into scopes (paragraphs between empty lines, and no more than
+`REACH` code points between two parts); the weak parts are interval-joined within their scope,
 and one is reported only where complementary parts - something that names an account or an endpoint,
 and something secret - meet there.
 
@@ -17,6 +17,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 #: Weak kinds and how far apart linked parts may stand.
 IDENTIFIER = re.compile(r"""(?i:user(?:_?name)?|login|account|client_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.ASCII)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/=_-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"""(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[^\s"'<>]+""")
 PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 REACH = 400
@@ -79,6 +80,8 @@ def link(text: str, base: list[Span], weak: list[Span]) -> list[Span]:
     cuts = [m.start() for m in PARAGRAPH.finditer(text)]
     names = sorted([(s, e) for k, s, e in base if k == "access"] + [(s, e) for k, s, e in weak if k in ("identifier", "endpoint")])
     secrets = sorted([(s, e) for k, s, e in base if k in ("assign", "hex")] + [(s, e) for k, s, e in weak if k == "candidate"])
+    # a part may be longer than the reach: how far the parts up to each one go
+    names_end, secrets_end = ([*accumulate((e for _, e in parts), max)] for parts in (names, secrets))
     taken = [(s, e) for _, s, e in base]
     taken.sort()
     out = []
@@ -86,11 +89,11 @@ def link(text: str, base: list[Span], weak: list[Span]) -> list[Span]:
         at = bisect_right(taken, (start, end))
         if kind == "candidate" and any(s < end and start < e for s, e in taken[max(0, at - 2) : at + 2]):
             continue  # already part of a strong span
-        others = names if kind == "candidate" else secrets
+        others, ends = (names, names_end) if kind == "candidate" else (secrets, secrets_end)
         scope = bisect_right(cuts, start)
-        low = bisect_left(others, (max(cuts[scope - 1] if scope else 0, start - REACH), -1))
+        low = max(bisect_left(others, (cuts[scope - 1] if scope else 0, -1)), bisect_left(ends, start - REACH))
         high = cuts[scope] if scope < len(cuts) else len(text)
-        if any((s >= end or e <= start) for s, e in others[low : bisect_right(others, (min(high, end + REACH), -1))]):
+        if any((s >= end or start - REACH <= e <= start) for s, e in others[low : bisect_right(others, (min(high, end + REACH), -1))]):
             out.append((kind, start, end))
     return out
 
