@@ -12,7 +12,9 @@ date    the day's number is permuted among the days of the range (walking on whi
 mail    letters stay letters and digits digits in the local part (lower-cased); the domain stays.
 
 Values are linked whatever their separators: only digits count, and what stands between them is put
-back. What fails its test (a number with a wrong check digit, a 31st of April) is left alone.
+back. What fails its test (a number with a wrong check digit, a 31st of April) is left alone, and what it
+holds is still looked at: mail first, then cards in printed groups, then addresses, dates and phones,
+then cards in any other groups, each in what the ones before have left.
 Null texts are returned as null with no findings; texts of any length are treated whole.
 """
 
@@ -22,13 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "card", "ip", "date", "phone")
-#: What each kind looks like; which of them a match is gets tested in this order.
+#: What each kind looks like.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-CARD = r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])"
+#: Groups of digits one blank or dash apart, 13 digits or more: cards are looked for at every group.
+CHAIN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
+#: How cards are printed, and any other grouping; the first form that is Luhn-valid counts.
+PRINTED = ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3}")
+GROUPED = tuple(f"(?:[0-9][ -]?){{{n - 1}}}[0-9]" for n in range(19, 12, -1))
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
-PATTERN = "|".join((EMAIL, CARD, IP, DATE, PHONE))
+#: Signs around what is settled (with its kind's sign), and before a group that a card begins at.
+EDGE, BEGINS = "\ue000", "\ue001"
+UNIT = f"{EDGE}[^{EDGE}]*+{EDGE}"
+SIGNS = dict(zip(KINDS, "ecidp", strict=True))
 ROUNDS = 8
 FIRST_DAY, DAYS, DAY_LEFT, DAY_RIGHT = "1900-01-01", 73049, 271, 270
 
@@ -115,14 +124,12 @@ def _day(match: Column) -> Column:
 
 
 def kind_of(match: Column) -> Column:
-    """Which kind a match is after its test; null if it fails."""
+    """Which kind a match of an address, date or phone is after its test; null if it fails."""
     octets = F.transform(F.split(match, r"\."), lambda o: o.cast("int"))
     return (
-        F.when(match.contains("@"), F.lit("email"))
-        .when(match.rlike(rf"^(?:{IP})$"), F.when(F.forall(octets, lambda o: o <= 255), F.lit("ip")))
+        F.when(match.rlike(rf"^(?:{IP})$"), F.when(F.forall(octets, lambda o: o <= 255), F.lit("ip")))
         .when(match.rlike(rf"^(?:{DATE})$"), F.when(_day(match).isNotNull(), F.lit("date")))
         .when(match.rlike(rf"^(?:{PHONE})$"), F.lit("phone"))
-        .when(F.length(only_digits(match)) >= 13, F.when(luhn_sum(only_digits(match)) % 10 == 0, F.lit("card")))
     )
 
 
@@ -185,9 +192,55 @@ def _mail_step(moved, turn: int):
     return lambda p: F.struct(p["l"].alias("l"), moved(p["r"], p["l"], turn).alias("r"))
 
 
-def pseudonym(match: Column, kind: Column, key: str) -> Column:
-    """What stands for a match of a kind (null kind: the match itself)."""
-    return F.when(kind == "email", _email(key, match)).when(kind == "card", _card(key, match)).when(kind == "ip", _ip(key, match)).when(kind == "date", _date(key, match)).when(kind == "phone", _phone(key, match)).otherwise(match)
+def _swapped(text: Column, pattern: str, stand_in) -> Column:
+    """The text with every match of a pattern outside of settled parts replaced."""
+    pattern = f"{UNIT}|{pattern}"
+    ins = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(m.startswith(EDGE), m).otherwise(stand_in(m)))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), ins, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+
+
+def _unit(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(EDGE + SIGNS[kind]), value, F.lit(EDGE))
+
+
+def _begun(chain: Column, forms: tuple[str, ...]) -> Column:
+    """The chain with a sign before every group that a card begins at, and a letter for its number of groups."""
+
+    def groups_of(rest: Column) -> Column:
+        tried = F.array(*(F.regexp_extract(rest, f"^{form}(?![0-9])", 0) for form in forms))
+        valid = F.filter(tried, lambda c: (c != "") & (luhn_sum(only_digits(c)) % 10 == 0))
+        return let(F.get(valid, F.lit(0)), lambda c: F.length(F.regexp_replace(c, "[0-9]", "")) + 1)
+
+    def each(groups: Column) -> Column:
+        def signed(g: Column, k: Column) -> Column:
+            return let(groups_of(F.array_join(F.slice(groups, k + 1, F.lit(20)), "")), lambda n: F.when(n.isNull(), g).otherwise(F.concat(F.lit(BEGINS), F.char(n + 96), g)))
+
+        return F.array_join(F.transform(groups, signed), "")
+
+    return let(F.regexp_extract_all(chain, F.lit("[0-9]+[ -]?"), F.lit(0)), each)
+
+
+def _cards(forms: tuple[str, ...], key: str) -> list:
+    """The steps that settle cards: begin them at every group, take the leftmost, drop the other signs."""
+    group, sign = f"(?:{BEGINS}[a-s])?[0-9]++", f"{BEGINS}[a-s]"
+    taken = "(?:" + "|".join(f"{BEGINS}{chr(96 + n)}[0-9]++(?:[ -]{group}){{{n - 1}}}" for n in range(1, 20)) + ")"
+    return [
+        lambda s: _swapped(s, CHAIN, lambda m: _begun(m, forms)),
+        lambda s: _swapped(s, taken, lambda m: _unit("card", _card(key, F.regexp_replace(m, sign, "")))),
+        lambda s: F.regexp_replace(s, sign, ""),
+    ]
+
+
+def _other(key: str, match: Column) -> Column:
+    kinds = {"ip": _ip, "date": _date, "phone": _phone}
+
+    def named(kind: Column) -> Column:
+        out = F.when(kind.isNull(), match)
+        for name, of in kinds.items():
+            out = out.when(kind == name, _unit(name, of(key, match)))
+        return out
+
+    return let(kind_of(match), named)
 
 
 def pseudonymise(docs: DataFrame, key: str = "framequarry") -> DataFrame:
@@ -195,23 +248,30 @@ def pseudonymise(docs: DataFrame, key: str = "framequarry") -> DataFrame:
 
     One narrow projection: no shuffle, no Python. `key` is the secret of the permutation.
     """
-    # a text without digits and @ holds nothing: it skips both scans
+    # a text without digits and @ holds nothing: it skips all scans
     some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    nothing = F.array().cast("array<string>")
-    found = docs.select(
-        "doc_id",
-        "text",
-        F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(nothing).alias("matches"),
-    )
-    judged = found.withColumn("kinds", F.transform("matches", kind_of))
-    stand_ins = F.zip_with("matches", "kinds", lambda m, k: pseudonym(m, k, key))
-    swapped = judged.withColumn("stand_ins", stand_ins)
-    parts = F.split("text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("stand_ins"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    whole = swapped.withColumn("out", F.when(F.size("matches") > 0, joined).otherwise(F.col("text")))
-    counts = [F.size(F.filter("kinds", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    steps = [
+        # signs of the text itself are settled from the start
+        lambda s: F.when(some, F.replace(F.replace(s, F.lit(EDGE), F.lit(f"{EDGE}x{EDGE}")), F.lit(BEGINS), F.lit(f"{EDGE}y{EDGE}"))),
+        lambda s: _swapped(s, EMAIL, lambda m: _unit("email", _email(key, m))),
+        *_cards(PRINTED, key),
+        lambda s: _swapped(s, "|".join((IP, DATE, PHONE)), lambda m: _other(key, m)),
+        *_cards(GROUPED, key),
+    ]
+    found = docs.select("doc_id", "text", F.col("text").alias("s"))
+    for step in steps:
+        found = found.withColumn("s", step(F.col("s")))
+    units = found.withColumn("units", F.coalesce(F.regexp_extract_all("s", F.lit(UNIT), F.lit(0)), F.array().cast("array<string>")))
+
+    def inside(unit: Column) -> Column:
+        out = F.substring(unit, F.lit(3), F.length(unit) - 3)
+        return F.when(unit == f"{EDGE}x{EDGE}", EDGE).when(unit == f"{EDGE}y{EDGE}", BEGINS).otherwise(out)
+
+    joined = F.array_join(F.zip_with(F.split("s", UNIT, -1), F.transform("units", inside), lambda p, u: F.concat(p, F.coalesce(u, F.lit("")))), "")
+    whole = units.withColumn("out", F.when(F.size("units") > 0, joined).otherwise(F.col("text")))
+    counts = [F.size(F.filter("units", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return whole.select("doc_id", *counts, F.col("out").alias("text"), F.sha2("out", 256).alias("text_sha256"))
 
 
 def _is(kind: str):
-    return lambda k: k == kind
+    return lambda u: u.startswith(EDGE + SIGNS[kind])

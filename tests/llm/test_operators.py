@@ -368,6 +368,36 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert got[5].text is None and got[4].text == got[6].text[:-2] != "john.doe99@mail.example.com"
 
 
+def test_adjacent_values_are_all_found(spark):
+    card, phone = "4111 1111 1111 1111", "555-123-4567"
+    cases = {  # text: cards, addresses, dates, phones; parts that stay
+        "2024-01-05 2024-02-06": (0, 0, 2, 0),
+        "555-123-4567 555-987-6543 555-222-1111": (0, 0, 0, 3),
+        "415-555-1234 100": (0, 0, 0, 1),
+        "1980-02-03 94105-1234": (0, 0, 1, 0),
+        f"{card} 05 27": (1, 0, 0, 0),
+        f"{card} 123": (1, 0, 0, 0),
+        f"1234 {card} {card} 9": (2, 0, 0, 0),
+        f"{card} 2024-01-05 {phone} {card} 10.20.30.40 {phone}": (2, 1, 1, 2),
+        f"{card} 555.123.4567 (555) 123-4567 +1 {phone}": (1, 0, 0, 3),
+        "3056 930902 5904": (1, 0, 0, 0),
+        "3782 822463 10005 2024-01-05": (1, 0, 1, 0),
+        "41 11 11 11 11 11 11 11": (1, 0, 0, 0),
+        f"x{card}; {card}x": (0, 0, 0, 0),
+        f"\ue000{card}\ue001a\ue000x\ue000 {phone}": (1, 0, 0, 1),
+        "1 " * 20_000 + phone: None,
+    }
+    rows = list(enumerate(cases))
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        r, want = got[k], cases[text]
+        assert want is None or (r.n_card, r.n_ip, r.n_date, r.n_phone) == want, text
+        assert re.sub("[0-9]", "0", r.text) == re.sub("[0-9]", "0", text) or r.n_ip, text  # only digits change
+        assert phone not in r.text and "2024-01-05" not in r.text and "1980-02-03" not in r.text, text
+        assert card not in r.text or want == (0, 0, 0, 0), text
+    assert got[4].text.endswith(" 05 27") and got[5].text.endswith(" 123") and got[6].text.startswith("1234 ")
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
