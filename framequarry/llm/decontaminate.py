@@ -9,8 +9,9 @@ spans are merged into the words to remove.
 
 The test phrases are the one broadcast: they are read in blocks of at most `BLOCK_WORDS` words,
 whatever the benchmark's size, and every block is searched in all shards; spans of several blocks are
-united per document. Null texts and items have no words; an item without words has no phrase; items
-with a null id are ignored; rows that share an item_id are one item with the phrases of each.
+united per document. Null texts and items have no words; an item without words has no phrase; rows
+that share an item_id are one item with the phrases of each. The phrases of items with a null id are
+found like any other; only among a document's items such an item has no place.
 """
 
 from __future__ import annotations
@@ -129,14 +130,14 @@ class FMIndex:
 class Phrases:
     """A block of the benchmark: vocabulary, distinct phrases by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             size = min(WINDOW, len(ids))
             for k in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(tuple(ids[k : k + size]), set()).add(item)
+                found.setdefault(tuple(ids[k : k + size]), set()).update(() if item is None else (item,))
         by_length: dict[int, list[tuple[int, ...]]] = {}
         for phrase in found:
             by_length.setdefault(len(phrase), []).append(phrase)
@@ -187,7 +188,7 @@ class Phrases:
 def phrase_blocks(benchmark: DataFrame) -> Iterator[Phrases]:
     """The benchmark in blocks of bounded size; at least one block, which may be empty."""
     block, size, any_block = [], 0, False
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").toLocalIterator(prefetchPartitions=False):
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator(prefetchPartitions=False):
         words = words_of(row["text"])
         if block and size + len(words) > BLOCK_WORDS:
             yield Phrases(block)

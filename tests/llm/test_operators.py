@@ -226,6 +226,29 @@ def test_blocks_of_phrases_are_united(spark, monkeypatch):
 # -- op 5 -------------------------------------------------------------------------------------
 
 
+def test_items_without_an_id_count(spark, monkeypatch):
+    import duckdb
+
+    from framequarry.llm.sql import OP4
+
+    words = [f"w{k}" for k in range(60)]
+    docs = [(1, " ".join(words[:30])), (2, " ".join(words[20:50])), (3, "clean text"), (4, " ".join(words[40:]))]
+    items = [(None, " ".join(words[5:17])), (7, " ".join(words[10:25])), (None, " ".join(words[30:42])), (8, "clean"), (None, None)]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    # the SQL counts an item without an id in n_items (index 3), the operator does not
+    want = sorted(r[:3] + r[4:] for r in con.execute(OP4).fetchall())
+    assert [r[-1] for r in want] == [True, True, True, False]
+    frames = [spark.createDataFrame(rows, f"{key} long, text string") for key, rows in (("doc_id", docs), ("item_id", items))]
+    for words_a_block in (decontaminate.BLOCK_WORDS, 12):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words_a_block)
+        got = sorted(map(tuple, decontaminate.contamination(*frames).collect()))
+        assert [r[:3] + r[4:] for r in got] == want
+        assert [r[3] for r in got] == [1, 0, 1, 0]
+
+
 def test_trees_learn_and_walk_like_one_by_one():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, len(quality.FEATURES)))
