@@ -1,19 +1,18 @@
 """A corpus pipeline of five stages, each calling one of the training-data operators.
 
 language   the byte network labels every document; one that is null or has no letter goes.
-near_dups  one document of each SimHash component stays: the one with the smallest doc_id.
+near_dups  one row of each SimHash component stays: that with the smallest doc_id, null being the largest.
 benchmark  a document that holds a benchmark passage goes.
 secrets    secrets found in a text are masked; all documents stay.
 encode     byte-level BPE: the ids of what is left, with their digests.
 
-Every stage but the last returns the columns of `documents`; `n_chars` follows the text. Where rows
-repeat a doc_id, a decision on the doc_id holds for all of them, but near_dups keeps one row of equal
-rows only.
+Every stage but the last returns the columns of `documents`; `n_chars` follows the text. Rows that
+share a doc_id, or have none, are decided one by one, by doc_id and text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.llm import bpe, common, decontaminate, langid, secrets, simhash
@@ -28,14 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each component."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay.withColumnRenamed("doc_id", "stays").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*COLUMNS)
-    if not _repeats(docs):
-        return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*COLUMNS[1:]))
-    return kept.withColumn("nth", nth).where("nth = 1").select(*COLUMNS)
+    """Keep one row of each component, by doc_id and text."""
+    stay = simhash.kept_rows(docs).select(F.col("doc_id").alias("stays"), F.col("tk").alias("stays_tk"))
+    keyed = docs.select(*COLUMNS, common.text_key(F.col("text")).alias("tk"))
+    if _repeats(docs):  # copies of a row become one before any exchange
+        one = keyed.groupBy("doc_id", "tk").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+        keyed = one.select("doc_id", "row.*", "tk")
+    same = F.col("doc_id").eqNullSafe(F.col("stays")) & (F.col("tk") == F.col("stays_tk"))
+    return keyed.join(stay.hint("shuffle_hash"), same, "left_semi").select(*COLUMNS)
 
 
 def _repeats(docs: DataFrame) -> bool:

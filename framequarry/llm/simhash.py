@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, batches_of, record, stored
+from .common import arrow_batches, batches_of, record, stored, text_key
 from .components import smallest_reachable
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -58,18 +58,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit integer; a narrow map over whole texts."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id and its fingerprint as a signed 64-bit integer, and the text's key if asked for; a narrow map over whole texts."""
     arrow_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    keys = ("tk",) * keyed
+    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "fp", *keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole):
                 prints = np.array([fingerprint(shingle_hashes(t)) for t in batch.column("text").to_pylist()], np.uint64)
-                yield record(schema, doc_id=batch.column("doc_id"), fp=pa.array(prints.view(np.int64)))
+                yield record(schema, doc_id=batch.column("doc_id"), fp=pa.array(prints.view(np.int64)), **{k: batch.column(k) for k in keys})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *(text_key(F.col("text")).alias(k) for k in keys)).mapInArrow(run, "doc_id long, fp long" + ", tk long" * keyed)
 
 
 def _segment(fp, part: int):
@@ -199,6 +200,19 @@ def _cells(rows: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros((0, 2), np.int64)
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and tk (a hash of the text) of the row that stands for each component: the smallest doc_id, then tk.
+
+    Rows that share a doc_id but hold different texts are told apart; null ids come last.
+    """
+    prints = stored(fingerprints(docs, keyed=True), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    nodes = prints.groupBy("fp").agg(F.min(row).alias("least"))
+    roots = smallest_reachable(links(nodes.select("fp")))
+    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    return labelled.groupBy("root").agg(F.min("least").alias("head")).select("head.doc_id", "head.tk")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable); one row a row.
 

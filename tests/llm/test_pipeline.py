@@ -50,3 +50,12 @@ def test_repeated_rows_and_nulls(spark, small):
     assert masked[4].text == "[SECRET]" and masked[4].n_chars == 8 and masked[2].text is None
     assert sorted(r.doc_id for r in P.language(spark, docs, small).collect()) == [1, 1, 4]
     assert P.benchmark(spark, docs, small).count() == 5
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, small):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c, d, e = (" ".join(f"{name}{k}" for k in range(60)) for name in ("apple", "brick", "cloud", "dune", "ember"))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (None, c), (None, d), (None, d), (None, e), (4, e), (4, None), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", t and len(t)) for k, t in rows], kinds)
+    got = sorted(((r.doc_id, r.text) for r in P.near_dups(spark, docs, small).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, d), (4, e), (4, None)], key=str)
