@@ -13,9 +13,12 @@ mail    letters stay letters and digits digits in the local part (lower-cased);
 
 Values are linked whatever their separators: only digits count, and what stands between them is put
 back. What fails its test (a number with a wrong check digit, a 31st of April) is left alone, and what it
-holds is still looked at: mail first, then cards in printed groups, then addresses, dates and phones,
-then cards in any other groups, each in what the ones before have left.
-Null texts are returned as null with no findings; texts of any length are treated whole.
+holds is still looked at: mail first, then cards with a group of six, then addresses, dates and phones,
+then cards in other printed groups, then in any other groups, each in what the ones before have left. Values may touch with a blank,
+a dash or a dot between them; a dotted run of more than four numbers is read as addresses from the left.
+Null texts are returned as null with no findings; texts of any length are treated whole, and no pattern
+repeats a group in a way that needs a stack. An empty table gives an empty one; columns other than
+doc_id and text are ignored, whatever their names; rows that repeat are answered one by one.
 """
 
 from __future__ import annotations
@@ -25,13 +28,18 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "card", "ip", "date", "phone")
 #: What each kind looks like.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Mail: begins behind another address or anything that is no part of one; the domain has no empty label, ends in
+#: letters, and leaves a word that an @ follows to the next address. One character at a time: no stack is needed.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@(?!\.)(?:(?!\.\.)[A-Za-z0-9.-])+\.[A-Za-z]{2,}+(?![A-Za-z0-9_%+]*+@)"
 #: Groups of digits one blank or dash apart, 13 digits or more: cards are looked for at every group.
 CHAIN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -][0-9]++(?![A-Za-z]))*+"
 #: How cards are printed, and any other grouping; the first form that is Luhn-valid counts.
-PRINTED = ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3}")
+#: Those with a group of six, which may end like a phone, are looked for before phones.
+WITH_SIX = ("[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",)
+PRINTED = ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3}")
 GROUPED = tuple(f"(?:[0-9][ -]?){{{n - 1}}}[0-9]" for n in range(19, 12, -1))
-IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+IP = rf"(?<![0-9A-Za-z])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
 #: Signs around what is settled (with its kind's sign), and before a group that a card begins at.
@@ -125,9 +133,8 @@ def _day(match: Column) -> Column:
 
 def kind_of(match: Column) -> Column:
     """Which kind a match of an address, date or phone is after its test; null if it fails."""
-    octets = F.transform(F.split(match, r"\."), lambda o: o.cast("int"))
     return (
-        F.when(match.rlike(rf"^(?:{IP})$"), F.when(F.forall(octets, lambda o: o <= 255), F.lit("ip")))
+        F.when(match.rlike(rf"^(?:{IP})$"), F.lit("ip"))
         .when(match.rlike(rf"^(?:{DATE})$"), F.when(_day(match).isNotNull(), F.lit("date")))
         .when(match.rlike(rf"^(?:{PHONE})$"), F.lit("phone"))
     )
@@ -159,8 +166,9 @@ def _date(key: str, match: Column) -> Column:
         mixed = feistel(key, "date", F.floor(n / DAY_RIGHT), n % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT))
         return let(mixed, lambda p: p["l"] * DAY_RIGHT + p["r"])
 
-    # the permuted number is outside of the range once in 600 cases: go on from there until it is inside
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(_day(match).cast("long").alias("n"), F.lit(False).alias("done")), lambda a, _: F.when(a["done"], a).otherwise(let(once(a["n"]), lambda n: F.struct(n.alias("n"), (n < DAYS).alias("done")))), lambda a: a["n"])
+    # the permuted number is outside of the range once in 600 cases: go on from there until it is inside, which
+    # takes no more steps than there are numbers outside, and one
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(DAY_LEFT * DAY_RIGHT - DAYS)), F.struct(_day(match).cast("long").alias("n"), F.lit(False).alias("done")), lambda a, _: F.when(a["done"], a).otherwise(let(once(a["n"]), lambda n: F.struct(n.alias("n"), (n < DAYS).alias("done")))), lambda a: a["n"])
     date = let(walked, lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int")))
     third = F.substring(match, 3, 1)
     return let(date, lambda d: F.when(third == "/", F.date_format(d, "MM/dd/yyyy")).when(third == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
@@ -172,12 +180,14 @@ def _email(key: str, match: Column) -> Column:
     local = F.lower(F.substring_index(match, "@", 1))
 
     def moved(part: Column, other: Column, turn: int) -> Column:
-        draw = F.sha2(F.concat_ws("|", F.lit(f"{key}|email|{turn}"), other), 256)
-
-        def shift(c: Column, i: Column, base: int, first: int) -> Column:
+        def shift(draw: Column, c: Column, i: Column, base: int, first: int) -> Column:
             return F.char(F.pmod(F.ascii(c) - first + F.pmod(F.xxhash64(draw, i), F.lit(base)), F.lit(base)) + first)
 
-        return F.array_join(F.transform(F.split(part, ""), lambda c, i: F.when(c.between("a", "z"), shift(c, i, 26, 97)).when(c.between("0", "9"), shift(c, i, 10, 48)).otherwise(c)), "")
+        def by(draw: Column) -> Column:  # bound once: a digest a half, not one a letter
+            moves = lambda c, i: F.when(c.between("a", "z"), shift(draw, c, i, 26, 97)).when(c.between("0", "9"), shift(draw, c, i, 10, 48)).otherwise(c)
+            return F.array_join(F.transform(F.split(part, ""), moves), "")
+
+        return let(F.sha2(F.concat_ws("|", F.lit(f"{key}|email|{turn}"), other), 256), by)
 
     half = F.floor(F.length(local) / 2).cast("int")
     pair = F.struct(F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, F.length(local) - half).alias("r"))
@@ -243,19 +253,23 @@ def _other(key: str, match: Column) -> Column:
     return let(kind_of(match), named)
 
 
-def pseudonymise(docs: DataFrame, key: str = "framequarry") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_email, n_card, n_ip, n_date, n_phone, the text with pseudonyms, and its sha256; one row for each row.
 
-    One narrow projection: no shuffle, no Python. `key` is the secret of the permutation.
+    One narrow projection: no shuffle, no Python. `key` is the secret of the permutation: whoever knows it can
+    undo the pseudonyms, so the caller brings it.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     # a text without digits and @ holds nothing: it skips all scans
     some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     steps = [
         # signs of the text itself are settled from the start
         lambda s: F.when(some, F.replace(F.replace(s, F.lit(EDGE), F.lit(f"{EDGE}x{EDGE}")), F.lit(BEGINS), F.lit(f"{EDGE}y{EDGE}"))),
         lambda s: _swapped(s, EMAIL, lambda m: _unit("email", _email(key, m))),
-        *_cards(PRINTED, key),
+        *_cards(WITH_SIX, key),
         lambda s: _swapped(s, "|".join((IP, DATE, PHONE)), lambda m: _other(key, m)),
+        *_cards(PRINTED, key),
         *_cards(GROUPED, key),
     ]
     found = docs.select("doc_id", "text", F.col("text").alias("s"))

@@ -55,7 +55,8 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    # a deployment sets its own secret; the tables here are invented
+    return pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.framequarry.pii.key", "key of the invented tables"))
 
 
 def op9_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

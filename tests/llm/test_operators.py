@@ -381,7 +381,7 @@ def test_equal_texts_and_single_documents(spark):
 
 def test_pseudonyms_keep_format_and_link(spark):
     rows = [(1, "card 4111 1111 1111 1111 and 4111-1111-1111-1111, bad 4111111111111112"), (2, "ip 12.84.156.107. bad 300.1.1.1 on 1999-12-31 or 12/31/1999, bad 31.04.2000"), (3, "+1 (325) 555-8094 and 325-555-8094"), (4, "John.Doe99@mail.example.com"), (5, None), (6, "john.doe99@mail.example.com x")]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", got[1].text)
     assert got[1].n_card == 2 and cards[0].replace(" ", "") == cards[1].replace("-", "") and "4111111111111112" in got[1].text
     digits = [int(c) for c in re.sub(r"\D", "", cards[0])]
@@ -411,7 +411,7 @@ def test_adjacent_values_are_all_found(spark):
         "1 " * 20_000 + phone: None,
     }
     rows = list(enumerate(cases))
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for k, text in rows:
         r, want = got[k], cases[text]
         assert want is None or (r.n_card, r.n_ip, r.n_date, r.n_phone) == want, text
@@ -421,6 +421,57 @@ def test_adjacent_values_are_all_found(spark):
     assert got[4].text.endswith(" 05 27") and got[5].text.endswith(" 123") and got[6].text.startswith("1234 ")
 
 
+SAMPLES = {
+    "email": ("john.doe@mail.example.com", "ann_b@host-1.org"),
+    "card": ("4111 1111 1111 1111", "3782-822463-10005", "5555555555554444"),
+    "ip": ("12.84.156.107", "10.20.30.40"),
+    "date": ("1999-12-31", "02/28/2020", "31.12.1999"),
+    "phone": ("325-555-8094", "+1 (415) 555-2671", "325.555.8095"),
+}
+
+
+def test_every_pair_of_neighbours_is_found(spark):
+    """Any value next to any other, with a blank, a dash or a dot between, leaves nothing of either."""
+    kinds = [(kind, value) for kind, values in SAMPLES.items() for value in values]
+    cases = [(a, b, joint) for a in kinds for b in kinds for joint in " -."]
+    rows = [(k, f"see {a[1]}{joint}{b[1]} now") for k, (a, b, joint) in enumerate(cases)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for k, (a, b, joint) in enumerate(cases):
+        r, text = got[k], rows[k][1]
+        for kind, value in (a, b):
+            left = value.split("@")[0] if kind == "email" else value
+            assert left not in r.text, (text, r.text)
+        if "email" not in (a[0], b[0]):
+            assert re.sub("[0-9]+", "0", r.text) == re.sub("[0-9]+", "0", text)
+            want = [sum(kind == x for kind, _ in (a, b)) for x in pii.KINDS]
+            assert [r[f"n_{x}"] for x in pii.KINDS] == want, text
+        elif joint == " ":
+            assert r.n_email == sum(kind == "email" for kind, _ in (a, b)), text
+
+
+def test_a_row_of_values_of_one_kind(spark):
+    rows = [(1, "a@x.com.b@y.org.c@z.net"), (2, "a@x.com-b@y.org"), (3, "10.20.30.40.50.60.70.80"), (4, "300.10.20.30.40"), (5, "012.084.156.107"), (6, "a@b1.c2@d.com"), (7, "1999-12-31 12345"), (8, "2020-01-02 2020-01-03"), (9, "a@b..com x@y.c1 me@here.co1")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [(got[k].n_email, got[k].n_ip, got[k].n_date) for k in range(1, 10)] == [(3, 0, 0), (2, 0, 0), (0, 2, 0), (0, 1, 0), (0, 1, 0), (1, 0, 0), (0, 0, 1), (0, 0, 2), (1, 0, 0)]
+    assert got[1].text.endswith("@z.net") and got[9].text.startswith("a@b..com x@y.c1 ") and got[9].text.endswith("@here.co1")
+
+
+def test_very_long_texts_need_no_stack(spark):
+    million = 1_000_000
+    rows = [
+        (1, "a@b" + ".c1" * (million // 3)), (2, "x" * million), (3, "1" * million), (4, "a@b." + "m" * million + "@"), (5, "1.2." * (million // 4)), (6, "12 " * (million // 30)), (7, "a." * (million // 20) + "@b.com"),
+        (8, "w " * (million // 2) + "john@example.com"), (9, "-" * million), (10, "a@a" * (million // 3)), (11, "2020-01-02 " * (million // 110)),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k").collect()}
+    assert len(got) == len(rows) and got[8].n_email == 1 and got[8].text.endswith("@example.com") and "john" not in got[8].text
+    assert all(len(got[k].text) == len(t) for k, t in rows if k in (1, 2, 3, 9)) and got[11].n_date == million // 110
+
+
+def test_pseudonyms_need_a_key(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.range(1).selectExpr("id as doc_id", "'x' as text"), "")
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
@@ -523,7 +574,7 @@ def all_operators(spark, docs, network):
         "quality": quality.score_quality(docs, labels),
         "language": langid.identify(docs, network),
         "minhash": minhash.fingerprint_neighbours(docs),
-        "pii": pii.pseudonymise(docs),
+        "pii": pii.pseudonymise(docs, "k"),
         "bitplanes": bitplanes.round_trip(docs),
         "bpe": bpe.encode_documents(docs),
     }
