@@ -2,13 +2,15 @@
 
 Three strong kinds stand alone: assignments, access identifiers and long hexadecimal strings. Three
 weak kinds are too common to report by themselves: account identifiers, secret-shaped strings and
-endpoints. Each document is cut into scopes (paragraphs between empty lines, and no more than
-`REACH` code points between two parts); the weak parts are interval-joined within their scope,
-and one is reported only where complementary parts - something that names an account or an endpoint,
-and something secret - meet there.
+endpoints. Each document is cut into scopes, the paragraphs between empty lines; the weak parts are
+interval-joined within their scope, however far apart they stand, and one is reported only where
+complementary parts - something that names an account or an endpoint, and something secret - meet
+there without lying in one another.
 
 The join is an ordered sweep inside one document, so no row ever leaves its partition. Null texts
-scan like empty ones. Offsets are code points, end exclusive.
+scan like empty ones; texts of any length are scanned whole. Offsets are code points, end exclusive.
+An empty table gives an empty one; rows that repeat are answered one by one; other columns, whatever
+their names, are ignored unless asked for.
 """
 
 from __future__ import annotations
@@ -31,12 +33,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "identifier", "candidate", "endpoint")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-#: Weak kinds and how far apart linked parts may stand.
+#: Weak kinds, and what parts scopes.
 IDENTIFIER = re.compile(r"""(?i:user(?:_?name)?|login|account|client_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.ASCII)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"""(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[^\s"'<>]+""")
 PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
-REACH = 400
 #: A cheap test that decides whether a pattern can match at all.
 HINT_ASSIGN = re.compile(r"[:=]")
 
@@ -74,30 +75,36 @@ def weak_spans(text: str) -> list[Span]:
 
 
 def link(text: str, base: list[Span], weak: list[Span]) -> list[Span]:
-    """The weak spans that have a complementary part in their scope."""
+    """The weak spans that have a complementary part in their scope, and are no part of a strong span."""
     if not weak:
         return []
     cuts = [m.start() for m in PARAGRAPH.finditer(text)]
-    names = sorted([(s, e) for k, s, e in base if k == "access"] + [(s, e) for k, s, e in weak if k in ("identifier", "endpoint")])
-    secrets = sorted([(s, e) for k, s, e in base if k in ("assign", "hex")] + [(s, e) for k, s, e in weak if k == "candidate"])
-    # a part may be longer than the reach: how far the parts up to each one go
-    names_end, secrets_end = ([*accumulate((e for _, e in parts), max)] for parts in (names, secrets))
-    taken = [(s, e) for _, s, e in base]
-    taken.sort()
+    names = _reaches(cuts, [(s, e) for k, s, e in base if k == "access"] + [(s, e) for k, s, e in weak if k in ("identifier", "endpoint")])
+    secrets = _reaches(cuts, [(s, e) for k, s, e in base if k in ("assign", "hex")] + [(s, e) for k, s, e in weak if k == "candidate"])
+    taken = sorted((s, e) for _, s, e in base)
+    furthest = [*accumulate((e for _, e in taken), max)]  # how far the strong spans up to each one go
     out = []
     for kind, start, end in weak:
-        at = bisect_right(taken, (start, end))
-        if kind == "candidate" and any(s < end and start < e for s, e in taken[max(0, at - 2) : at + 2]):
-            continue  # already part of a strong span
-        others, ends = (names, names_end) if kind == "candidate" else (secrets, secrets_end)
-        scope = bisect_right(cuts, start)
-        low = max(bisect_left(others, (cuts[scope - 1] if scope else 0, -1)), bisect_left(ends, start - REACH))
-        high = cuts[scope] if scope < len(cuts) else len(text)
-        if any((s >= end or start - REACH <= e <= start) for s, e in others[low : bisect_right(others, (min(high, end + REACH), -1))]):
+        if kind == "candidate":
+            before = bisect_left(taken, (end, -1))
+            if before and furthest[before - 1] > start:
+                continue
+        first_end, last_start = (names if kind == "candidate" else secrets).get(bisect_right(cuts, start), (end, start))
+        if first_end <= start or last_start >= end:
             out.append((kind, start, end))
     return out
 
 
+def _reaches(cuts: list[int], parts: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """For each scope that holds any of the parts: where the first of them ends and the last begins."""
+    out: dict[int, tuple[int, int]] = {}
+    for start, end in parts:
+        scope = bisect_right(cuts, start)
+        first_end, last_start = out.get(scope, (end, start))
+        out[scope] = min(first_end, end), max(last_start, start)
+    return out
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
