@@ -13,7 +13,8 @@ leaves the same file. A task streams: it holds one block and the file's index, w
 length. Where a file's ids begin among all ids comes from sums of file totals in two levels.
 
 Null texts encode like empty ones and still get the end id. Rows that repeat a doc_id are separate
-documents, in the order of their ids' bytes. A null doc_id comes first.
+documents, in the order of their texts' hashes. A null doc_id comes first. An empty table writes no file
+and gives an empty one; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, batches_of, checkpoint_root, input_bytes, range_bounds, record, shuffle_partitions, stored
+from .common import arrow_batches, batches_of, fresh_folder, input_bytes, record, shuffle_partitions, stored
 
 BLOCK = 1 << 16
 MAGIC = b"FQBP\x01\x00\x00\x00"
 END_ID = 2
-FILE_BYTES = 16 << 20
+#: How much text a range holds, ids in a file, and files that a range may have (its numbers leave room for them).
+RANGE_BYTES, FILE_IDS, TURNS = 32 << 20, 16 << 20, 1 << 20
 MEMO = 250_000
 LEVEL = 3
 
@@ -134,19 +136,29 @@ class Reader:
         return from_planes(planes, n, self.bits)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        held, have, k = [], 0, 0
+        now, at, k = np.zeros(0, "<u4"), 0, 0
         for doc, length in zip(self.docs.tolist(), self.lengths.tolist(), strict=True):
-            while have < length:
-                held.append(self.block(k))
-                have += len(held[-1])
-                k += 1
-            joined = np.concatenate(held) if held else np.zeros(0, "<u4")
-            yield (None if doc == -(1 << 63) else doc), joined[:length]
-            held, have = [joined[length:]], have - length
-
-
-#: The tokenizer's own split of a text (fixed value), and the line ends we put between parts.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
+            if len(now) - at < length:  # goes on in the next blocks: the rest of this one moves once
+                held, have = [now[at:]], len(now) - at
+                while have < length:
+                    held.append(self.block(k))
+                    have += len(held[-1])
+                    k += 1
+                now, at = np.concatenate(held), 0
+            yield (None if doc == -(1 << 63) else doc), now[at : at + length]
+            at += length
+
+
+#: The steps before merging that are done here (fixed values: those of the tokenizer's file); a file with any others
+#: goes through the library whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -157,26 +169,38 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that lets no token span ASCII white space; remembers what it has met.
+    """Encodes texts as the library does with the tokenizer's file; remembers what it has met.
 
-    Parts between white space are encoded once each. Most of them (no character from U+0250 on, where
-    normal forms and cases are plain) are lower-cased and split here, and only their pieces, all in one
-    text, go to a copy of the tokenizer without those steps; the ends of words in the ids part them
-    again. All other parts go through the whole tokenizer one by one.
+    Where no token spans ASCII white space, parts between white space are encoded once each. Most of
+    them (no character from U+0250 on, where normal forms and cases are plain, and no special token)
+    are lower-cased and split here, and only their pieces, all in one text, go to a copy of the
+    tokenizer without those steps; the ends of words in the ids part them again. All other parts go
+    through the whole tokenizer one by one. A file whose steps are not those goes through it text by text.
     """
 
     def __init__(self, path: str):
+        import json
+
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t for t in steps.get("added_tokens") or []]
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in special)
+        model = steps["model"]
+        self.by_parts = plain and all(steps.get(k) == v for k, v in _STEPS.items()) and not steps.get("post_processor") and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if not self.by_parts:
+            return
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.split, self.wide, self.letters = regex.compile(_SPLIT).findall, regex.compile(r"[^\x00-\u024f]").search, _byte_letters()
+        hard = "|".join([r"[^\x00-\u024f]", *(regex.escape(t["content"]) for t in special)])
+        self.split, self.hard, self.letters = regex.compile(_SPLIT + r"|\n").findall, regex.compile(hard).search, _byte_letters()
+        self.marks = all("<" in t["content"] for t in special)  # then ASCII parts without it hold none
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -199,7 +223,7 @@ class WordEncoder:
     def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new parts."""
         texts = [p.decode() for p in parts]
-        hard = [k for k, t in enumerate(texts) if not t.isascii() and self.wide(t)]
+        hard = [k for k, t in enumerate(texts) if (not t.isascii() or "<" in t or not self.marks) and self.hard(t)]
         out = {parts[k]: ids for k, ids in zip(hard, self._ids([texts[k] for k in hard]), strict=True)}
         skip = set(hard)
         plain = [k for k in range(len(texts)) if k not in skip]
@@ -223,6 +247,8 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_parts:
+            return self._ids([t or "" for t in texts])
         if len(self.known) >= MEMO:
             self.known.clear()
         cut, known = [t.encode().split() if t else [] for t in texts], self.known
@@ -255,68 +281,58 @@ def _filesystem(uri: str):
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, bits: bool = True) -> DataFrame:
-    """Encode all documents and write their ids, ascending by doc_id; returns (bucket, path, n_docs, n_ids) of each file."""
+    """Encode all documents and write their ids, ascending by doc_id; returns (bucket, path, n_docs, n_ids) of each file.
+
+    Documents are dealt to ranges of doc_id by Spark's range partitioner (rows of one doc_id by their
+    text's hash, so a doc_id that many rows share is no hot range); a range is encoded and written by
+    one task, in files of `FILE_IDS` ids. A file's bucket is its range and its turn in it.
+    """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     arrow_batches(spark)
-    parts = max(shuffle_partitions(spark), -(-input_bytes(docs) // FILE_BYTES))
-    bounds = np.array(range_bounds(docs, "doc_id", parts), np.int64)
-    small = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
-        for whole in batches:
-            for batch in batches_of(whole):
-                ids = encoder.encode_all(batch.column("text").to_pylist())
-                keys = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-                yield record(small, bucket=np.searchsorted(bounds, keys, side="right").astype(np.int32), doc_id=batch.column("doc_id"), ids=[_narrow(x) for x in ids])
-
-    files = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    parts = max(shuffle_partitions(spark), -(-input_bytes(docs) // RANGE_BYTES))
+    files = pa.schema([("bucket", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        encoder, own, turn = word_encoder(path), TaskContext.get().partitionId(), 0
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        now = writer = sink = None
+        writer = sink = None
         passing = final = ""
+        end = np.array([END_ID], "<u4").tobytes()
 
         def finish() -> pa.RecordBatch:
             writer.close()
             sink.close()
             fs.move(passing, final)
-            return record(files, bucket=[now], path=[final], n_docs=[len(writer.docs)], n_ids=[writer.total])
+            return record(files, bucket=[own * TURNS + turn], path=[final], n_docs=[len(writer.docs)], n_ids=[writer.total])
 
-        for batch in batches:
-            for bucket, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids")), strict=True):
-                if bucket != now:
-                    if writer is not None:
+        for whole in batches:
+            for batch in batches_of(whole):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist()), strict=True):
+                    if writer is None:
+                        final = f"{base}/part-{own:08d}-{turn:06d}.fqbp"
+                        passing = f"{final}.{uuid.uuid4().hex}"
+                        sink = fs.open_output_stream(passing)
+                        writer = Writer(sink, bits)
+                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+                    if writer.total >= FILE_IDS:
                         yield finish()
-                    now, final = bucket, f"{base}/part-{bucket:08d}.fqbp"
-                    passing = f"{final}.{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(passing)
-                    writer = Writer(sink, bits)
-                writer.add(doc_id, np.concatenate([_widen(ids), np.array([END_ID], "<u4")]))
+                        writer, turn = None, turn + 1
         if writer is not None:
             yield finish()
 
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "bucket int, doc_id long, ids binary")
-    dealt = encoded.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    return dealt.mapInArrow(write, "bucket int, path string, n_docs long, n_ids long")
-
-
-def _narrow(ids: bytes) -> bytes:
-    """Two bytes an id on the way where they fit, four and a mark byte where not."""
-    wide = np.frombuffer(ids, "<u4")
-    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else ids + b"\0"
-
-
-def _widen(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids[:-1], "<u4") if len(ids) % 2 else np.frombuffer(ids, "<u2").astype("<u4")
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
+    ranged = keyed.repartitionByRange(parts, "doc_id", "tk").sortWithinPartitions("doc_id", "tk")
+    return ranged.select("doc_id", "text").mapInArrow(write, "bucket long, path string, n_docs long, n_ids long")
 
 
 def with_starts(files: DataFrame) -> DataFrame:
     """Adds to each file how many ids all files before it hold: sums in groups of files, then over groups."""
-    group = F.floor(F.col("bucket") / 1024)
+    group = F.floor(F.col("bucket") / (1024 * TURNS))
     before = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row a group of 1,024 files
+    over = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row a group of 1,024 ranges
     groups = files.groupBy(group.alias("g")).agg(F.sum("n_ids").alias("n")).select("g", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
     return files.withColumn("g", group).withColumn("within", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(groups, "g").withColumn("first", F.col("base") + F.col("within")).drop("g", "within", "base")
 
@@ -349,7 +365,8 @@ def read_ids(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame
 def round_trip(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Write all documents' ids and return what the files say."""
     spark = docs.sparkSession
-    folder = f"{checkpoint_root(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "ids")
     files = stored(write_ids(docs, folder, tokenizer), "id-files")
-    started = with_starts(files).repartition(shuffle_partitions(spark), "path")
-    return read_ids(started, folder, with_ids)
+    started = with_starts(files)
+    # one file or a few neighbours a task
+    return read_ids(started.repartitionByRange(max(shuffle_partitions(spark), -(-input_bytes(docs) // RANGE_BYTES)), "bucket"), folder, with_ids)
