@@ -2,13 +2,17 @@
 
 The network reads UTF-8 bytes in both directions, labels every position and pools the positions'
 probabilities over the document. It is trained here in numpy, by backpropagation through time, on a
-bounded sample of labelled rows (`SAMPLE_ROWS`, chosen by a hash of doc_id; at most `SAMPLE_CHARS`
-characters of each) of which pieces of `PIECE` bytes are read. For prediction a text is cut into strips of `STRIP` bytes that overlap by
-`LEAD` bytes on either side, so that all strips of a batch run side by side; every byte of every text
-is labelled exactly once. Gates use clipped linear functions, so a step is a few array operations.
+bounded sample: of each language the `SAMPLE_EACH` labelled rows that come first by a hash of doc_id, of
+each row `PIECES_EACH` pieces of `PIECE` bytes from anywhere in its text. For prediction a text is cut into
+strips of `STRIP` bytes that overlap by `LEAD` bytes on either side, so that all strips of a batch run
+side by side; every byte of every text is labelled exactly once. Gates use clipped linear functions, so
+a step is a few array operations.
 
 A text that is null or has no letter is `und` with score 0. The score is the pooled probability of
-the predicted language.
+the predicted language. Texts of any length are read whole. Rows that share a doc_id and a language count
+once in training, as the text with the least hash, and are answered one by one; a null doc_id is neither
+learnt from nor held out (null). With nothing to learn from, all is `und`; an empty table gives an empty
+one. Other columns, whatever their names, are ignored unless asked for.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, batches_of, kept_ddl, record, text_bytes, with_kept
 
 UNKNOWN = "und"
 HIDDEN = 6
-SAMPLE_ROWS, SAMPLE_CHARS, PIECE, PIECES_EACH, STEPS, ROWS_A_STEP, RATE = 3000, 20_000, 48, 4, 200, 128, 0.03
+SAMPLE_EACH, PIECE, PIECES_EACH, STEPS, ROWS_A_STEP, RATE = 800, 48, 4, 200, 128, 0.03
 STRIP, LEAD, WIDE = 240, 12, 2048
 _LETTER = regex.compile(r"\p{L}")
 
@@ -187,30 +191,47 @@ class Network:
         return out / np.maximum(size, 1)[:, None]
 
 
-def learnt(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Train on a bounded sample: the first `sample_rows` labelled rows by a hash of doc_id, `SAMPLE_CHARS` characters of each.
+def _pieces(text: str, doc_id: int) -> bytes:
+    """`PIECES_EACH` stretches of a text's bytes, `PIECE` long, from places that a hash of the id names."""
+    raw, out = text.encode(), b""
+    for k in range(PIECES_EACH):
+        start = zlib.crc32(f"{doc_id}|{k}".encode()) % max(1, len(raw) - PIECE + 1)
+        out += raw[start : start + PIECE].ljust(PIECE)
+    return out
 
-    The sample is settled on ids alone; only its own texts are fetched.
+
+def learnt(docs: DataFrame, sample_each: int = SAMPLE_EACH) -> Network:
+    """Train on a bounded sample: the first `sample_each` rows of each language by a hash of doc_id, whose pieces alone reach the driver.
+
+    Which rows is settled on ids and languages, each task first keeping no more than `sample_each` a
+    language; their texts are read by a second scan that cuts the pieces in place.
     """
+    arrow_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample_rows).select("doc_id")
-    rows = labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample_rows).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    ids = labelled.select("doc_id", "lang").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("nth", nth).where(F.col("nth") <= sample_each).select("doc_id", "lang")
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("tk", pa.int64()), ("pieces", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_of(whole):
+                kept = [k for k, t in enumerate(batch.column("text").to_pylist()) if _LETTER.search(t)]
+                part = batch.take(pa.array(kept, pa.int64()))
+                pieces = [_pieces(t, d) for t, d in zip(part.column("text").to_pylist(), part.column("doc_id").to_pylist(), strict=True)]
+                yield record(schema, doc_id=part.column("doc_id"), lang=part.column("lang"), tk=part.column("tk"), pieces=pieces)
+
+    # at most sample_each ids a language: small enough to send to every task
+    fetched = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.xxhash64("text").alias("tk"), "text")
+    found = fetched.mapInArrow(cut, "doc_id long, lang string, tk long, pieces binary")
+    one = found.groupBy("doc_id", "lang").agg(F.min(F.struct("tk", "pieces")).alias("least")).select("doc_id", "lang", "least.pieces")
+    rows = one.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    langs = rows.column("lang").to_pylist()
     network = Network(sorted(set(langs)) or [UNKNOWN])
-    rng, pieces, labels = np.random.default_rng(5), [], []
-    for text, lang in zip(texts, langs, strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        if not _LETTER.search(text):
-            continue
-        for start in rng.integers(0, max(1, len(raw) - PIECE + 1), PIECES_EACH).tolist():
-            piece = np.full(PIECE, 32, np.uint8)
-            part = raw[start : start + PIECE]
-            piece[: len(part)] = part
-            pieces.append(piece)
-            labels.append(network.languages.index(lang))
     if len(network.languages) > 1:
-        network.learn(np.array(pieces), np.array(labels))
+        pieces = np.frombuffer(b"".join(rows.column("pieces").to_pylist()), np.uint8).reshape(-1, PIECE)
+        place = {lang: k for k, lang in enumerate(network.languages)}
+        network.learn(pieces, np.repeat([place[x] for x in langs], PIECES_EACH))
     return network
 
 
