@@ -2,51 +2,55 @@
 
 Every text's words are compressed in rounds: first runs of one word, then pairs, get names of their
 own, again and again. A name is a keyed hash of what it stands for, so the same run or pair has the
-same name in every document and task without any exchange; which pairs merge depends only on the
-names that meet (a hash puts each name on the left or the right side). With each symbol goes its
-context, the words that decided how it came about. Hence equal stretches have equal symbols wherever
-the context lies inside them, and every window of `WINDOW` words can be tied to one such interior
-symbol - the one with the least hash of the highest round that has any; single words always have.
-
-Windows next to each other that are tied to one symbol form a chunk. Chunks meet by symbol:
-
-1.  Chunks equal as a whole: all but the first in document order repeat it. Each task first settles
-    this among its own chunks, so a passage that a third of all documents share reaches the
+same name in every document and task, and a round needs no exchange to name things globally; which
+pairs merge depends only on the names that meet (a hash puts each name on the left or the right side).
+With each symbol goes its context, the words that decided how it came about. Hence equal stretches
+have equal symbols wherever the context lies inside them, and every window of `WINDOW` words can be
+tied to one such interior symbol - the one with the least hash of the highest round that has any;
+single words always have. Higher rounds than the fourth seldom fit a window with their context.
+
+Windows next to each other that are tied to one symbol form a chunk. The rounds go on inside each chunk
+until one symbol is left that names it whole, however long it is. Chunks meet by the interior symbol
+and are told apart by that last symbol:
+
+1.  Chunks with the same last symbol: all but the first in document order repeat it. Each task first
+    settles this among its own chunks, so a passage that a third of all documents share reaches the
     exchange once a task.
-2.  Symbols whose first chunks still differ (the edges of a repeat): the windows of those chunks are
-    compared one by one, in the same way.
+2.  Interior symbols whose first chunks still differ (the edges of a repeat): the windows of those chunks
+    are compressed to one symbol each and settled in the same way.
 
-A comparison is of two independent 64-bit hashes of all words concerned. Rows meet packed in buckets
-by symbol; the number of buckets follows the input.
+So equality is that of names. A name is two 64-bit numbers, each made by a non-linear mix of the two names
+below it; the lowest are the halves of a 128-bit hash of the word's bytes. Unequal stretches share a name
+with probability 2^-128. Rows meet packed in buckets by interior symbol; their number follows the input.
 
 A window is judged on the input: earlier means a smaller doc_id, or the same document and an earlier
 start. A null doc_id counts as smallest. Rows that repeat a doc_id with the same text are copies of
-one document, none earlier than the other. Null and empty texts have no words.
+one document, none earlier than the other. Null and empty texts have no words; texts of any length are
+read whole. An empty table gives an empty one; columns other than doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_batches, batches_of, buckets_for, record, stored, text_bytes
+from .common import arrow_batches, batches_of, buckets_for, record, stored
 
 WINDOW = 20
 ROUNDS = ("run", "pair", "pair", "pair")
 FLUSH = 400_000
 NO_ID = -(1 << 63)
-_RNG = np.random.default_rng(20)
-_TABLES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_FACTORS = [int(x) | 1 for x in _RNG.integers(1 << 60, 1 << 62, 4)]
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
-_ENTRY = [("key", "<u8"), ("key2", "<u8"), ("doc", "<i8"), ("tk", "<i4"), ("start", "<i4"), ("n", "<i4")]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words that a worker remembers the hashes of.
+MEMO = 500_000
+_ODD = np.array([[0xD6E8FEB86659FD93], [0xA0761D6478BD642F]], np.uint64)
+_ENTRY = [("key", "<u8"), ("name", "<u8"), ("name2", "<u8"), ("doc", "<i8"), ("tk", "<i4"), ("start", "<i4"), ("n", "<i4")]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,51 +59,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of a factor modulo 2^64, and of its inverse."""
-    if which not in _powers or len(_powers[which][0]) <= n:
-        size = max(n, 1 << 20) + 1
-        factor = _FACTORS[which]
-        both = []
-        for f in (factor, pow(factor, -1, 1 << 64)):
-            row = np.full(size, f, np.uint64)
-            row[0] = 1
-            both.append(np.cumprod(row, dtype=np.uint64))
-        _powers[which] = (both[0], both[1])
-    up, down = _powers[which]
-    return up[: n + 1], down[: n + 1]
+def _joined(left: np.ndarray, right: np.ndarray, odd: np.ndarray = _ODD[0]) -> np.ndarray:
+    """The name of a pair of names; the order counts."""
+    return _mix((left ^ (left >> np.uint64(32))) * odd + right)
+
+
+def _run_name(name: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return _mix(name + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+
+def _side(name: np.ndarray, turn: int) -> np.ndarray:
+    """Whether a name stands on the right in a round's pairs."""
+    return _mix(name + np.uint64(turn)) >> np.uint64(40) & np.uint64(1) == 1
+
+
+class _Hashes(dict):
+    """128-bit hashes of words, kept for those that are met again and again."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh3_128_digest
 
-class RangeHash:
-    """Hashes of any stretch of a sequence, from prefix sums."""
+        digest = xxh3_128_digest(word, 20)
+        if len(word) <= 64:
+            self[word] = digest
+        return digest
 
-    def __init__(self, values: np.ndarray, which: int):
-        up, self.down = _power(which, len(values))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1], dtype=np.uint64)])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start] ^ (end - start).astype(np.uint64))
+_known = _Hashes()
 
 
 class Words:
-    """The words of some texts end to end: two hashes each, and where each document begins."""
-
-    def __init__(self, raw: np.ndarray, ends: np.ndarray):
-        inside = ~_IS_SPACE[raw]
-        before = np.empty(len(raw) + 1, bool)
-        before[0] = False
-        before[1:] = inside
-        before[ends] = False
-        after = np.empty(len(raw) + 1, bool)
-        after[:-1], after[-1] = inside, False
-        after[ends] = False
-        start = np.flatnonzero(inside & ~before[:-1])
-        end = np.flatnonzero(inside & ~after[1:]) + 1
-        self.first = np.searchsorted(start, ends)  # of each document, and one more
-        self.hashes = []
-        for k in range(2):
-            self.hashes.append(RangeHash(_TABLES[k][raw], k)(start, end))
-        self.by_a, self.by_b = RangeHash(self.hashes[0], 2), RangeHash(self.hashes[1], 3)
+    """The words of some texts end to end: their names (two rows), and where each document begins."""
+
+    def __init__(self, texts: list[bytes | None]):
+        parts = [t.split() if t else [] for t in texts]
+        if len(_known) > MEMO:
+            _known.clear()
+        self.first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        raw = b"".join(map(_known.__getitem__, chain.from_iterable(parts)))
+        self.names = np.ascontiguousarray(np.frombuffer(raw, "<u8").reshape(-1, 2).T)
 
     def window_starts(self) -> np.ndarray:
         count = np.maximum(np.diff(self.first) - WINDOW + 1, 0)
@@ -107,13 +105,13 @@ class Words:
 
 
 class Symbols:
-    """One round's symbols: name, context (first and last word; beyond the document if open), document."""
+    """One round's symbols: name, context (first and last word, beyond the document if open, and its hash), document."""
 
-    def __init__(self, name, low, high, doc, first):
-        self.name, self.low, self.high, self.doc, self.first = name, low, high, doc, first
+    def __init__(self, name, low, high, context, doc, first):
+        self.name, self.low, self.high, self.context, self.doc, self.first = name, low, high, context, doc, first
 
     def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
-        """The context of the symbol before and behind; a document's edge leaves it open."""
+        """Where the context of the symbol before begins and of that behind ends; a document's edge leaves it open."""
         before, behind = np.empty_like(self.low), np.empty_like(self.high)
         joined = self.doc[1:] == self.doc[:-1]
         before[1:] = np.where(joined, self.low[:-1], self.first[self.doc[1:]] - 1)
@@ -122,28 +120,60 @@ class Symbols:
             before[0], behind[-1] = self.first[self.doc[0]] - 1, self.first[self.doc[-1] + 1]
         return before, behind
 
-    def runs(self, salt: int) -> "Symbols":
+    def runs(self) -> "Symbols":
         before, behind = self._neighbours()
         head = np.flatnonzero(np.concatenate([[True], (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1])])[: len(self.name)])
         tail = np.concatenate([head[1:], [len(self.name)]])[: len(head)] - 1
-        size = (tail - head + 1).astype(np.uint64)
-        name = np.where(size > 1, _mix(self.name[head] * np.uint64(2 * salt + 3) + size), self.name[head])
-        return Symbols(name, before[head], behind[tail], self.doc[head], self.first)
+        name = np.where(tail > head, _run_name(self.name[head], tail - head + 1), self.name[head])
+        last = len(self.name) - 1
+        context = _joined(_joined(self.context[np.maximum(head - 1, 0)], name), self.context[np.minimum(tail + 1, last)])
+        return Symbols(name, before[head], behind[tail], context, self.doc[head], self.first)
 
-    def pairs(self, salt: int) -> "Symbols":
+    def pairs(self, turn: int) -> "Symbols":
         before, behind = self._neighbours()
-        right = (_mix(self.name + np.uint64(salt)) >> np.uint64(40)) & np.uint64(1) == 1
-        n = len(self.name)
+        right, n = _side(self.name, turn), len(self.name)
         merge = np.zeros(n, bool)
         merge[:-1] = ~right[:-1] & right[1:] & (self.doc[1:] == self.doc[:-1])
         low, high = np.where(right, before, self.low), np.where(right, self.high, behind)
+        beside = _joined(self.context[:-1], self.context[1:])
+        context = np.where(right, np.concatenate([[0], beside]).astype(np.uint64), np.concatenate([beside, [0]]).astype(np.uint64)) if n else self.context
         at = np.flatnonzero(merge)
         name = self.name.copy()
-        name[at] = _mix(self.name[at] * np.uint64(2 * salt + 5) + (self.name[at + 1] ^ (self.name[at + 1] >> np.uint64(17))) * np.uint64(_FACTORS[0]))
+        name[at] = _joined(self.name[at], self.name[at + 1])
         low[at], high[at] = self.low[at], self.high[at + 1]
         keep = np.ones(n, bool)
         keep[at + 1] = False
-        return Symbols(name[keep], low[keep], high[keep], self.doc[keep], self.first)
+        return Symbols(name[keep], low[keep], high[keep], context[keep], self.doc[keep], self.first)
+
+
+def whole_names(names: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The one symbol (two rows) that each stretch of words ends in: rounds of runs and pairs inside it until no other is left."""
+    out = np.empty((2, len(start)), np.uint64)
+    owner = np.repeat(np.arange(len(start)), size)
+    now = names[:, np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    turn = 0
+    while len(owner):
+        beside = owner[1:] == owner[:-1]
+        same = beside & (now[0, 1:] == now[0, :-1]) & (now[1, 1:] == now[1, :-1])
+        if same.any():
+            head = np.flatnonzero(np.concatenate([[True], ~same]))
+            length = np.diff(np.concatenate([head, [len(owner)]]))
+            now, owner = np.where(length > 1, _run_name(now[:, head], length), now[:, head]), owner[head]
+            beside = owner[1:] == owner[:-1]
+        edge = np.concatenate([[False], beside, [False]])
+        alone = ~edge[:-1] & ~edge[1:]
+        if alone.any():
+            out[:, owner[alone]] = now[:, alone]
+            now, owner = now[:, ~alone], owner[~alone]
+            beside = owner[1:] == owner[:-1]
+        right = _side(now[0], turn)
+        at = np.flatnonzero(beside & ~right[:-1] & right[1:])
+        now[:, at] = _joined(now[:, at], now[:, at + 1], _ODD)
+        keep = np.ones(len(owner), bool)
+        keep[at + 1] = False
+        now, owner = now[:, keep], owner[keep]
+        turn += 1
+    return out
 
 
 def _least(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,17 +193,17 @@ def _least(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks of all windows: symbol's key, first window, number of windows, document."""
+    """Chunks of all windows: interior symbol's key, first window, number of windows, document."""
     starts = words.window_starts()
-    n = len(words.hashes[0])
+    n = words.names.shape[1]
     if not len(starts):
         return np.zeros(0, np.uint64), starts, starts, starts
     place = np.arange(n)
     doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    now = Symbols(words.hashes[0], place, place, doc, words.first)
+    now = Symbols(words.names[0], place, place, words.names[0], doc, words.first)
     rounds = [now]
     for k, kind in enumerate(ROUNDS):
-        now = now.runs(k) if kind == "run" else now.pairs(k)
+        now = now.runs() if kind == "run" else now.pairs(k)
         rounds.append(now)
     key, low_word = np.zeros(len(starts), np.uint64), np.full(len(starts), -1, np.int64)
     open_ = np.arange(len(starts))
@@ -183,11 +213,8 @@ def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         high = np.searchsorted(symbols.high, np.arange(n + 1), side="right")[p + WINDOW - 1]
         some = high > low
         if some.any():
-            inside = (symbols.low >= 0) & (symbols.high < n) & (symbols.high >= symbols.low)
-            a, b = np.where(inside, symbols.low, 0), np.where(inside, symbols.high + 1, 0)
-            hashes = np.where(inside, words.by_a(a, b), ~np.uint64(0))
-            best = _least(hashes, low[some], high[some])
-            key[open_[some]] = hashes[best]
+            best = _least(symbols.context, low[some], high[some])
+            key[open_[some]] = symbols.context[best]
             low_word[open_[some]] = symbols.low[best]
         open_ = open_[~some]
         if not len(open_):
@@ -199,26 +226,25 @@ def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _entries(words: Words, key, start, n, doc, ids: np.ndarray, tk: np.ndarray) -> np.ndarray:
-    out = np.empty(len(key), _ENTRY)
-    out["key"], out["key2"] = key, words.by_b(start, start + n + WINDOW - 1)
+    out = np.empty(len(start), _ENTRY)
+    out["name"], out["name2"] = whole_names(words.names, start, n + WINDOW - 1)
+    out["key"] = out["name"] if key is None else key
     out["doc"], out["tk"], out["start"], out["n"] = ids[doc], tk[doc], start - words.first[doc], n
     return out
 
 
 def chunk_entries(words: Words, ids: np.ndarray, tk: np.ndarray) -> np.ndarray:
-    key, start, n, doc = chunks(words)
-    return _entries(words, key, start, n, doc, ids, tk)
+    return _entries(words, *chunks(words), ids, tk)
 
 
 def window_entries(words: Words, ids: np.ndarray, tk: np.ndarray, ranges: list[list[dict]]) -> np.ndarray:
-    """Single windows of the given ranges of each document, keyed by all their words."""
+    """Single windows of the given ranges of each document, each by the symbol it ends in."""
     pairs = [(d, r["start"], r["n"]) for d, rows in enumerate(ranges) for r in rows]
     if not pairs:
         return np.zeros(0, _ENTRY)
     doc, start, n = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
     first = np.repeat(words.first[doc] + start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    one = np.ones(len(first), np.int64)
-    return _entries(words, words.by_a(first, first + WINDOW), first, one, np.repeat(doc, n), ids, tk)
+    return _entries(words, None, first, np.ones(len(first), np.int64), np.repeat(doc, n), ids, tk)
 
 
 def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,15 +256,19 @@ def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     met[1:] |= same
     met[:-1] |= same
     alone, entries = entries[order[~met]], entries[order[met]]
-    entries = entries[np.lexsort([entries[c] for c in ("start", "doc", "key2", "key")])]
+    entries = entries[np.lexsort([entries[c] for c in ("start", "doc", "name2", "name", "key")])]
     if not len(entries):
         return alone, entries, entries
-    fresh = np.concatenate([[True], (entries["key"][1:] != entries["key"][:-1]) | (entries["key2"][1:] != entries["key2"][:-1])])
+    fresh = np.concatenate([[True], (entries["key"][1:] != entries["key"][:-1]) | _differ(entries)])
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     first = (entries["doc"] == entries["doc"][lead]) & (entries["start"] == entries["start"][lead])
     return alone, entries[first], entries[~first]
 
 
+def _differ(entries: np.ndarray) -> np.ndarray:
+    return (entries["name"][1:] != entries["name"][:-1]) | (entries["name2"][1:] != entries["name2"][:-1])
+
+
 def _pack(entries: np.ndarray) -> bytes:
     from zstandard import ZstdCompressor
 
@@ -308,7 +338,7 @@ def _met(rows: DataFrame, of_batch, buckets: int, edges: bool) -> DataFrame:
             fresh = np.flatnonzero(np.concatenate([[True], first["key"][1:] != first["key"][:-1]]))
             group_of = np.repeat(np.arange(len(fresh)), np.diff(np.concatenate([fresh, [len(first)]])))
             several = np.zeros(len(fresh), bool)
-            differ = np.flatnonzero((first["key"][1:] == first["key"][:-1]) & (first["key2"][1:] != first["key2"][:-1]))
+            differ = np.flatnonzero((first["key"][1:] == first["key"][:-1]) & _differ(first))
             several[group_of[differ]] = True
             edge = first[several[group_of]]
         cut = np.concatenate([*over, repeats])
@@ -323,6 +353,10 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("did").to_numpy(zero_copy_only=False), batch.column("tk").to_numpy(zero_copy_only=False)
 
 
+def _words(batch: pa.RecordBatch) -> Words:
+    return Words(batch.column("text").cast(pa.binary()).to_pylist())
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(did, tk, start, n): runs of n windows from word `start` that also start earlier somewhere.
 
@@ -331,10 +365,10 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     buckets = buckets_for(rows)
 
     def all_chunks(batch: pa.RecordBatch) -> np.ndarray:
-        return chunk_entries(Words(*text_bytes(batch.column("text"))), *_ids(batch))
+        return chunk_entries(_words(batch), *_ids(batch))
 
     def single_windows(batch: pa.RecordBatch) -> np.ndarray:
-        return window_entries(Words(*text_bytes(batch.column("text"))), *_ids(batch), batch.column("ranges").to_pylist())
+        return window_entries(_words(batch), *_ids(batch), batch.column("ranges").to_pylist())
 
     met = stored(_met(rows, all_chunks, buckets, edges=True), "substrings")
     open_ = met.where("not repeats").groupBy("did", "tk").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
