@@ -10,10 +10,15 @@ chains are then held to their budgets, and only what remains gets the full Hammi
 Equal fingerprints are one node from the start, so copies cost nothing. Inside a key only links that
 join what was not yet joined are passed on (a spanning forest), so a large group of near copies
 gives as many links as it has members, not as many as it has pairs - and no link between different
-fingerprints is lost. Keys with more than `BLOCK` members are split into blocks, and every pair of
-blocks becomes a task of its own.
+fingerprints is lost. Fingerprints are filed once, and keys are compared where they meet; keys with
+more than `BLOCK` members are split into blocks, and every pair of blocks becomes a task of its own.
 
-Null and empty texts, or texts of white space, have fingerprint zero and are linked like any other.
+In the component search a node is its smallest document and fingerprint, in this order, so that a
+component's root names its smallest document and nothing has to be gathered by root.
+
+Null and empty texts, or texts of white space, have fingerprint zero and are linked like any other;
+texts of any length are read whole. Rows that repeat are answered one by one. An empty table gives an
+empty one; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, batches_of, record, stored, text_key
+from .common import arrow_batches, batches_of, record, shuffle_partitions, stored, text_key
 from .components import smallest_reachable
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -139,16 +144,21 @@ def forest(left: np.ndarray, right: np.ndarray, part: int) -> list[tuple[int, in
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): enough links between distinct fingerprints (column fp) to join all within the distance."""
-    arrow_batches(nodes.sparkSession)
-    files = filed(nodes)
-    sizes = files.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("held"))
+    spark = nodes.sparkSession
+    arrow_batches(spark)
+    parts = shuffle_partitions(spark)
+    # dealt out first: a fingerprint becomes some 35 rows
+    files = filed(nodes.repartition(parts, "fp")).repartition(parts, "key")
+    of_key = Window.partitionBy("key")
+    sized = files.withColumns({"n": F.count(F.lit(1)).over(of_key), "held": F.count(F.when(~F.col("probe"), 1)).over(of_key)})
     # a key matters only if something is filed there exactly and something else meets it
-    busy = sizes.where("n > 1 and held > 0").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    spread = files.join(busy.select("key", "blocks"), "key")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = spread.withColumn("block", block).select(
-        "key", "fp", "probe", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))).alias("cell")
-    ).select("key", "fp", "probe", "block", "cell.lo", "cell.hi")
+    busy = sized.where("n > 1 and held > 0")
+    zero = F.lit(0)
+    small = busy.where(F.col("n") <= BLOCK).select("key", "fp", "probe", zero.alias("block"), zero.alias("lo"), zero.alias("hi")).sortWithinPartitions("key")
+    blocked = busy.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
+    large = blocked.select("key", "fp", "probe", "block", F.explode(cells).alias("cell")).select("key", "fp", "probe", "block", "cell.lo", "cell.hi")
+    large = large.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +174,7 @@ def links(nodes: DataFrame) -> DataFrame:
         if rest is not None and len(found := _cells(rest)):
             yield record(schema, a=pa.array(found[:, 0]), b=pa.array(found[:, 1]))
 
-    together = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return together.mapInArrow(run, "a long, b long")
+    return small.mapInArrow(run, "a long, b long").unionAll(large.mapInArrow(run, "a long, b long"))
 
 
 #: Cells up to this size are compared at once with all others of a batch; larger ones one by one.
@@ -200,28 +209,38 @@ def _cells(rows: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros((0, 2), np.int64)
 
 
+def _components(prints: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (fp, node) and, for those with links, (node, root). A node: none, id, further columns, fp; no field is null."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), *also)
+    least = prints.groupBy("fp").agg(F.min(row).alias("least"))
+    nodes = stored(least.select("fp", F.struct("least.*", "fp").alias("node")), "simhash-nodes")
+    found = links(nodes.select("fp"))
+    for end in "ab":
+        found = found.join(nodes.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end).drop(end).withColumnRenamed(f"{end}_node", f"{end}{end}")
+    return nodes, smallest_reachable(found.select(F.col("aa").alias("a"), F.col("bb").alias("b")))
+
+
+def _doc_id(node) -> Column:
+    return F.when(~node["none"], node["id"])
+
+
 def kept_rows(docs: DataFrame) -> DataFrame:
     """doc_id and tk (a hash of the text) of the row that stands for each component: the smallest doc_id, then tk.
 
     Rows that share a doc_id but hold different texts are told apart; null ids come last.
     """
-    prints = stored(fingerprints(docs, keyed=True), "simhash")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
-    nodes = prints.groupBy("fp").agg(F.min(row).alias("least"))
-    roots = smallest_reachable(links(nodes.select("fp")))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    return labelled.groupBy("root").agg(F.min("least").alias("head")).select("head.doc_id", "head.tk")
+    nodes, roots = _components(stored(fingerprints(docs, keyed=True), "simhash"), "tk")
+    others = roots.where(F.col("node") != F.col("root")).select("node")
+    return nodes.join(others, "node", "left_anti").select(_doc_id(F.col("node")).alias("doc_id"), "node.tk")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable); one row a row.
 
-    A null doc_id counts as larger than all others; a component of nulls alone has a null id.
+    A null doc_id counts as larger than all others; a component of nulls alone has a null id. The last
+    join's key is the fingerprint: where many rows share one, adaptive execution splits their partition.
     """
     prints = stored(fingerprints(docs), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = smallest_reachable(links(nodes.select("fp")))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(heads, "root").select("fp", "component_id")
+    nodes, roots = _components(prints)
+    named = nodes.join(roots, "node", "left").select("fp", _doc_id(F.coalesce("root", "node")).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
