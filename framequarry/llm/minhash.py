@@ -10,8 +10,13 @@ likeness takes that out again.
 Texts of fewer words than a shingle are one shingle; texts without words have an empty fingerprint,
 which is like another empty one (1) and unlike all others (0).
 
-Neighbours in ascending doc_id are found by dealing documents to ranges of doc_id; the first document
-of each range is also dealt to the range before it. Nulls come first, ties in doc_id go by text.
+Neighbours in ascending doc_id are found on ids alone: these are sorted by Spark's range partitioner, and
+each gets its neighbours' keys; over the borders of partitions one row a partition is looked at. Texts
+are exchanged once, by their own key; of each, as much as the document before it takes goes there.
+Nulls come first, ties in doc_id go by the text's hash; rows that repeat follow each other.
+
+Texts of any length are read whole; null is like empty. An empty table gives an empty one; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +25,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_bytes, range_bounds, range_bucket, shuffle_partitions
+from .common import stored
 
 SHINGLE, BINS, BITS = 5, 128, 8
-RANGE_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 
 
@@ -94,38 +98,39 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one.isNull() | other.isNull(), F.lit(None).cast("double")).when((one == "") | (other == ""), (one == other).cast("double")).otherwise(estimate)
 
 
-def with_next_document(docs: DataFrame) -> DataFrame:
-    """Deals documents to ranges of doc_id, each with the first document of the next range as a guest (the first of all for the last).
+def neighbour_keys(rows: DataFrame) -> DataFrame:
+    """For each distinct (did, tk): how many rows it has, the key before it (b_did, b_tk) and what that takes of a text (taken).
 
-    Returns columns b (range), guest, doc_id, text; a range's rows are one partition's.
+    rows: did, tk (the text's hash), n (its code points). The first key follows the last.
     """
-    spark = docs.sparkSession
-    parts = max(4 * shuffle_partitions(spark), input_bytes(docs) // RANGE_BYTES)
-    slim = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = range_bounds(slim, "did", parts)
-    ranged = slim.withColumn("b", range_bucket(F.col("did"), bounds))
-    # one row a range, on the driver: where each begins; their number is bounded by `parts`
-    lowest = dict(sorted((r["b"], r["least"]) for r in ranged.groupBy("b").agg(F.min("did").alias("least")).collect()))
-    if not lowest:
-        return ranged.select("b", F.lit(False).alias("guest"), "did", "doc_id", "text")
-    before = dict(zip(lowest, [[*lowest][-1], *lowest], strict=False))
-    firsts = F.lit([lowest.get(k, 0) for k in range(len(bounds) + 1)]).cast("array<bigint>")
-    homes = F.lit([before.get(k, 0) for k in range(len(bounds) + 1)])
-    own = F.struct(F.col("b"), F.lit(False).alias("guest"))
-    lent = F.struct(F.get(homes, F.col("b")).cast("int").alias("b"), F.lit(True).alias("guest"))
-    home = F.when(F.col("did") == F.get(firsts, F.col("b")), F.array(own, lent)).otherwise(F.array(own))
-    return ranged.withColumn("home", F.explode(home)).select("home.b", "home.guest", "did", "doc_id", "text")
+    one = rows.groupBy("did", "tk").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    # rows in order, numbered by partition and place in it; written, so that the numbers stay what they are
+    placed = stored(one.repartitionByRange("did", "tk").sortWithinPartitions("did", "tk").withColumn("at", F.monotonically_increasing_id()), "minhash-order").withColumn("part", F.shiftright("at", 33))
+    key = F.struct("did", "tk", "n")
+    here = Window.partitionBy("part").orderBy("at")
+    inside = placed.withColumn("before", F.lag(key).over(here))
+    ends = placed.groupBy("part").agg(F.max_by(key, "at").alias("last"))
+    over = Window.orderBy("part")  # one row a partition
+    every = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = ends.select("part", F.coalesce(F.lag("last").over(over), F.last("last").over(every)).alias("edge"))
+    linked = inside.join(edges, "part").withColumn("before", F.coalesce("before", "edge"))
+    return linked.select("did", "tk", "copies", F.col("before.did").alias("b_did"), F.col("before.tk").alias("b_tk"), F.floor(F.col("before.n") / 4).cast("int").alias("taken"))
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """The contract's digest: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    dealt = with_next_document(docs).repartition("b")
-    order = Window.partitionBy("b").orderBy("guest", "did", "text")
-    follows = dealt.withColumn("after", F.lead("text").over(order))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
+    keys = neighbour_keys(texts.select("did", "tk", F.length("text").alias("n")))
+    # both sides of the last join read this exchange: its columns are the same in each
+    printed = texts.select("did", "tk", "text", fingerprint(F.col("text")).alias("fingerprint"))
+    together = printed.hint("merge").join(keys, ["did", "tk"]).withColumn("nth", F.row_number().over(Window.partitionBy("did", "tk").orderBy("did")))
+    lent = together.where("nth = 1").select(F.col("b_did").alias("did"), F.col("b_tk").alias("tk"), F.substring(F.col("text"), F.lit(1), F.col("taken")).alias("after"), F.col("fingerprint").alias("next_fingerprint"))
+    follows = together.select("did", "tk", "text", "fingerprint", "copies", "nth").join(lent.hint("merge"), ["did", "tk"])
     size = F.length("text")
     taken = F.floor(size / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), size - taken), F.substring(F.coalesce("after", F.lit("")), F.lit(1), taken))
-    marked = follows.select("b", "guest", "did", "doc_id", "text", size.cast("long").alias("n_chars"), edited.alias("edited"))
-    printed = marked.select("b", "guest", "did", "doc_id", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), F.when(~F.col("guest"), fingerprint(F.col("edited"))).alias("edited_fingerprint"))
-    paired = printed.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where(~F.col("guest"))
-    return paired.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    last = F.col("nth") == F.col("copies")  # rows that repeat are each other's next, all but the last
+    head = F.when(last, F.col("after")).otherwise(F.substring(F.col("text"), F.lit(1), taken))
+    edited = follows.select("did", size.cast("long").alias("n_chars"), "fingerprint", F.when(last, F.col("next_fingerprint")).otherwise(F.col("fingerprint")).alias("next_fingerprint"), F.concat(F.substring(F.col("text"), F.lit(1), size - taken), head).alias("edited"))
+    done = edited.select("did", "n_chars", "fingerprint", "next_fingerprint", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+    near = {"near_edited": "edited_fingerprint", "near_next": "next_fingerprint"}
+    return done.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *(likeness(F.col("fingerprint"), F.col(other)).alias(name) for name, other in near.items()))
