@@ -7,9 +7,11 @@ its Burrows-Wheeler transform, held as a wavelet tree; all test phrases are sear
 once through its ranks, occurrences are located by walking to sampled suffix positions, and their
 spans are merged into the words to remove.
 
-The test phrases are the one broadcast: they are read in blocks of at most `BLOCK_WORDS` words,
-whatever the benchmark's size, and every block is searched in all shards; spans of several blocks are
-united per document. Null texts and items have no words; an item without words has no phrase; rows
+The test phrases are the one broadcast: they are read in blocks of at most `BLOCK_WORDS` words (one item
+may be longer), whatever the benchmark's size, and held as arrays of word numbers; every block is searched in
+all shards, and spans of several blocks are united per document. A text longer than a shard is a shard of its
+own. An empty table gives an empty one, an empty benchmark no hits; other columns, whatever their names,
+are ignored unless asked for. Null texts and items have no words; an item without words has no phrase; rows
 that share an item_id are one item with the phrases of each. The phrases of items with a null id are
 found like any other; only among a document's items such an item has no place.
 """
@@ -30,7 +32,7 @@ from .common import arrow_batches, batches_of, kept_ddl, record, text_key, with_
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 400_000
 SAMPLE = 8
 #: Bytes of the contract's words: digits, letters (upper case falls to lower) and all beyond ASCII; others part words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,30 +43,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WaveletMatrix:
-    """A sequence of small integers by bit levels, with access and rank for arrays of positions."""
+    """A sequence of small integers by bit levels, with access and rank for arrays of positions.
+
+    A level is one bit an entry and one count a word of 64 bits.
+    """
 
     def __init__(self, values: np.ndarray, bits: int):
-        self.bits, self.zeros, self.ones, now = bits, [], [], values
+        self.bits, self.zeros, self.words, self.counts, now = bits, [], [], [], values
         for level in range(bits - 1, -1, -1):
-            bit = (now >> level & 1).astype(np.int32)
-            self.ones.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32))
-            self.zeros.append(len(bit) - int(self.ones[-1][-1]))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            bit = (now >> level & 1).astype(bool)
+            packed = np.packbits(np.concatenate([bit, np.zeros(64 + -len(bit) % 64, bool)]), bitorder="little").view("<u8")
+            self.words.append(packed)
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32))
+            self.zeros.append(len(bit) - int(self.counts[-1][-1]))
+            now = np.concatenate([now[~bit], now[bit]])
+
+    def _ones(self, k: int, upto: np.ndarray) -> np.ndarray:
+        """Set bits of level k before each position."""
+        word = upto >> 6
+        mask = (np.uint64(1) << (upto & 63).astype(np.uint64)) - np.uint64(1)
+        return self.counts[k][word] + np.bitwise_count(self.words[k][word] & mask)
 
     def rank(self, symbols: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each position."""
         low, high = np.zeros_like(upto), upto
         for k in range(self.bits):
-            bit, ones, zeros = symbols >> (self.bits - 1 - k) & 1 == 1, self.ones[k], self.zeros[k]
-            a, b = ones[low], ones[high]
+            bit, zeros = symbols >> (self.bits - 1 - k) & 1 == 1, self.zeros[k]
+            a, b = self._ones(k, low), self._ones(k, high)
             low, high = np.where(bit, zeros + a, low - a), np.where(bit, zeros + b, high - b)
         return high - low
 
     def access(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros_like(at)
-        for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            a = ones[at]
-            bit = ones[at + 1] - a
+        for k, zeros in enumerate(self.zeros):
+            bit = (self.words[k][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            a = self._ones(k, at)
             out = out << 1 | bit
             at = np.where(bit == 1, zeros + a, at - a)
         return out
@@ -95,31 +108,31 @@ class FMIndex:
         ranks = np.where(parts, np.cumsum(parts) - 1, symbols.astype(np.int64) + count)  # each separator differs, so no tie crosses one
         order = suffix_array(ranks)
         transformed = symbols[order - 1]  # the first suffix takes the last symbol, a separator
-        self.size = len(symbols)
+        self.size, self.present = len(symbols), np.unique(symbols)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=alphabet + 1))]).astype(np.int64)
         self.tree = WaveletMatrix(transformed, max(1, int(alphabet).bit_length()))
-        kept = (order % SAMPLE == 0) | (transformed == 0)  # a walk never has to pass a separator
-        self.sampled = np.full(self.size, -1, np.int64)
-        self.sampled[kept] = order[kept]
-
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows whose suffixes begin with each phrase (phrases: one row each, equal lengths)."""
-        low = np.zeros(len(phrases), np.int64)
-        high = np.full(len(phrases), self.size, np.int64)
-        for k in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[:, k].astype(np.int64)
+        # a walk never has to pass a separator; rows are ascending, so their positions are found by bisection
+        self.rows = np.flatnonzero((order % SAMPLE == 0) | (transformed == 0)).astype(np.int32)
+        self.places = order[self.rows].astype(np.int32)
+
+    def search(self, words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The phrases words[start : start + length] that occur: their numbers, and the range of rows whose suffixes begin with each."""
+        found = np.arange(len(starts))
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
+        for k in range(length - 1, -1, -1):
+            symbol = words[starts[found] + k].astype(np.int64)
             low, high = self.starts[symbol] + self.tree.rank(symbol, low), self.starts[symbol] + self.tree.rank(symbol, high)
-            if not (high > low).any():
-                break
-        return low, np.maximum(high, low)
+            live = high > low
+            found, low, high = found[live], low[live], high[live]
+        return found, low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of rows, by walking back to sampled ones."""
         out, rows, todo, steps = np.empty(len(rows), np.int64), rows.astype(np.int64), np.arange(len(rows)), 0
         while len(todo):
-            known = self.sampled[rows]
-            done = known >= 0
-            out[todo[done]] = known[done] + steps
+            at = np.minimum(np.searchsorted(self.rows, rows), len(self.rows) - 1)
+            done = self.rows[at] == rows
+            out[todo[done]] = self.places[at[done]] + steps
             todo, rows = todo[~done], rows[~done]
             symbol = self.tree.access(rows).astype(np.int64)
             rows = self.starts[symbol] + self.tree.rank(symbol, rows)
@@ -128,21 +141,25 @@ class FMIndex:
 
 
 class Phrases:
-    """A block of the benchmark: vocabulary, distinct phrases by length, and the items of each."""
+    """A block of the benchmark: its vocabulary, its words as numbers end to end, and where phrases of each length begin."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            size = min(WINDOW, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(tuple(ids[k : k + size]), set()).update(() if item is None else (item,))
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for phrase in found:
-            by_length.setdefault(len(phrase), []).append(phrase)
-        self.groups = [(size, np.array(group, np.int32), [sorted(found[p]) for p in group]) for size, group in sorted(by_length.items())]
-        self.shortest = min(by_length, default=WINDOW)
+        number = self.vocabulary.setdefault
+        self.words = np.array([number(w, len(self.vocabulary) + 1) for _, words in items for w in words], np.int32)
+        first = np.concatenate([[0], np.cumsum([len(words) for _, words in items], dtype=np.int64)])
+        size = np.diff(first)
+        length = np.minimum(size, WINDOW)
+        self.names = sorted({item for item, words in items if words and item is not None})
+        place = {item: k for k, item in enumerate(self.names)}
+        owner = np.array([place.get(item, -1) for item, _ in items], np.int64)
+        self.groups = []
+        for n in np.unique(length[length > 0]).tolist():
+            of = np.flatnonzero(length == n)
+            count = size[of] - n + 1
+            starts = np.repeat(first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            self.groups.append((n, starts.astype(np.int32), np.repeat(owner[of], count)))
+        self.shortest = min((n for n, _, _ in self.groups), default=WINDOW)
 
     def in_shard(self, texts: list[str | None]) -> tuple[list[int], list[list[int]], list[list[str]]]:
         """For each text: its words, its merged spans (start, end, ... by word) and its items."""
@@ -152,7 +169,7 @@ class Phrases:
             counts.append(len(words))
             parts.append(np.fromiter(map(lookup, words, repeat(0)), np.int32, len(words)))
             parts.append(np.zeros(1, np.int32))
-        spans, items = [[] for _ in texts], [set() for _ in texts]
+        spans, items = [[] for _ in texts], [[] for _ in texts]
         symbols = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], symbols != 0, [0]]).astype(np.int8)))
         begin, end = edge[::2], edge[1::2]
@@ -164,25 +181,30 @@ class Phrases:
             index = FMIndex(symbols[place], len(self.vocabulary))
             first_word = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
             covered = np.zeros(len(symbols) + 1, np.int32)
-            for length, phrases, owners in self.groups:
-                low, high = index.search(phrases)
+            here = np.zeros(len(self.vocabulary) + 1, bool)
+            here[index.present] = True
+            pairs = []
+            for length, starts, owners in self.groups:
+                likely = np.flatnonzero(np.logical_and.reduce([here[self.words[starts + k]] for k in range(length)]))
+                found, low, high = index.search(self.words, starts[likely], length)
                 number = high - low
-                rows = np.repeat(low - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum())
+                rows = np.repeat(low - (np.cumsum(number) - number), number) + np.arange(number.sum())
                 if not len(rows):
                     continue
                 start = place[index.locate(rows)]
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + length, -1)
                 row = np.searchsorted(first_word, start, side="right") - 1
-                pairs = np.unique(row * len(phrases) + np.repeat(np.arange(len(phrases)), number))
-                for doc, phrase in zip((pairs // len(phrases)).tolist(), (pairs % len(phrases)).tolist(), strict=True):
-                    items[doc].update(owners[phrase])
+                owner = np.repeat(owners[likely[found]], number)
+                pairs.append(np.unique((row * (len(self.names) + 1) + owner)[owner >= 0]))
+            for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+                items[pair // (len(self.names) + 1)].append(self.names[pair % (len(self.names) + 1)])
             hit = np.cumsum(covered) > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8)))
             row = np.searchsorted(first_word, edge[::2], side="right") - 1
             for doc, a, b in zip(row.tolist(), (edge[::2] - first_word[row]).tolist(), (edge[1::2] - first_word[row]).tolist(), strict=True):
                 spans[doc] += [a, b]
-        return counts, spans, [sorted(x) for x in items]
+        return counts, spans, items
 
 
 def phrase_blocks(benchmark: DataFrame) -> Iterator[Phrases]:
