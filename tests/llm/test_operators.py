@@ -79,15 +79,45 @@ def test_substrings_equal_brute_force(spark):
 def test_recompression_names_equal_stretches_alike():
     rng = random.Random(3)
     middle = " ".join(f"m{rng.randint(0, 9)}" for _ in range(60)).encode()
-    raws = [b"a b c d " + middle + b" x y", b"q " + middle + b" z z z z"]
     keys = []
-    for raw in raws:
-        w = substrings.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        e = substrings.chunk_entries(w, np.zeros(1, np.int64), np.zeros(1, np.int32))
+    for raw in (b"a b c d " + middle + b" x y", b"q " + middle + b" z z z z"):
+        e = substrings.chunk_entries(substrings.Words([raw]), np.zeros(1, np.int64), np.zeros(1, np.int32))
         keys.append(set(e["key"].tolist()))
     assert len(keys[0] & keys[1]) >= 3
 
 
+def test_rounds_end_in_one_symbol_for_equal_stretches_only():
+    rng = random.Random(4)
+    stretches = [tuple(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(3000)] + [("a",) * k for k in range(1, 40)]
+    words = substrings.Words([" ".join(s).encode() for s in stretches])
+    names = substrings.whole_names(words.names, words.first[:-1], np.diff(words.first))
+    by_name = {}
+    for stretch, name in zip(stretches, names.T.tolist(), strict=True):
+        by_name.setdefault(tuple(name), set()).add(stretch)
+    assert all(len(x) == 1 for x in by_name.values()) and len(by_name) == len(set(stretches))
+
+
+def thue_morse(n: int) -> list[int]:
+    return [k.bit_count() & 1 for k in range(n)]
+
+
+def test_words_and_stretches_that_fool_sums_modulo_two_to_the_64(spark):
+    one, two = ("".join("ab"[b ^ flip] for b in thue_morse(4096)) for flip in (0, 1))
+    side = [" ".join(f"{c}{k}" for k in range(12)) for c in "xy"]
+    rows = [(1, f"{side[0]} {one} {side[1]}"), (2, f"{side[0]} {two} {side[1]}")]
+    rows += [(3 + flip, " ".join(["left", "right"][b ^ flip] for b in thue_morse(4096))) for flip in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.dedup_substrings(df).collect()}
+    assert got[1].n_removed == got[2].n_removed == 0
+    assert {tuple(r) for r in got.values()} == brute_substrings(rows)
+
+
+def test_a_word_of_a_million_signs_and_very_long_texts(spark):
+    long = " ".join(f"w{k % 7919}" for k in range(300_000))
+    rows = [(1, "z" * 1_000_000), (2, long), (3, f"before {long[:600_000]}"), (4, "again " * 100_000), (5, f"{'z' * 1_000_000} " * 21)]
+    assert {tuple(r) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == brute_substrings(rows)
+
+
 # -- op 2 -------------------------------------------------------------------------------------
 
 
@@ -154,10 +184,48 @@ def test_weak_parts_need_each_other():
     assert secrets.scan(alone)[1] == []
     assert [k for k, _, _ in secrets.scan(linked)[1]] == ["identifier", "candidate"]
     assert secrets.scan(f"user=alice\n\n{weak}")[1] == []  # another paragraph
-    assert secrets.scan("user=alice" + " x" * 300 + f" {weak}")[1] == []  # out of reach
+    assert [k for k, _, _ in secrets.scan("user=alice" + " x" * 9000 + f" {weak}")[1]] == ["identifier", "candidate"]  # however far
     assert secrets.redact(linked, secrets.scan(linked)[1]) == "[SECRET] and [SECRET] here"
 
 
+def brute_scan(text):
+    """The contract's strong spans and the linked weak ones, pair by pair."""
+    text = text or ""
+    base = [("assign", m.start(), m.end()) for m in re.finditer("""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m.group(1)) >= 6]
+    base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    base += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    order = ["assign", "access", "hex", "identifier", "candidate", "endpoint"]
+    base.sort(key=lambda s: (s[1], order.index(s[0])))
+    scopes = [0, *(m.start() for m in re.finditer("\n[\x20\t\r]*\n", text)), len(text) + 1]
+    scope = {k: max(i for i, at in enumerate(scopes) if at <= k) for k in range(len(text) + 1)}
+    weak = secrets.weak_spans(text)
+    extra = []
+    for kind, s, e in weak:
+        if kind == "candidate" and any(a < e and s < b for _, a, b in base):
+            continue
+        fits = ("access", "identifier", "endpoint") if kind == "candidate" else ("assign", "hex", "candidate")
+        if any(k in fits and scope[a] == scope[s] and (b <= s or a >= e) for k, a, b in base + weak):
+            extra.append((kind, s, e))
+    return base, sorted(base + extra, key=lambda s: (s[1], order.index(s[0])))
+
+
+def test_scan_equals_brute_force_on_a_table(spark, small):
+    rng = random.Random(8)
+    bits = ["user=alice", "login: bob-7", "secret=hunter22", "token = ab", "AKIA" + "B2" * 8, "AKIA", "0123456789abcdef" * 2, "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hI6kL9n", "https://host.example/x?y=1", "\n\n", "\n \n", "\n", " ", "é", ",", "api_key='zzzzzzzz", "secret=" + "0123456789abcdef01234567." * 3 + "Zz9" * 12]
+    rows = [(k, "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 14)))) for k in range(400)] + [(1000, None), (1001, "")]
+    rows += [(2000 + r.doc_id, r.text) for r in table(spark, small, "documents").collect()]
+    got = {r.doc_id: r for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = 0
+    for k, text in rows:
+        base, spans = brute_scan(text)
+        linked += len(spans) - len(base)
+        want = [sum(kind == x for x, _, _ in base) for kind in ("assign", "access", "hex")]
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == want
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in base).encode()).hexdigest()
+        assert got[k].spans == ",".join(f"{a}:{b}:{c}" for a, b, c in spans), text
+    assert linked > 200
+
+
 def test_values_behind_an_equals_sign_and_long_values_are_linked():
     def masked(text):
         return secrets.redact(text, secrets.scan(text)[1])
@@ -288,6 +356,62 @@ def test_languages_of_held_out_rows(spark, network):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.95
 
 
+def test_every_language_and_the_whole_text_are_learnt_from(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid.Network, "learn", lambda self, pieces, labels: seen.update(pieces=pieces.tobytes(), labels=labels.tolist(), names=self.languages))
+    monkeypatch.setattr(langid, "PIECES_EACH", 64)
+    rows = [(k, "common " * 30, "aa") for k in range(3000)] + [(9001, "rare words " * 9, "zz"), (9001, "rare words " * 9, "zz"), (9002, "start " * 2000 + "finish " * 2000, "mm"), (None, "no id", "qq")]
+    rows = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for df in (docs.repartition(3), docs.repartition(5)):
+        langid.learnt(df, 50)
+        want = sorted({r[2] for r in rows if r[0] is not None})
+        assert seen["names"] == want and {"aa"} < set(want)
+        assert max(seen["labels"].count(k) for k in range(len(want))) == 50 * 64 and seen["labels"].count(want.index("mm")) == 64
+        assert b"finish" in seen["pieces"] and b"start" in seen["pieces"]
+        first = seen.setdefault("first", seen["pieces"])
+        assert seen["pieces"] == first  # whatever the partitions
+
+
+def brute_network(net, text):
+    """One text's pooled probabilities, one byte and one strip after the other."""
+    raw, sums = text.encode(), np.zeros(len(net.languages))
+    for at in range(0, len(raw), langid.STRIP):
+        lead = langid.LEAD
+        strip = [raw[k] if 0 <= k < len(raw) else 32 for k in range(at - lead, at + langid.STRIP + lead)]
+        states = {}
+        for d, order in (("f", strip), ("b", strip[::-1])):
+            h, out = np.zeros(langid.HIDDEN), []
+            table, gate, cand = (net.weights[n + d].astype(float) for n in ("in", "gate", "cand"))
+            for byte in order:
+                zr = np.clip(0.25 * (table[byte][: 2 * langid.HIDDEN] + h @ gate) + 0.5, 0, 1)
+                z, r = zr[: langid.HIDDEN], zr[langid.HIDDEN :]
+                c = np.clip(table[byte][2 * langid.HIDDEN :] + (r * h) @ cand, -1, 1)
+                h = h + z * (c - h)
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        for k in range(lead, lead + min(langid.STRIP, len(raw) - at)):
+            logits = np.concatenate([states["f"][k], states["b"][k]]) @ net.weights["out"] + net.weights["bias"]
+            p = np.exp(logits - logits.max())
+            sums += p / p.sum()
+    return sums / max(1, len(raw))
+
+
+def test_rows_equal_a_network_run_byte_by_byte(spark, network, small):
+    docs = [(r.doc_id, r.text) for r in table(spark, small, "documents").collect()]
+    docs = sorted(docs, key=lambda r: len(r[1]))[:25] + [(10**6, "é" * 300), (10**6 + 1, ""), (10**6 + 2, None), (10**6 + 3, "12 34")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string"), network).collect()}
+    for d, text in docs:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        p = brute_network(network, text)
+        assert got[d].score == pytest.approx(p.max(), abs=1e-3)
+        if np.diff(np.sort(p))[-1] > 2e-3:
+            assert got[d].lang_pred == network.languages[int(p.argmax())]
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+
+
 def test_fast_prediction_equals_the_training_network(network):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 123, (5, 40)).astype(np.uint8)
@@ -505,13 +629,41 @@ def test_words_encode_like_the_library():
 
     path, rng = bitplanes.default_tokenizer(), random.Random(2)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    letters = [*"abC '  \n\t\r\xa0\x1c\x85́éñΣİ12٣!?_\x01", "the", "'s", "中", "😀", "<|endoftext|>"]
-    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2000)]
+    letters = [*"abC '  \n\t\r\xa0\x1c\x85́éñΣİ12٣!?_\x01", "the", "'s", "中", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|EndOfText|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)] + ["a <|startoftext|> b", "x<|endoftext|>y", "<|endoftext|><|endoftext|>"]
+    assert whole.encode(texts[-3], add_special_tokens=False).ids == [320, 49406, 321]
     want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
     assert bitplanes.word_encoder(path).encode_all(texts) == want
 
 
+def test_another_tokenizer_is_not_read_by_this_ones_steps():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The quick  Brown\nfox's <|endoftext|> É", "", None, " a"]
+    encoder = bitplanes.WordEncoder(path)
+    assert not encoder.by_parts and bitplanes.word_encoder(bitplanes.default_tokenizer()).by_parts
+    assert encoder.encode_all(texts) == [np.array(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_ranges_and_files_keep_the_order(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 30) if k % 3 else 7, " ".join(rng.choices(["the", "cat", "sat", "on"], k=rng.randint(0, 40)))) for k in range(300)] + [(None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bitplanes, "FILE_IDS", 100)
+    got = bitplanes.round_trip(docs, with_ids=True).collect()
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    at = 0
+    for r in order:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids) // 4, zlib.crc32(r.ids))
+        at += r.n_tokens
+    encoder = bitplanes.word_encoder(bitplanes.default_tokenizer())
+    end = np.array([2], "<u4").tobytes()
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(d), encoder.encode_all([t])[0] + end) for d, t in rows)
+
+
 def test_files_give_back_every_document(spark):
     from tokenizers import Tokenizer
 
