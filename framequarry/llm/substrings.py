@@ -9,19 +9,20 @@ have equal symbols wherever the context lies inside them, and every window of `W
 tied to one such interior symbol - the one with the least hash of the highest round that has any;
 single words always have. Higher rounds than the fourth seldom fit a window with their context.
 
-Windows next to each other that are tied to one symbol form a chunk. The rounds go on inside each chunk
-until one symbol is left that names it whole, however long it is. Chunks meet by the interior symbol
-and are told apart by that last symbol:
+Windows next to each other that are tied to one symbol form a chunk. Chunks meet by that interior symbol
+and are verified by a name of all their words, however many they are: a second series of rounds names the
+pairs of neighbouring stretches of 1, 2, 4, ... words at every place, until they exceed the window and the
+chunk, which the pair of its first and its last such stretch then names.
 
-1.  Chunks with the same last symbol: all but the first in document order repeat it. Each task first
+1.  Chunks with the same name: all but the first in document order repeat it. Each task first
     settles this among its own chunks, so a passage that a third of all documents share reaches the
     exchange once a task.
 2.  Interior symbols whose first chunks still differ (the edges of a repeat): the windows of those chunks
-    are compressed to one symbol each and settled in the same way.
+    are named one by one and settled in the same way.
 
-So equality is that of names. A name is two 64-bit numbers, each made by a non-linear mix of the two names
-below it; the lowest are the halves of a 128-bit hash of the word's bytes. Unequal stretches share a name
-with probability 2^-128. Rows meet packed in buckets by interior symbol; their number follows the input.
+So equality is that of names. A verifying name is two 64-bit numbers, each made by a non-linear mix of the two
+names below it; the lowest are the halves of a 128-bit hash of the word's bytes. Unequal stretches share a
+name with probability 2^-128. Rows meet packed in buckets by interior symbol; their number follows the input.
 
 A window is judged on the input: earlier means a smaller doc_id, or the same document and an earlier
 start. A null doc_id counts as smallest. Rows that repeat a doc_id with the same text are copies of
@@ -146,33 +147,18 @@ class Symbols:
         return Symbols(name[keep], low[keep], high[keep], context[keep], self.doc[keep], self.first)
 
 
-def whole_names(names: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The one symbol (two rows) that each stretch of words ends in: rounds of runs and pairs inside it until no other is left."""
+def stretch_names(names: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A name (two rows) for each stretch of words: rounds name pairs of stretches of 1, 2, 4, ... words, two of which cover it."""
     out = np.empty((2, len(start)), np.uint64)
-    owner = np.repeat(np.arange(len(start)), size)
-    now = names[:, np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    turn = 0
-    while len(owner):
-        beside = owner[1:] == owner[:-1]
-        same = beside & (now[0, 1:] == now[0, :-1]) & (now[1, 1:] == now[1, :-1])
-        if same.any():
-            head = np.flatnonzero(np.concatenate([[True], ~same]))
-            length = np.diff(np.concatenate([head, [len(owner)]]))
-            now, owner = np.where(length > 1, _run_name(now[:, head], length), now[:, head]), owner[head]
-            beside = owner[1:] == owner[:-1]
-        edge = np.concatenate([[False], beside, [False]])
-        alone = ~edge[:-1] & ~edge[1:]
-        if alone.any():
-            out[:, owner[alone]] = now[:, alone]
-            now, owner = now[:, ~alone], owner[~alone]
-            beside = owner[1:] == owner[:-1]
-        right = _side(now[0], turn)
-        at = np.flatnonzero(beside & ~right[:-1] & right[1:])
-        now[:, at] = _joined(now[:, at], now[:, at + 1], _ODD)
-        keep = np.ones(len(owner), bool)
-        keep[at + 1] = False
-        now, owner = now[:, keep], owner[keep]
-        turn += 1
+    turns = np.frexp(size)[1] - 1
+    now, step = names, 1
+    for turn in range(int(turns.max(initial=-1)) + 1):
+        mine = np.flatnonzero(turns == turn)
+        if len(mine):
+            ends = _joined(now[:, start[mine]], now[:, start[mine] + size[mine] - step], _ODD)
+            out[:, mine] = _joined(ends, size[mine].astype(np.uint64), _ODD)
+        now = _joined(now[:, :-step], now[:, step:], _ODD)
+        step *= 2
     return out
 
 
@@ -227,7 +213,7 @@ def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _entries(words: Words, key, start, n, doc, ids: np.ndarray, tk: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), _ENTRY)
-    out["name"], out["name2"] = whole_names(words.names, start, n + WINDOW - 1)
+    out["name"], out["name2"] = stretch_names(words.names, start, n + WINDOW - 1)
     out["key"] = out["name"] if key is None else key
     out["doc"], out["tk"], out["start"], out["n"] = ids[doc], tk[doc], start - words.first[doc], n
     return out
@@ -238,7 +224,7 @@ def chunk_entries(words: Words, ids: np.ndarray, tk: np.ndarray) -> np.ndarray:
 
 
 def window_entries(words: Words, ids: np.ndarray, tk: np.ndarray, ranges: list[list[dict]]) -> np.ndarray:
-    """Single windows of the given ranges of each document, each by the symbol it ends in."""
+    """Single windows of the given ranges of each document, each by the name of its words."""
     pairs = [(d, r["start"], r["n"]) for d, rows in enumerate(ranges) for r in rows]
     if not pairs:
         return np.zeros(0, _ENTRY)

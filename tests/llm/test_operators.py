@@ -86,11 +86,11 @@ def test_recompression_names_equal_stretches_alike():
     assert len(keys[0] & keys[1]) >= 3
 
 
-def test_rounds_end_in_one_symbol_for_equal_stretches_only():
+def test_names_are_equal_for_equal_stretches_only():
     rng = random.Random(4)
     stretches = [tuple(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(3000)] + [("a",) * k for k in range(1, 40)]
     words = substrings.Words([" ".join(s).encode() for s in stretches])
-    names = substrings.whole_names(words.names, words.first[:-1], np.diff(words.first))
+    names = substrings.stretch_names(words.names, words.first[:-1], np.diff(words.first))
     by_name = {}
     for stretch, name in zip(stretches, names.T.tolist(), strict=True):
         by_name.setdefault(tuple(name), set()).add(stretch)
