@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of box handling.
-NORM, SMALLEST_SHARE, LARGEST_SHARE = 1000, 0.002, 0.98
+NORM, SMALLEST_SHARE, LARGEST_SHARE = 1000, 0.005, 0.92
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -70,3 +70,11 @@ def fixed_8_24(fraction: Column) -> Column:
 
 def signed32(raw: Column) -> Column:
     return F.when(raw >= 1 << 31, raw - (1 << 32)).otherwise(raw)
+
+
+def frame_on_canvas(w: Column, h: Column, to_w: int, to_h: int, margin_pct: Column, allow_upscale: Column) -> Column:
+    """A whole frame on a canvas: scale, new size and corner; its layers move with it."""
+    raw = F.least(to_w / w, to_h / h) * F.greatest(1.0 - margin_pct / 100.0 * 2.0, F.lit(0.05))
+    scale = F.when((raw > 1.0) & ~allow_upscale, F.lit(1.0)).otherwise(raw)
+    width, height = (F.greatest(F.lit(1), F.bround(side * scale, 0).cast("int")) for side in (w, h))
+    return F.struct(scale.alias("scale"), width.alias("width"), height.alias("height"), F.floor((to_w - width) / 2).cast("int").alias("x0"), F.floor((to_h - height) / 2).cast("int").alias("y0"))

@@ -11,7 +11,10 @@ RAW = ("crw", "cr2", "cr3", "dng", "nef", "raw")
 RENDERABLE = ("png", "jpeg", "webp", "bmp")
 NO_ALPHA = ("jpeg", "bmp", "eps")
 RAW_SUBSTITUTE, ALPHA_SUBSTITUTE, PREVIEW = "tiff", "png", "png"
-JUNK_NAMES = (".ds_store", "thumbs.db", "desktop.ini")
+JUNK_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
+JUNK_BEGINNINGS = ("__MACOSX/", "._")  # of any part of a path
+VENDOR_SAFE = ("png", "jpeg", "bmp", "tiff", "webp")
+GATED_TYPES = ("application/postscript", "application/octet-stream", "video/quicktime", "video/mp4", "application/x-empty")
 MOST_RATIO = 200.0
 # First bytes in hexadecimal -> type, tried in this order.
 SIGNATURES = (("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"))
@@ -36,9 +39,39 @@ def basename(path: Column) -> Column:
 
 
 def is_junk(path: Column) -> Column:
-    """Folders, resource forks and desktop litter."""
-    name = F.lower(F.substring_index(path, "/", -1))
-    return path.endswith("/") | path.startswith("__MACOSX/") | F.substring_index(path, "/", -1).startswith("._") | name.isin(*JUNK_NAMES)
+    """Folders, resource forks (at any depth) and desktop litter (by exact name)."""
+    parts = F.concat(F.lit("/"), path)
+    forks = F.lit(False)
+    for start in JUNK_BEGINNINGS:
+        forks = forks | parts.contains(f"/{start}")
+    return path.endswith("/") | forks | basename(path).isin(*JUNK_NAMES)
+
+
+def is_gated(mime: Column, name: Column) -> Column:
+    """Whether an entry that is no image by its bytes is a camera raw or EPS file: its type and its extension must both say so."""
+    known = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
+    source = F.try_element_at(known, F.coalesce(extension(name), F.lit("")))
+    return F.coalesce(mime.isin(*GATED_TYPES) & source.isin(*RAW, "eps"), F.lit(False))
+
+
+def accepted_type(mime: Column, name: Column) -> Column:
+    return mime.startswith("image/") | is_gated(mime, name)
+
+
+def needs_reencode(source: Column) -> Column:
+    """Whether a vendor must be sent a PNG instead of the file; what is unknown goes as it is."""
+    return F.coalesce(~source.isin(*VENDOR_SAFE), F.lit(False))
+
+
+def delivered(requested: Column, source: Column, match_source: Column, transparent: Column) -> Column:
+    """A struct of the formats to deliver, in order of request and without repeats, and whether one stands in for another."""
+    raw, clear = source.isin(*RAW), transparent & F.coalesce(source, F.lit("")).isin(*NO_ALPHA)
+    own = F.when(clear, ALPHA_SUBSTITUTE).when(raw, RAW_SUBSTITUTE).otherwise(source)
+    also = F.when(match_source & source.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>"))
+    wanted = F.array_distinct(F.concat(F.array_distinct(requested), also))
+    empty = F.size(wanted) == 0
+    substituted = empty | (match_source & source.isNotNull() & (clear | raw))
+    return F.struct(F.when(empty, F.array(F.lit(PREVIEW))).otherwise(wanted).alias("formats"), substituted.alias("substituted"))
 
 
 def is_unsafe_path(path: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Bound Arrow batches and put this package on every executor, once a context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))  # rows of bytes: a batch of few
     context = spark.sparkContext
     if getattr(context, "_framequarry_shipped", False):
         return

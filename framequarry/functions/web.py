@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The error taxonomy by HTTP status, retry and polling schedules.
-NO_FOREGROUND = ("unknown_foreground",)
+NO_FOREGROUND = ("unknown_foreground", "no_foreground", "foreground_not_found")
+PREVIEW_PIXELS = 250_000
 LONGEST_WAIT, FIRST_WAIT = 30.0, 0.5
 POLL_FIRST_MS, POLL_GROWTH, POLL_MOST_MS = 1200, 1.25, 5000
 
@@ -48,14 +49,52 @@ def error_code(body: Column) -> Column:
 
 
 def content_disposition(name: Column) -> Column:
-    """Attachment header: an ASCII fallback and the percent-encoded name."""
-    plain = F.regexp_replace(F.regexp_replace(name, r"[^\x20-\x7E]", "_"), r'["\\]', "_")
-    # form encoding differs from the header's in three signs
-    encoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(name), r"\+", "%20"), r"\*", "%2A"), "%7E", "~")
+    """Attachment header: an ASCII fallback, ? for every other sign, and the percent-encoded name.
+
+    Control signs, quotes and backslashes would end the quoted form: _ stands in for them there.
+    """
+    plain = F.regexp_replace(F.regexp_replace(name, r"[\x00-\x1F\x7F\"\\]", "_"), r"[^\x00-\x7F]", "?")
+    # form encoding differs from the header's in four signs
+    encoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(name), r"\+", "%20"), r"\*", "%2A"), "%7E", "~"), "%2F", "/")
     return F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), encoded)
 
 
 def safe_stem(name: Column) -> Column:
-    """A file's name without its extension, of letters, digits, dash and underscore only."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return F.regexp_replace(stem, "[^A-Za-z0-9_-]+", "_")
+    """A file's name without its extension and without signs that a path or a header gives a meaning; `order` if nothing is left."""
+    stem = F.regexp_replace(name, r"(?s)^(.*)\.[^.]*$", "$1")
+    kept = F.trim(F.regexp_replace(F.when(stem == "", name).otherwise(stem), r'["\\/:*?<>|\x00-\x1F\x7F]', ""))
+    return F.when(kept == "", F.lit("order")).otherwise(kept)
+
+
+def size_class(width: Column, height: Column) -> Column:
+    """The smallest size a vendor returns in full: preview up to a quarter of a megapixel; auto above, or if the size is unknown."""
+    return F.when(width.cast("long") * height <= PREVIEW_PIXELS, F.lit("preview")).otherwise(F.lit("auto"))
+
+
+def first_image_url(body: Column) -> Column:
+    """A reply's image: image.url, else images[0].url, else url; null on any mismatch."""
+    return F.coalesce(*(F.get_json_object(body, path) for path in ("$.image.url", "$.images[0].url", "$.url")))
+
+
+def model_text(body: Column) -> Column:
+    """The text that a model's reply holds, its parts joined; null if there is none."""
+    parts = F.from_json(body, "struct<candidates: array<struct<content: struct<parts: array<struct<text: string>>>>>>")
+    texts = F.transform(F.get(parts["candidates"], F.lit(0))["content"]["parts"], lambda p: F.coalesce(p["text"], F.lit("")))
+    joined = F.array_join(texts, "")
+    return F.when(F.trim(joined) != "", joined)
+
+
+def located_boxes(body: Column) -> Column:
+    """Boxes (y0, x0, y1, x1 in thousandths) with labels from a model's reply: a list or one object; entries without four numbers go."""
+    text = F.trim(model_text(body))
+    listed = F.when(text.startswith("["), text).when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
+    items = F.from_json(listed, "array<struct<box_2d: array<double>, label: string>>")
+    good = F.filter(items, lambda e: (F.size(e["box_2d"]) >= 4) & F.forall(F.slice(e["box_2d"], 1, 4), lambda v: v.isNotNull()))
+    shaped = F.transform(good, lambda e: F.struct(F.transform(F.slice(e["box_2d"], 1, 4), lambda v: v.cast("int")).alias("box"), F.substring(F.lower(F.trim(F.coalesce(e["label"], F.lit("")))), 1, 40).alias("label")))
+    return F.coalesce(shaped, F.array().cast("array<struct<box: array<int>, label: string>>"))
+
+
+def verdict(body: Column) -> Column:
+    """Which of two masks a model prefers (A, B or equivalent); null if its reply names none."""
+    better = F.get_json_object(model_text(body), "$.better")
+    return F.when(better.isin("A", "B", "equivalent"), better)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 # Batch packing, write coalescing, the rate governor, list prices, memory per megapixel.
 BATCH_BYTES, BATCH_FILES = 268435456, 50
-COALESCE_EVERY = 10
+COALESCE_EVERY, COALESCE_SECONDS, RECORD_SECONDS = 10, 2.0, 86_400
 GOVERNOR_START, GOVERNOR_FLOOR, GOVERNOR_TOP, GOVERNOR_RAISE, GOVERNOR_PAUSE, GOVERNOR_LONGEST = 8, 1, 8, 12, 5.0, 120.0
 PRICES = {"photoroom": 0.02, "removebg": 0.20, "fal": 0.04, "gemini": 0.0065, "local": 0.0}
 MB_PER_MEGAPIXEL, RESERVED_MB = 88.0, 2048
@@ -50,38 +52,89 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
 def batches(files: DataFrame, budget: int = BATCH_BYTES, most: int = BATCH_FILES) -> DataFrame:
     """Packs files (owner, pos, size) into upload batches in order: a batch closes before it would pass the budget or the count.
 
-    Where a batch ends depends on where it began, so it is a fold over an owner's files in order. The
-    fold carries only the open batch; its result is one small number a file.
+    Where a batch ends depends on where it began, so it is a fold over an owner's files in order.
     """
     budget = budget if budget > 0 else BATCH_BYTES
-    listed = files.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("f"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.array().cast("array<struct<pos:bigint,batch:int>>").alias("out"))
 
-    def put(a: Column, f: Column) -> Column:
-        full = (a["n"] > 0) & ((a["bytes"] + f["size"] > budget) | (a["n"] >= most))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        held = F.when(full, f["size"]).otherwise(a["bytes"] + f["size"]).cast("long")
-        return F.struct(batch.alias("batch"), held.alias("bytes"), F.when(full, F.lit(1)).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.struct(f["pos"].cast("long").alias("pos"), batch.alias("batch")))).alias("out"))
+    def put(state: tuple, size: int) -> tuple:
+        batch, held, n = state
+        full = n > 0 and (held + size > budget or n >= most)
+        state = (batch + 1, size, 1) if full else (batch, held + size, n + 1)
+        return state, (state[0],)
 
-    packed = listed.select("owner", F.explode(F.aggregate("f", start, put, lambda a: a["out"])).alias("o"))
-    return packed.select("owner", "o.pos", "o.batch")
+    return ordered_fold(files, "owner", ("pos",), ("size",), (0, 0, 0), put, "batch int")
 
 
 def governor(calls: DataFrame) -> DataFrame:
-    """Limit after each call (vendor, seq, limited): halved on a refusal, one more after twelve successes in a row.
+    """Limit after each call (vendor, seq, limited): halved on a refusal, one more after twelve successes in a row."""
+    return governed_calls(calls.selectExpr("vendor", "seq", "limited", "0.0D as at", "cast(null as double) as retry_after")).select("vendor", "seq", "allowed")
+
+
+def governed_calls(calls: DataFrame) -> DataFrame:
+    """The governor's state after each call (vendor, seq, at in seconds, limited, retry_after), an ordered fold per vendor.
 
-    An ordered fold per vendor over the calls' outcomes.
+    allowed is the limit; resume_at the time before which no call starts, a refusal's own wait (kept within
+    two minutes) or five seconds; events counts refusals. At the full limit successes do not count.
     """
-    listed = calls.groupBy("vendor").agg(F.array_sort(F.collect_list(F.struct("seq", "limited"))).alias("c"))
-    start = F.struct(F.lit(GOVERNOR_START).alias("limit"), F.lit(0).alias("good"), F.array().cast("array<struct<seq:bigint,allowed:int>>").alias("out"))
 
-    def step(a: Column, c: Column) -> Column:
-        raised = a["good"] + 1 >= GOVERNOR_RAISE
-        limit = F.when(c["limited"], F.greatest(F.lit(GOVERNOR_FLOOR), F.floor(a["limit"] / 2).cast("int"))).when(raised, F.least(F.lit(GOVERNOR_TOP), a["limit"] + 1)).otherwise(a["limit"])
-        good = F.when(c["limited"] | raised, F.lit(0)).otherwise(a["good"] + 1)
-        return F.struct(limit.alias("limit"), good.alias("good"), F.concat(a["out"], F.array(F.struct(c["seq"].cast("long").alias("seq"), limit.alias("allowed")))).alias("out"))
+    def step(state: tuple, at: float, limited: bool, wait: float | None) -> tuple:
+        limit, good, resume, events = state
+        if limited:
+            pause = max(0.0, min(GOVERNOR_PAUSE if wait is None else wait, GOVERNOR_LONGEST))
+            state = max(GOVERNOR_FLOOR, limit // 2), 0, at + pause if resume is None else max(resume, at + pause), events + 1
+        elif limit < GOVERNOR_TOP:
+            good += 1
+            state = (limit + 1, 0, resume, events) if good >= GOVERNOR_RAISE else (limit, good, resume, events)
+        return state, (state[0], state[2], state[3])
+
+    return ordered_fold(calls, "vendor", ("seq",), ("at", "limited", "retry_after"), (GOVERNOR_START, 0, None, 0), step, "allowed int, resume_at double, events int")
+
+
+def rate_limit_report(governed: DataFrame) -> DataFrame:
+    """Refusals and last limit of each vendor."""
+    return governed.groupBy("vendor").agg(F.max("events").alias("events"), F.max_by("allowed", "seq").alias("allowed"))
+
+
+def budget_with_reservations(images: DataFrame, ceiling: float, projected: float) -> DataFrame:
+    """Marks images (job, seq, started, finished, cost) that a ceiling keeps from starting while others are still running.
+
+    Committed is what finished images cost, and the projection for each one running and for this one. Two
+    rows an image, one when it starts and one when it is done, and a running sum over both; who finishes at a
+    time is counted before who starts at it. Once stopped, a job stays stopped.
+    """
+    begun = images.select("job", "seq", F.col("started").alias("at"), F.lit(1).alias("kind"), F.lit(0.0).alias("spent"), F.lit(1).alias("running"))
+    done = images.select("job", "seq", F.col("finished").alias("at"), F.lit(0).alias("kind"), F.col("cost").alias("spent"), F.lit(-1).alias("running"))
+    order = Window.partitionBy("job").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = begun.unionAll(done).withColumns({"committed": F.round(F.sum("spent").over(order), 6) + F.sum("running").over(order) * projected})
+    over = (F.col("kind") == 1) & (F.round("committed", 6) > ceiling)
+    return both.withColumn("stopped", F.max(over).over(order)).where("kind = 1").select("job", "seq", F.round("committed", 6).alias("committed"), "stopped")
+
+
+def cancelled(images: DataFrame, control: DataFrame) -> DataFrame:
+    """Marks images (job, started) that begin after their job was asked to stop (control: job, requested_at; one row a job at most counts, the first)."""
+    first = control.groupBy("job").agg(F.min("requested_at").alias("requested_at"))
+    return images.join(first, "job", "left").withColumn("cancelled", F.coalesce(F.col("started") >= F.col("requested_at"), F.lit(False))).drop("requested_at")
+
+
+def flushes(changes: DataFrame) -> DataFrame:
+    """Which of a job's changes (job, seq, at in seconds) writes its record: the tenth since the last write, or one two seconds after it.
+
+    Nothing was written before the first, so it is.
+    """
+
+    def touch(state: tuple, at: float) -> tuple:
+        pending, last = state
+        write = pending + 1 >= COALESCE_EVERY or last is None or at - last >= COALESCE_SECONDS
+        return ((0, at) if write else (pending + 1, last)), (write,)
+
+    return ordered_fold(changes, "job", ("seq",), ("at",), (0, None), touch, "flushed boolean")
+
 
-    return listed.select("vendor", F.explode(F.aggregate("c", start, step, lambda a: a["out"])).alias("o")).select("vendor", "o.seq", F.col("o.allowed").alias("allowed"))
+def upserted(records: DataFrame, key: str, at: str, now: Column, most_age_seconds: int = RECORD_SECONDS) -> DataFrame:
+    """The last record of each key by time, if it is not older than a record is kept."""
+    columns = [c for c in records.columns if c != key]
+    last = records.groupBy(key).agg(F.max_by(F.struct(*columns), at).alias("last")).select(key, "last.*")
+    return last.where(F.unix_seconds(now) - F.unix_seconds(F.col(at)) <= most_age_seconds)
 
 
 def cache_key(payload: Column, engine: Column, roi: Column | None = None) -> Column:

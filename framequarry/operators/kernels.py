@@ -149,7 +149,7 @@ def erode(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
 
 def gaussian(field: np.ndarray, sigma: float) -> np.ndarray:
     """Separable smoothing; the border mirrors without repeating its last cell."""
-    r = max(1, int(round(3 * sigma)))
+    r = max(1, int(round(4 * sigma)))
     weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     weights /= weights.sum()
     for axis in (0, 1):
@@ -226,33 +226,78 @@ def fill_polygon(points: list[tuple[int, int]], height: int, width: int) -> np.n
     return inside | border
 
 
+# Fixed values of the backdrop fit and the shadow ratio.
+LUMA = np.array([0.2126, 0.7152, 0.0722])
+CLEAR, MIN_GROUND, TOP_PERCENT, FEW, TOLERANCE, GATE = 0.02, 0.05, 70.0, 32, 0.05, 0.5
+DEAD_BAND, MOST_RATIO, MOST_SHADOW, SMOOTH = 0.02, 3.0, 0.35, 1.0
+
+
 def plate(rgb: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """A quadratic fit of the backdrop, how uniform it is (0..1) and the backdrop's share of the frame."""
+    """A quadratic fit of the backdrop, how uniform it is (0..1) and the backdrop's share of the frame.
+
+    Fitted are the brightest of the backdrop's cells, or all of them where those are few. Too little
+    backdrop gives a plate of middle grey and no uniformity.
+    """
     h, w = alpha.shape
-    ground = erode(alpha <= 0.02, ellipse(5))
-    lum = rgb @ np.array([0.2126, 0.7152, 0.0722])
+    ground = erode(alpha <= CLEAR, ellipse(5))
     share = float(ground.mean())
-    if ground.sum() < 6:
-        return np.zeros_like(rgb), 0.0, share
-    bright = ground & (lum >= np.percentile(lum[ground], 70))
-    yy, xx = np.mgrid[0:h, 0:w]
-    x, y = xx / max(w - 1, 1) * 2 - 1, yy / max(h - 1, 1) * 2 - 1
+    if share < MIN_GROUND:
+        return np.full_like(rgb, 0.5), 0.0, share
+    lum = rgb @ LUMA
+    bright = ground & (lum >= np.percentile(lum[ground], TOP_PERCENT))
+    if bright.sum() < FEW:
+        bright = ground
+    y, x = np.meshgrid(np.arange(h) / max(h - 1, 1) - 0.5, np.arange(w) / max(w - 1, 1) - 0.5, indexing="ij")
     basis = np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], axis=-1)
-    fit, *_ = np.linalg.lstsq(basis[bright], rgb[bright], rcond=None)
+    fit = np.linalg.lstsq(basis[bright], rgb[bright], rcond=None)[0]
+    rest = np.abs(rgb[bright] - basis[bright] @ fit)  # of every channel
     whole = np.clip(basis @ fit, 1e-4, 1)
-    fitted = whole @ np.array([0.2126, 0.7152, 0.0722])
-    rest = np.abs(lum[bright] - fitted[bright])
-    return whole, float(np.clip(1 - np.median(rest) / max(np.median(lum[bright]), 1e-6) / 0.05, 0, 1)), share
+    level = float(np.median((whole @ LUMA)[bright])) + 1e-6
+    return whole, float(np.clip(1 - np.median(rest) / level / TOLERANCE, 0, 1)), share
 
 
 def shadow_ratio(rgb: np.ndarray, alpha: np.ndarray, whole: np.ndarray) -> np.ndarray | None:
-    """Picture over backdrop in luminance: smoothed without the product, flat where it is close to 1; None if there is none or it is everywhere."""
-    weights = np.array([0.2126, 0.7152, 0.0722])
-    ratio = np.clip((rgb @ weights) / np.maximum(whole @ weights, 1e-4), 0, 3)
-    free = (alpha < 0.02).astype(float)
-    sigma = max(1.0, min(alpha.shape) / 256)
-    smooth = gaussian(ratio * free, sigma) / np.maximum(gaussian(free, sigma), 1e-6)
-    ratio = np.where(free > 0, smooth, 1.0)
-    ratio = np.where(np.abs(ratio - 1) < 0.02, 1.0, ratio)
-    covered = float((np.abs(ratio - 1) > 0.02).mean())
-    return None if covered == 0 or covered > 0.35 else ratio
+    """Picture over backdrop in luminance: smoothed over visible backdrop alone, 1 where it is close to 1 and under the product.
+
+    None if nothing is shaded, or more of the visible backdrop than a shadow covers.
+    """
+    ratio = np.clip((rgb @ LUMA) / np.maximum(whole @ LUMA, 1e-4), 0, MOST_RATIO)
+    visible = alpha <= CLEAR
+    weight = gaussian(visible.astype(float), SMOOTH)
+    ratio = np.where(weight > 1e-3, gaussian(ratio * visible, SMOOTH) / np.maximum(weight, 1e-6), 1.0)
+    ratio = np.where((np.abs(ratio - 1) <= DEAD_BAND) | ~visible, 1.0, ratio)
+    shaded = ratio != 1
+    if not shaded.any() or shaded[visible].mean() > MOST_SHADOW:
+        return None
+    return ratio
+
+
+def box_above(field: np.ndarray, threshold: float) -> tuple[int, int, int, int]:
+    """Half-open bounds (x0, y0, x1, y1) of the cells above a threshold; zeros if there are none."""
+    ys, xs = np.nonzero(field > threshold)
+    return (int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1) if len(ys) else (0, 0, 0, 0)
+
+
+def _area_weights(size: int, out: int) -> np.ndarray:
+    """Each output cell's mean over the input it covers."""
+    edges = np.arange(out + 1) * size / out
+    cell = np.arange(size)
+    return np.clip(np.minimum(edges[1:, None], cell + 1) - np.maximum(edges[:-1, None], cell), 0, None) * out / size
+
+
+def _linear_weights(size: int, out: int) -> np.ndarray:
+    centre = np.clip((np.arange(out) + 0.5) * size / out - 0.5, 0, size - 1)
+    low = np.minimum(np.floor(centre).astype(int), max(size - 2, 0))
+    matrix = np.zeros((out, size))
+    np.add.at(matrix, (np.arange(out), low), 1 - (centre - low))
+    np.add.at(matrix, (np.arange(out), np.minimum(low + 1, size - 1)), centre - low)
+    return matrix
+
+
+def fit(field: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A field at another size: means of what a cell covers where either side shrinks, else linear between cells."""
+    if field.shape[:2] == (height, width):
+        return field
+    kind = _area_weights if width < field.shape[1] or height < field.shape[0] else _linear_weights
+    tall = np.tensordot(kind(field.shape[0], height), field, axes=(1, 0))
+    return np.moveaxis(np.tensordot(tall, kind(field.shape[1], width), axes=(1, 1)), -1, 1)

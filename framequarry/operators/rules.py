@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formats
+from .folds import ordered_fold
+
 # When a picture looks like a scene, types by extension, how long a probe's answer is trusted.
-SCENE_UNIFORMITY, SCENE_SCORE, PROBE_SECONDS = 0.05, 0.60, 5
+SCENE_UNIFORMITY, SCENE_SCORE, PROBE_SECONDS, MOST_ENGINES = 0.05, 0.60, 5, 16
 CONTENT_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "bmp": "image/bmp", "tiff": "image/tiff", "zip": "application/zip"}
 
 
@@ -57,28 +60,56 @@ def accepted(uploads: DataFrame, most_images: int, most_bytes: int) -> DataFrame
 
     What is taken depends on what was taken before, so it is a fold over a job's uploads in order.
     """
-    listed = uploads.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("pos", "images", "bytes"))).alias("u"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("k"), F.array().cast("array<struct<pos:bigint,error:string,key:int>>").alias("out"))
 
-    def step(a: Column, u: Column) -> Column:
-        error = F.when(a["n"] + u["images"] > most_images, "too_many_images").when(a["b"] + u["bytes"] > most_bytes, "too_many_bytes")
-        taken = error.isNull()
-        row = F.struct(u["pos"].cast("long").alias("pos"), error.alias("error"), F.when(taken, a["k"]).alias("key"))
-        return F.struct(F.when(taken, a["n"] + u["images"]).otherwise(a["n"]).alias("n"), F.when(taken, a["b"] + u["bytes"]).otherwise(a["b"]).alias("b"), (a["k"] + taken.cast("int")).alias("k"), F.concat(a["out"], F.array(row)).alias("out"))
+    def step(state: tuple, images: int, size: int) -> tuple:
+        n, held, taken = state
+        error = "too_many_images" if n + images > most_images else "too_many_bytes" if held + size > most_bytes else None
+        return ((n, held, taken), (error, None)) if error else ((n + images, held + size, taken + 1), (None, taken))
 
-    return listed.select("job", F.explode(F.aggregate("u", start, step, lambda a: a["out"])).alias("o")).select("job", "o.pos", "o.error", source_key(F.col("o.key")).alias("key"))
+    taken = ordered_fold(uploads, "job", ("pos",), ("images", "bytes"), (0, 0, 0), step, "error string, k int")
+    return taken.select("job", "pos", "error", source_key(F.col("k")).alias("key"))
 
 
 def trusted_probe(probes: DataFrame, by: str) -> DataFrame:
-    """A probe's answer holds for five seconds (by, ts, ok): each row gets the first answer of its five-second span."""
-    span = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (PROBE_SECONDS * 1_000_000))
-    w = Window.partitionBy(by, "span").orderBy("ts", "seq")
-    return probes.withColumn("span", span).withColumn("trusted", F.first("ok").over(w)).drop("span")
+    """A probe's answer (by, seq, at in seconds, ok) holds for five seconds from when it was asked; then it is asked again."""
+
+    def ask(state: tuple | None, at: float, ok: bool) -> tuple:
+        if state is None or at - state[0] >= PROBE_SECONDS:
+            state = (at, ok)
+        return state, (state[1],)
+
+    return ordered_fold(probes, by, ("seq",), ("at", "ok"), None, ask, "trusted boolean")
+
+
+# What each error tells its user, and whether trying again may help.
+ERRORS = {
+    "vendor_rate_limited": True, "vendor_timeout": True, "vendor_unauthorized": False, "vendor_out_of_credits": False, "vendor_payload_too_large": False, "no_foreground_found": False, "vendor_error": True,
+    "unsupported_file": False, "file_too_large": False, "malicious_archive": False, "image_decode_failed": False, "output_too_large": False, "batch_too_large": False, "bulk_requires_worker": False,
+    "budget_exceeded": False, "job_cancelled": False, "psd_unavailable": False, "internal_error": False,
+}
+
+
+def error_info(code: Column, message: Column) -> Column:
+    """An error as (code, message, retryable); an unknown code is an internal error, and null stays null."""
+    retryable = F.create_map(*(F.lit(x) for pair in ERRORS.items() for x in pair))
+    known = F.when(code.isin(*ERRORS), code).otherwise(F.lit("internal_error"))
+    text = F.when(known == code, F.coalesce(message, F.lit("An internal error occurred."))).otherwise(F.lit("An internal error occurred."))
+    return F.when(code.isNotNull(), F.struct(known.alias("code"), text.alias("message"), F.try_element_at(retryable, known).alias("retryable")))
+
+
+def tiebreak(first: Column, second: Column, forward: Column, backward: Column) -> Column:
+    """The winner of a pair judged twice, the second time with sides swapped: the agreed one, else the first by score."""
+    agreed = F.when((forward == "A") & (backward == "B"), first).when((forward == "B") & (backward == "A"), second)
+    return F.coalesce(agreed, first)
 
 
 def fan_out(images: DataFrame, engines: DataFrame, cache: DataFrame) -> DataFrame:
     """Every image with every engine of a small pool; what the cache has is a hit that costs nothing, the rest is to be computed."""
-    asked = images.crossJoin(F.broadcast(engines))  # a pool: a handful of rows, checked by its caller
+    pool = engines.limit(MOST_ENGINES + 1).collect()
+    if len(pool) > MOST_ENGINES:
+        raise ValueError(f"a pool has at most {MOST_ENGINES} engines")
+    each = F.explode(F.array(*(F.struct(F.lit(e["engine"]).alias("engine"), F.lit(e["price"]).alias("price")) for e in pool)))
+    asked = images.withColumn("e", each).select("*", "e.engine", "e.price").drop("e")
     hit = asked.join(cache.select("key", "engine", F.lit(True).alias("hit")), ["key", "engine"], "left")
     cached = F.coalesce("hit", F.lit(False))
     return hit.select("image_id", "engine", cached.alias("cache_hit"), F.when(cached, F.lit(0.0)).otherwise(F.col("price")).alias("cost"))
@@ -93,3 +124,33 @@ def pasted(alpha: Column, x0: Column, y0: Column, side: int, frame: int) -> Colu
         return F.when(inside, F.get(alpha, (y * side + x).cast("int"))).otherwise(F.lit(0.0))
 
     return F.transform(F.sequence(F.lit(0), F.lit(frame * frame - 1)), cell)
+
+
+def object_url(key: Column) -> Column:
+    """Where a local store serves an object."""
+    return F.concat(F.lit("/objects/"), key)
+
+
+def planned(entries: DataFrame, existing: DataFrame, archive: str, order: str) -> DataFrame:
+    """Entries and refusals (column code) of the archives that exist, each with its place in its archive."""
+    here = entries.join(existing, archive, "left_semi")
+    pos = F.row_number().over(Window.partitionBy(archive).orderBy(order)) - 1
+    return here.withColumns({"pos": pos.cast("long"), "planned": F.col("code").isNull()})
+
+
+def file_totals(files: DataFrame, search: str, most_bytes: int) -> DataFrame:
+    """One row over a list of files (name, size): number, bytes, matches of a search in any case, too large ones, bytes that can be read."""
+    size, readable = F.col("size"), formats.extension(F.col("name")).isin(*formats.EXTENSIONS)
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.count(F.when(F.lower("name").contains(search.lower()), 1)).alias("found"), F.count(F.when(size > most_bytes, 1)).alias("oversize"), F.sum(F.when(readable, size)).alias("readable_bytes"))
+
+
+def results_page(images: DataFrame, preview: str) -> DataFrame:
+    """Finished and unfinished images of each job (state, formats), and its files to download."""
+    done = F.col("state") == "done"
+    files = F.size(F.filter("formats", lambda f: f != preview))
+    return images.groupBy("job").agg(F.count(F.when(done, 1)).alias("finished"), F.count(F.when(~done, 1)).alias("unfinished"), F.sum(F.when(done, files).otherwise(0)).alias("deliverables"))
+
+
+def checksum_holds(payload: Column, crc: Column) -> Column:
+    """Whether an entry's bytes are those its archive's index was written for."""
+    return F.crc32(payload) == crc

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, web
@@ -10,17 +10,23 @@ from ..operators import jobs
 from .adapters import ENTRIES_SQL, JOBS_SQL, entries, job_images
 from .registry import query, table
 
-_PATHS = """p AS (SELECT *, CASE page_id % 9 WHEN 0 THEN '../' || path WHEN 1 THEN '/' || path WHEN 2 THEN 'C:' || path WHEN 3 THEN '__MACOSX/' || path WHEN 4 THEN path || '/' WHEN 5 THEN 'a\\' || path || '.PNG' WHEN 6 THEN '._' || path ELSE path || '.jpeg' END AS name FROM en)"""
+_PATHS = """p AS (SELECT *, CASE page_id % 9 WHEN 0 THEN '../' || path WHEN 1 THEN '/' || path WHEN 2 THEN 'C:' || path WHEN 3 THEN '__MACOSX/' || path WHEN 4 THEN path || '/' WHEN 5 THEN 'a\\' || path || '.PNG' WHEN 6 THEN '._' || path WHEN 7 THEN CASE page_id % 4 WHEN 0 THEN 'a/__MACOSX/' || path WHEN 1 THEN 'a/._d/' || path WHEN 2 THEN 'b/Thumbs.db' ELSE 'THUMBS.DB' END ELSE path || '.jpeg' END AS name FROM en)"""
+
+
+def _deep(path: Column) -> Column:
+    """Litter below the top, and a name that differs from litter in case only."""
+    turn = F.col("page_id") % 4
+    return F.when(turn == 0, F.concat(F.lit("a/__MACOSX/"), path)).when(turn == 1, F.concat(F.lit("a/._d/"), path)).when(turn == 2, F.lit("b/Thumbs.db")).otherwise(F.lit("THUMBS.DB"))
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, path = F.col("page_id") % 9, F.col("path")
-    name = F.when(k == 0, F.concat(F.lit("../"), path)).when(k == 1, F.concat(F.lit("/"), path)).when(k == 2, F.concat(F.lit("C:"), path)).when(k == 3, F.concat(F.lit("__MACOSX/"), path)).when(k == 4, F.concat(path, F.lit("/"))).when(k == 5, F.concat(F.lit("a\\"), path, F.lit(".PNG"))).when(k == 6, F.concat(F.lit("._"), path)).otherwise(F.concat(path, F.lit(".jpeg")))
+    name = F.when(k == 0, F.concat(F.lit("../"), path)).when(k == 1, F.concat(F.lit("/"), path)).when(k == 2, F.concat(F.lit("C:"), path)).when(k == 3, F.concat(F.lit("__MACOSX/"), path)).when(k == 4, F.concat(path, F.lit("/"))).when(k == 5, F.concat(F.lit("a\\"), path, F.lit(".PNG"))).when(k == 6, F.concat(F.lit("._"), path)).when(k == 7, _deep(path)).otherwise(F.concat(path, F.lit(".jpeg")))
     return entries(spark, sf_dir).withColumn("name", name)
 
 
 @query(f"""WITH {ENTRIES_SQL}, {_PATHS}, s AS (SELECT *, replace(name, '\\', '/') AS sl FROM p)
-SELECT page_id, ends_with(name, '/') OR starts_with(name, '__MACOSX/') OR starts_with(regexp_extract(name, '[^/]*$'), '._') OR lower(regexp_extract(name, '[^/]*$')) IN ('.ds_store', 'thumbs.db', 'desktop.ini') AS junk,
+SELECT page_id, ends_with(name, '/') OR regexp_matches(name, '(^|/)(__MACOSX/|[.]_)') OR regexp_extract(rtrim(sl, '/'), '[^/]*$') IN ('.DS_Store', 'Thumbs.db', 'desktop.ini') AS junk,
   CASE WHEN name = '' OR starts_with(sl, '/') OR sl[2:2] = ':' OR list_contains(string_split(sl, '/'), '..') THEN 'malicious_archive' WHEN file_size > 4000 THEN 'file_too_large' WHEN compress_size > 0 AND file_size * 1.0 / compress_size > 200 THEN 'malicious_archive' END AS code FROM s""")
 def entry_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which entries are litter, and the first reason to refuse the others."""
@@ -160,16 +166,16 @@ def zip_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).select("archive_id", "page_id", F.coalesce(F.sum(size).over(w), F.lit(0)).alias("at"))
 
 
-@query("""SELECT o_custkey, CASE WHEN count(*) = 1 THEN 'AI_' || regexp_replace(regexp_replace(min('order ' || o_orderkey || ' #x.png'), '\\.[^.]*$', ''), '[^A-Za-z0-9_-]+', '_', 'g') || '.zip' ELSE 'AI_' || count(*) || '-files_' || strftime(min(o_orderdate), '%Y-%m-%d_%H%M') || '.zip' END AS bundle FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, CASE WHEN count(*) = 1 THEN 'AI_' || trim(regexp_replace(regexp_replace(min('order: ' || o_orderkey || ' "#x?".v1.png'), '\\.[^.]*$', ''), '["\\\\/:*?<>|]', '', 'g')) || '.zip' ELSE 'AI_' || count(*) || '-files_' || strftime(min(o_orderdate), '%Y-%m-%d_%H%M') || '.zip' END AS bundle FROM orders GROUP BY o_custkey""")
 def bundle_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" #x.png"))).alias("one"), F.min("o_orderdate").alias("at"))
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat(F.lit("order: "), F.col("o_orderkey").cast("string"), F.lit(' "#x?".v1.png'))).alias("one"), F.min("o_orderdate").alias("at"))
     many = F.concat(F.lit("AI_"), F.col("n").cast("string"), F.lit("-files_"), F.date_format("at", "yyyy-MM-dd_HHmm"), F.lit(".zip"))
     return per.select("o_custkey", F.when(F.col("n") == 1, F.concat(F.lit("AI_"), web.safe_stem(F.col("one")), F.lit(".zip"))).otherwise(many).alias("bundle"))
 
 
-@query("""SELECT doc_id, 'attachment; filename="' || regexp_replace(regexp_replace(n, '[^\\x20-\\x7E]', '_', 'g'), '["\\\\]', '_', 'g') || '"; filename*=UTF-8''''' || url_encode(n) AS header FROM (SELECT doc_id, left(text, 24) || '.zip' AS n FROM documents WHERE regexp_full_match(left(text, 24), '[\\p{L}\\p{N} .,_-]*'))""")
+@query("""SELECT doc_id, 'attachment; filename="' || regexp_replace(regexp_replace(n, '[\\x00-\\x1F\\x7F"\\\\]', '_', 'g'), '[^\\x00-\\x7F]', '?', 'g') || '"; filename*=UTF-8''''' || replace(url_encode(n), '%2F', '/') AS header FROM (SELECT doc_id, left(text, 24) || '.zip' AS n FROM documents)""")
 def content_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Download headers of names in four languages, whatever signs they hold; the SQL above still leaves out names with others than it lists."""
+    """Download headers of names in four languages, whatever signs they hold."""
     named = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 24), F.lit(".zip")).alias("n"))
     return named.select("doc_id", web.content_disposition(F.col("n")).alias("header"))
 

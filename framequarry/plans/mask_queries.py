@@ -58,7 +58,7 @@ def mask_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return autopick.measured(autopick.with_objects(grid(spark, sf_dir), SIDE), SIDE)
+    return autopick.measured(autopick.with_objects(grid(spark, sf_dir), SIDE), SIDE, traced=False)
 
 
 @query(f"WITH RECURSIVE {MEASURES}, {REACH} SELECT mm.vec_id, round(COALESCE(solidity, 0), 6) AS solidity FROM mm LEFT JOIN solid USING (vec_id)")
@@ -122,8 +122,8 @@ FROM images LEFT JOIN ranked ON ranked.image_id = images.image_id AND k = 1"""
 
 @query(_ISOLATED)
 def autopick_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: measure, reject, score and rank the masks of every image, with recovery and notes."""
-    return autopick.choose(grid(spark, sf_dir), SIDE)
+    """The flagship: measure, reject, score and rank the masks of every image, with recovery and notes; edges by border cells, which SQL can count."""
+    return autopick.choose(grid(spark, sf_dir), SIDE, traced=False)
 
 
 _ENGINES = "(VALUES ('photoroom', 0), ('removebg', 1), ('fal', 2), ('gemini', 3)) AS e(engine, priority)"
@@ -141,10 +141,10 @@ def engine_pool_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {JOBS_SQL}, f AS (
   SELECT job, seq, CASE seq % 6 WHEN 0 THEN 'vendor_timeout' WHEN 1 THEN 'vendor_rate_limited' WHEN 2 THEN 'vendor_error' WHEN 3 THEN 'internal_error' WHEN 4 THEN 'vendor_unauthorized' ELSE 'vendor_out_of_credits' END AS code
-  FROM ji WHERE state = 'failed' AND seq % 11 < 4)
+  FROM ji WHERE state = 'failed')
 SELECT job, code FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY CASE code WHEN 'vendor_out_of_credits' THEN 0 WHEN 'vendor_unauthorized' THEN 1 WHEN 'vendor_rate_limited' THEN 2 WHEN 'vendor_timeout' THEN 3 WHEN 'internal_error' THEN 5 ELSE 4 END, seq) AS k FROM f) WHERE k = 1""")
 def failure_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most telling failure of every job with any; the SQL above still ranks four in eleven of them only."""
+    """The most telling failure of every job with any."""
     codes = F.array(*map(F.lit, ("vendor_timeout", "vendor_rate_limited", "vendor_error", "internal_error", "vendor_unauthorized", "vendor_out_of_credits")))
     failed = job_images(spark, sf_dir).where(F.col("state") == "failed")
     return autopick.most_informative(failed.select("job", "seq", F.get(codes, (F.col("seq") % 6).cast("int")).alias("code")), "job")

@@ -164,7 +164,7 @@ def box_norm_to_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).withColumn("c", c).select("l_orderkey", "l_linenumber", *(F.col(f"c.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")))
 
 
-@query(f"WITH {_BOX} SELECT l_orderkey, l_linenumber, x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) * 1.0 / (w * h) BETWEEN 0.002 AND 0.98 AS plausible FROM bx")
+@query(f"WITH {_BOX} SELECT l_orderkey, l_linenumber, x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) * 1.0 / (w * h) BETWEEN 0.005 AND 0.92 AS plausible FROM bx")
 def box_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a box could be a subject: not empty, not a speck, not the whole frame."""
     return _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", boxes.plausible_subject(F.col("b"), F.lit(200), F.lit(150)).alias("plausible"))

@@ -21,8 +21,8 @@ def test_every_failed_image_is_ranked(spark, small):
 
 
 def header(name: str) -> str:
-    plain = re.sub(r'["\\]', "_", re.sub(r"[^\x20-\x7E]", "_", name))
-    return f"attachment; filename=\"{plain}\"; filename*=UTF-8''{quote(name, safe='')}"
+    plain = re.sub(r'[\x00-\x1f\x7f"\\]', "_", name).encode("ascii", "replace").decode()
+    return f"attachment; filename=\"{plain}\"; filename*=UTF-8''{quote(name)}"
 
 
 def test_every_document_has_a_header(spark, small, tmp_path):
