@@ -40,6 +40,9 @@ def dimensions(data: bytes) -> tuple[int, int]:
     if data[:2] == b"BM":
         w, h = struct.unpack("<ii", data[18:26])
         return w, abs(h)
+    if data[:4] == b"II*\0":
+        tags = _tags(data)
+        return tags[256], tags[257]
     raise Unsupported("no dimensions in the first bytes")
 
 
@@ -162,10 +165,16 @@ def encode_tiff16(pixels: np.ndarray, profile: bytes | None = None) -> bytes:
     return struct.pack("<2sHI", b"II", 42, 14 + len(body)) + bits + body + directory
 
 
+def _tags(data: bytes) -> dict[int, int]:
+    """A little-endian TIFF's first directory: tag to value."""
+    start = struct.unpack("<I", data[4:8])[0]
+    count = struct.unpack("<H", data[start : start + 2])[0]
+    return {t: v for t, _, _, v in (struct.unpack("<HHII", data[start + 2 + 12 * k : start + 14 + 12 * k]) for k in range(count))}
+
+
 def decode_tiff16(data: bytes) -> np.ndarray:
     """Reads back what `encode_tiff16` writes."""
-    start = struct.unpack("<I", data[4:8])[0]
-    tags = {t: v for t, _, _, v in (struct.unpack("<HHII", data[start + 2 + 12 * k : start + 14 + 12 * k]) for k in range(struct.unpack("<H", data[start : start + 2])[0]))}
+    tags = _tags(data)
     if data[:4] != b"II*\0" or tags.get(259) != 8:
         raise Unsupported("only zlib TIFF as written here")
     raw = zlib.decompress(data[tags[273] : tags[273] + tags[279]])
