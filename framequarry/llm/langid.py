@@ -203,14 +203,18 @@ def _pieces(text: str, doc_id: int) -> bytes:
 def learnt(docs: DataFrame, sample_each: int = SAMPLE_EACH) -> Network:
     """Train on a bounded sample: the first `sample_each` rows of each language by a hash of doc_id, whose pieces alone reach the driver.
 
-    Which rows is settled on ids and languages, each task first keeping no more than `sample_each` a
-    language; their texts are read by a second scan that cuts the pieces in place.
+    Which rows is settled on ids and languages alone; their texts are read by a later scan that cuts the
+    pieces in place.
     """
     arrow_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
-    ids = labelled.select("doc_id", "lang").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("nth", nth).where(F.col("nth") <= sample_each).select("doc_id", "lang")
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    counts = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))  # one row a language
+    # the first by hash are among the lowest hashes: twice as many as needed are looked at, so that no language gathers in one task
+    low = F.shiftrightunsigned("h", 1) <= F.least(F.lit(1.0), 2.0 * sample_each / F.col("n")) * float(1 << 63)
+    likely = ids.join(F.broadcast(counts), "lang").where(low).select("lang", "h", "doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = likely.withColumn("nth", nth).where(F.col("nth") <= sample_each).select("doc_id", "lang")
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("tk", pa.int64()), ("pieces", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
