@@ -49,13 +49,13 @@ def cancel_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.cancelled(images.select("job", "seq", F.col("seq").alias("started")), control).select("job", "seq", "cancelled")
 
 
-@query(f"""WITH RECURSIVE {JOBS_SQL}, c AS (SELECT job, seq, seq * 0.01 AS t, row_number() OVER (PARTITION BY job ORDER BY seq) AS k FROM ji),
+@query(f"""WITH RECURSIVE {JOBS_SQL}, c AS (SELECT job, seq, seq / 64.0 AS t, row_number() OVER (PARTITION BY job ORDER BY seq) AS k FROM ji),
 r AS (SELECT job, seq, k, 0 AS pending, t AS last, true AS flushed FROM c WHERE k = 1
   UNION ALL SELECT c.job, c.seq, c.k, CASE WHEN pending + 1 >= 10 OR c.t - last >= 2 THEN 0 ELSE pending + 1 END, CASE WHEN pending + 1 >= 10 OR c.t - last >= 2 THEN c.t ELSE last END, pending + 1 >= 10 OR c.t - last >= 2 FROM r JOIN c ON c.job = r.job AND c.k = r.k + 1)
 SELECT job, seq, flushed FROM r""")
 def progress_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which changes write a job's record: every tenth, or two seconds after the last write."""
-    return jobs.flushes(job_images(spark, sf_dir).select("job", "seq", (F.col("seq") * F.lit(0.01)).alias("at")))
+    return jobs.flushes(job_images(spark, sf_dir).select("job", "seq", (F.col("seq") / 64).alias("at")))
 
 
 @query(f"""WITH {JOBS_SQL}, l AS (SELECT job, arg_max(state, seq) AS state, arg_max(cost, seq) AS cost, max(seq) AS seq FROM ji GROUP BY job) SELECT job, state, CAST(cost AS DOUBLE) AS cost FROM l WHERE 11000 - seq <= 1200""")
