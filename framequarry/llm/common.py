@@ -21,8 +21,6 @@ from ..functions.session import python_ready
 
 #: Rows per Arrow batch: a worker holds one batch of texts at a time.
 ARROW_ROWS = 1000
-#: White space of the contracts' words: space and \t \n \v \f \r.
-SPACES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,36 +84,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """Ascending cut points that deal an integer column into about equal ranges.
-
-    Approximate quantiles of the column alone; their number follows `parts`, not the rows.
-    """
-    if parts < 2:
-        return []
-    cuts = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.25 / parts)
-    return sorted({int(c) for c in cuts})
-
-
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """How many cut points are <= the value, by binary search in SQL; null goes first."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.lit(np.array(bounds, dtype=np.int64))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-
-    def halve(at: Column, _: Column) -> Column:
-        mid = ((at["lo"] + at["hi"]) / 2).cast("int")
-        right = (at["lo"] < at["hi"]) & (F.get(cuts, mid) <= column)
-        return F.struct(
-            F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"),
-            F.when((at["lo"] < at["hi"]) & ~right, mid).otherwise(at["hi"]).alias("hi"),
-        )
-
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda at: at["lo"])
-    return F.when(column.isNull(), F.lit(0)).otherwise(found)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes end to end, and each row's start (one more at the end); null is empty."""
     if isinstance(column, pa.ChunkedArray):

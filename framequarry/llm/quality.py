@@ -7,7 +7,8 @@ threshold, children, value - and a batch of documents walks all trees at once, o
 
 A score is the probability of label 1, from the text alone. Null and empty texts have the statistics
 of no text and get a score like any other. Labels of documents that do not exist, null labels and
-null doc_ids are not learnt from; a document with several labels counts once for each.
+null doc_ids are not learnt from; a document with several labels counts once for each. An empty table gives
+an empty one; with nothing to learn from, every score is one half. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
