@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import python_ready
-from ..operators import imaging
+from ..operators import images, imaging, layered
+from ..sources import rasters
 from ..streaming import vendors
-from .adapters import entries
+from .adapters import PIXELS_SQL, SIDE, entries, pixels
 from .registry import ORACLES, query, table
 
 
@@ -53,6 +55,56 @@ def encode_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.per_image(_scenes(spark, sf_dir), imaging.encoded, "png int, bmp int, tiff int, psd int, layers string, reads_back boolean")
 
 
+_OBJECTS = {"red": "r > 0.5", "green": "g > 0.5", "top": "y < 3"}
+_SCENE = layered.Spec(product="top", profile="srgb", clipping_path=False)
+
+
+@query(f"""WITH {PIXELS_SQL}, o AS ({' UNION ALL '.join(f"SELECT img, {k} AS k, '{n}' AS name, count(*) FILTER ({t}) AS area FROM px GROUP BY img" for k, (n, t) in enumerate(_OBJECTS.items()))})
+SELECT img, CAST(1.0 AS DOUBLE) AS scale, 'BG,' || string_agg(name, ',' ORDER BY area DESC, k) AS layers, '120,' || string_agg(CAST(area AS VARCHAR), ',' ORDER BY area DESC, k) AS areas, 51 AS corner, 0 AS problems FROM o GROUP BY img""")
+def scene_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures as scenes of three objects on a larger canvas, written as PSD and read back: layers from below with their areas."""
+    rows = pixels(spark, sf_dir).select("img", F.struct("i", "r", "g", *(F.expr(t).cast("double").alias(n) for n, t in _OBJECTS.items())).alias("p"))
+    pictures = rows.groupBy("img").agg(F.array_sort(F.collect_list("p")).alias("p"))  # a picture has 64 pixels
+    flat = pictures.select("img", F.transform("p", lambda p: F.array(p["r"], p["g"], p["g"])).alias("colour"), F.array(*(F.col(f"p.{n}") for n in _OBJECTS)).alias("masks"))
+
+    def packed(row: dict) -> dict:
+        objects = [{"name": n, "alpha": images.packed(np.array(a))} for n, a in zip(_OBJECTS, row["masks"], strict=True)]
+        return {"width": SIDE, "height": SIDE, "rgb": images.packed(np.array(row["colour"])), "objects": objects}
+
+    scenes = images.each_image(flat, packed, "width int, height int, rgb binary, objects array<struct<name: string, alpha: binary>>").drop("colour", "masks")
+    pad = tuple(float(images.linear(np.array(v / 255))) for v in (0x33, 0x66, 0x99))
+    files = layered.checked(layered.scene_files(layered.placed_scenes(scenes, 12, 10, 0.0, False, pad), _SCENE), _SCENE, (12, 10))
+
+    def read(row: dict) -> dict:
+        parts = rasters.psd_parts(row["psd"])
+        areas = [int(a[..., 3].sum() // 255) for _, a in parts["layers"]]
+        return {"layers": ",".join(n for n, _ in parts["layers"]), "areas": ",".join(map(str, areas)), "corner": int(parts["merged"][0, 0, 0])}
+
+    return images.each_image(files, read, "layers string, areas string, corner int", ("psd",)).select("img", "scale", "layers", "areas", "corner", F.size("problems").alias("problems"))
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT img, 'BG,SHADOW,PROD' AS layers, CAST(sum(floor(a * 255 + 0.5)) AS BIGINT) AS cover, CAST(sum(floor((1 - (8 + i % 8) / 16.0) * 255 + 0.5)) AS BIGINT) AS shade, true AS clipped, 0 AS problems FROM px GROUP BY img""")
+def product_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with a shadow as PSD files with a clipping path, read back: opacity of product and shadow, and faults found."""
+    rows = pixels(spark, sf_dir).select("img", F.struct("i", "r", "g", "b", "a").alias("p"))
+    pictures = rows.groupBy("img").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    flat = pictures.select("img", F.transform("p", lambda p: F.array(p["r"], p["g"], p["b"])).alias("colour"), F.col("p.a").alias("mask"))
+
+    def placed(row: dict) -> dict:
+        ratio = (SIDE + np.arange(SIDE * SIDE) % SIDE) / 16
+        return {"canvas_width": SIDE, "canvas_height": SIDE, "canvas_rgb": images.packed(np.array(row["colour"])), "canvas_alpha": images.packed(np.array(row["mask"])), "canvas_ratio": images.packed(ratio)}
+
+    canvases = images.each_image(flat, placed, "canvas_width int, canvas_height int, canvas_rgb binary, canvas_alpha binary, canvas_ratio binary").drop("colour", "mask")
+    files = layered.checked(layered.product_files(canvases), size=(SIDE, SIDE))
+
+    def read(row: dict) -> dict:
+        layers = dict(rasters.psd_parts(row["psd"])["layers"])
+        return {"layers": ",".join(layers), "cover": int(layers["PROD"][..., 3].sum()), "shade": int(layers["SHADOW"][..., 3].sum())}
+
+    made = images.each_image(files, read, "layers string, cover bigint, shade bigint", ("psd",))
+    return made.select("img", "layers", "cover", "shade", (F.col("path_vertices") >= 3).alias("clipped"), F.size("problems").alias("problems"))
+
+
 @query("SELECT page_id % 7 AS archive_id, count(*) AS entries, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY page_id % 7")
 def zip_bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries bundled into stored archives and scanned again: counts and bytes of each archive's files.

@@ -181,18 +181,26 @@ def decode_tiff16(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2").reshape(tags[257], tags[256], 3) / 65535.0
 
 
-def _pascal(name: str, pad: int) -> bytes:
+def pascal(name: str, pad: int) -> bytes:
+    """A string behind its length in one byte, filled up to a multiple of pad."""
     body = name.encode("ascii", "replace")[:255]
     out = bytes([len(body)]) + body
     return out + b"\0" * (-len(out) % pad)
 
 
-def encode_psd(layers: list[tuple[str, np.ndarray]], merged: np.ndarray) -> bytes:
-    """uint8 RGBA layers, bottom first, all of the canvas's size, over a merged RGB picture, to a raw PSD."""
+def _resource(number: int, name: str, data: bytes) -> bytes:
+    return b"8BIM" + struct.pack(">H", number) + pascal(name, 2) + struct.pack(">I", len(data)) + data + b"\0" * (len(data) % 2)
+
+
+def encode_psd(layers: list[tuple[str, np.ndarray]], merged: np.ndarray, resources: list[tuple[int, str, bytes]] | tuple = ()) -> bytes:
+    """uint8 RGBA layers, bottom first, all of the canvas's size, over a merged RGB picture, to a raw PSD.
+
+    resources: number, name and bytes each; they are written in order of number.
+    """
     h, w = merged.shape[:2]
     records, planes = [], []
     for name, pixels in layers:
-        extra = struct.pack(">I", 0) + struct.pack(">I", 0) + _pascal(name, 4)
+        extra = struct.pack(">I", 0) + struct.pack(">I", 0) + pascal(name, 4)
         channels = b"".join(struct.pack(">hI", k, 2 + h * w) for k in (-1, 0, 1, 2))
         records.append(struct.pack(">4iH", 0, 0, h, w, 4) + channels + b"8BIMnorm" + bytes([255, 0, 0, 0]) + struct.pack(">I", len(extra)) + extra)
         planes += [struct.pack(">H", 0) + np.ascontiguousarray(pixels[..., k]).tobytes() for k in (3, 0, 1, 2)]
@@ -200,28 +208,77 @@ def encode_psd(layers: list[tuple[str, np.ndarray]], merged: np.ndarray) -> byte
     info += b"\0" * (len(info) % 2)
     section = struct.pack(">I", len(info)) + info + struct.pack(">I", 0)
     head = struct.pack(">4sH6xHIIHH", b"8BPS", 1, 3, h, w, 8, 3)
-    return head + struct.pack(">II", 0, 0) + struct.pack(">I", len(section)) + section + struct.pack(">H", 0) + np.ascontiguousarray(merged.transpose(2, 0, 1)).tobytes()
+    held = b"".join(_resource(*r) for r in sorted(resources))
+    return head + struct.pack(">II", 0, len(held)) + held + struct.pack(">I", len(section)) + section + struct.pack(">H", 0) + np.ascontiguousarray(merged.transpose(2, 0, 1)).tobytes()
 
 
-def psd_layers(data: bytes) -> tuple[tuple[int, int], list[str]]:
-    """Width and height, and the layer names, of a PSD; for validation."""
-    if data[:4] != b"8BPS":
+class _Reader:
+    """Big-endian values one after the other; reading past the end is an error."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def take(self, size: int) -> bytes:
+        if self.at + size > len(self.data):
+            raise Unsupported("the file ends early")
+        self.at += size
+        return self.data[self.at - size : self.at]
+
+    def read(self, form: str) -> tuple:
+        return struct.unpack(">" + form, self.take(struct.calcsize(">" + form)))
+
+    def name(self, pad: int) -> str:
+        size = self.take(1)[0]
+        text = self.take(size).decode("ascii", "replace")
+        self.take(-(size + 1) % pad)
+        return text
+
+
+def psd_parts(data: bytes) -> dict:
+    """A PSD's size (width, height), depth, mode, resources (number to name and bytes), layers (name, RGBA) and merged picture.
+
+    Layer pixels and the merged picture are given where they are 8-bit raw RGB, else None.
+    """
+    r = _Reader(data)
+    sign, version, channels, h, w, depth, mode = r.read("4sH6xHIIHH")
+    if sign != b"8BPS" or version != 1:
         raise Unsupported("not a PSD")
-    h, w = struct.unpack(">II", data[14:22])
-    at = 26
-    for _ in range(2):
-        at += 4 + struct.unpack(">I", data[at : at + 4])[0]
-    count, names, at = struct.unpack(">h", data[at + 8 : at + 10])[0], [], at + 10
-    for _ in range(abs(count)):
-        channels = struct.unpack(">H", data[at + 16 : at + 18])[0]
-        at += 18 + 6 * channels + 12
-        size = struct.unpack(">I", data[at : at + 4])[0]
-        extra = data[at + 4 : at + 4 + size]
-        k = 4 + struct.unpack(">I", extra[:4])[0]
-        k += 4 + struct.unpack(">I", extra[k : k + 4])[0]
-        names.append(extra[k + 1 : k + 1 + extra[k]].decode("ascii"))
-        at += 4 + size
-    return (w, h), names
+    r.take(r.read("I")[0])
+    held, resources = _Reader(r.take(r.read("I")[0])), {}
+    while held.at < len(held.data):
+        sign, number = held.read("4sH")
+        if sign != b"8BIM":
+            raise Unsupported("a resource without its signature")
+        name, size = held.name(2), held.read("I")[0]
+        resources[number] = name, held.take(size)
+        held.take(min(size % 2, len(held.data) - held.at))
+    section = _Reader(r.take(r.read("I")[0]))
+    layers, shapes = [], []
+    if section.data and section.read("I")[0]:
+        for _ in range(abs(section.read("h")[0])):
+            top, left, bottom, right, count = section.read("4iH")
+            planes = [section.read("hI") for _ in range(count)]
+            section.take(12)
+            extra = _Reader(section.take(section.read("I")[0]))
+            extra.take(extra.read("I")[0])
+            extra.take(extra.read("I")[0])
+            shapes.append((extra.name(4), (bottom - top, right - left), planes))
+    for name, shape, planes in shapes:
+        pixels = {}
+        for number, size in planes:
+            body = _Reader(section.take(size))
+            if body.read("H")[0] == 0 and depth == 8:
+                pixels[number] = np.frombuffer(body.take(shape[0] * shape[1]), np.uint8).reshape(shape)
+        layers.append((name, np.stack([pixels[k] for k in (0, 1, 2, -1)], axis=2) if pixels.keys() >= {0, 1, 2, -1} else None))
+    raw = r.read("H")[0] == 0 and depth == 8 and channels == 3
+    merged = np.frombuffer(r.take(3 * h * w), np.uint8).reshape(3, h, w).transpose(1, 2, 0) if raw else None
+    return {"size": (w, h), "depth": depth, "mode": mode, "resources": resources, "layers": layers, "merged": merged}
+
+
+def psd_layers(data: bytes) -> tuple[tuple[int, int], list[str]]:
+    """Width and height, and the layer names, of a PSD."""
+    parts = psd_parts(data)
+    return parts["size"], [name for name, _ in parts["layers"]]
 
 
 def decode(data: bytes) -> np.ndarray:
