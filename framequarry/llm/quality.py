@@ -150,23 +150,26 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return model
 
 
-def _statistics(docs: DataFrame, also: str) -> DataFrame:
-    schema = pa.schema([("x", pa.list_(pa.float64())), (also, pa.int32())])
+def _statistics(docs: DataFrame) -> DataFrame:
+    """x (the features of text), quality and h of every row."""
+    schema = pa.schema([("x", pa.list_(pa.float64())), ("quality", pa.int32()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole):
-                yield record(schema, x=features(batch.column("text")).tolist(), **{also: batch.column(also)})
+                yield record(schema, x=features(batch.column("text")).tolist(), quality=batch.column("quality"), h=batch.column("h"))
 
-    return docs.mapInArrow(run, f"x array<double>, {also} int")
+    return docs.mapInArrow(run, "x array<double>, quality int, h long")
 
 
 def learnt(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Grow trees on a bounded sample of the labelled rows that are not held out."""
+    """Grow trees on at most `sample_rows` labelled rows that are not held out, chosen by hashes of doc_id and statistics."""
     arrow_batches(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    sample = usable.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "quality").limit(sample_rows).select("doc_id", "quality")
-    rows = _statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality"), "quality").toArrow()  # at most sample_rows, in numbers
+    sample = usable.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "quality").limit(sample_rows)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality", "h")
+    # ids may repeat in documents: the rows are bounded too, in a fixed order
+    rows = _statistics(labelled).orderBy(F.xxhash64("h", "x"), "h", "quality", "x").limit(sample_rows).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows.column("quality").to_numpy().astype(float)
     order = np.lexsort([*x.T, y]) if len(y) else []

@@ -331,6 +331,17 @@ def test_trees_learn_and_walk_like_one_by_one():
     assert trees.margin(x[2500:2501])[0] == pytest.approx(total)
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    texts = [(k % 3, f"text number {k} " * (k + 1)) for k in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    quality.learnt(docs, labels, 20)
+    quality.learnt(docs.repartition(7), labels.repartition(3), 20)
+    assert len(seen[0][1]) == 20 and seen[0] == seen[1]
+
+
 def test_quality_is_good_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     got = quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
