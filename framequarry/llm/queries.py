@@ -71,10 +71,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verify_tampered
+
+    return verify_tampered(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_decontamination, op5_quality_classifier, op6_language_id, op7_minhash_fingerprints, op8_pii_pseudonyms, op9_bitplane_ids, op10_byte_bpe, pipeline)
+    every = (op1_substring_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_decontamination, op5_quality_classifier, op6_language_id, op7_minhash_fingerprints, op8_pii_pseudonyms, op9_bitplane_ids, op10_byte_bpe, op11_merkle_manifest, pipeline)
     return {f.__name__: f for f in every}

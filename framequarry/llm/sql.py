@@ -46,6 +46,59 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) A
 FROM docs LEFT JOIN hits ON docs.doc_id = hits.doc_id LEFT JOIN owners ON docs.doc_id = owners.doc_id
 """
 
+#: CRC-32 of a list of bytes, by a table that the polynomial gives.
+CRC_TABLE = "SELECT list_transform(range(256), lambda v: list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))) AS crc_table"
+CRC = "xor(list_reduce(list_concat([4294967295], list_transform({bytes}, lambda b: CAST(b AS BIGINT))), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+#: The UTF-8 bytes of a string, from its hexadecimal form.
+BYTES = "list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: CAST(concat('0x', substr(hex(encode({text})), i, 2)) AS BIGINT))"
+
+
+def _merkle(levels: int = 9) -> str:
+    """Trees of at most 16^levels leaves a group: a level a pair of tables, a group that has one node being done."""
+    digits = CRC.format(bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))")
+    field = "COALESCE(concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}), '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(field.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    out = [
+        f"crc AS MATERIALIZED ({CRC_TABLE})",
+        f"""leaves AS MATERIALIZED (SELECT doc_id, COALESCE(concat('=', source), '') AS grp, {leaf("text")} AS leaf, {leaf("changed")} AS tampered
+  FROM (SELECT *, CASE WHEN {digits} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM documents, crc))""",
+        "a0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM leaves)",
+        "na0 AS MATERIALIZED (SELECT grp, idx, n, leaf AS digest FROM a0)",
+    ]
+    for tree in "ab":
+        if tree == "b":
+            out.append(f"nb0 AS MATERIALIZED (SELECT '' AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, count(*) OVER () AS n, digest, grp AS member FROM na{levels})")
+        for k in range(levels):
+            # a group that is done passes on; else 16 nodes become one
+            out.append(f"""n{tree}{k + 1} AS MATERIALIZED (SELECT grp, 0 AS idx, 1 AS n, digest FROM n{tree}{k} WHERE n = 1 UNION ALL
+  SELECT grp, idx // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM n{tree}{k} WHERE n > 1 GROUP BY grp, idx // 16)""")
+
+    def joined(tree: str, grp: str, idx: str) -> tuple[str, str]:
+        """The siblings of each level beside node idx of level 0, as columns l and r, by joins."""
+        columns, joins = [], []
+        for k in range(levels):
+            at = f"({idx} // {16**k})"
+            columns.append(f"{tree}{k}.l AS {tree}l{k}, {tree}{k}.r AS {tree}r{k}")
+            joins.append(f"LEFT JOIN s{tree}{k} {tree}{k} ON {tree}{k}.grp = {grp} AND {tree}{k}.idx = {at}")
+        return ", ".join(columns), " ".join(joins)
+
+    for tree in "ab":
+        for k in range(levels):
+            run = "PARTITION BY grp, idx // 16 ORDER BY idx ROWS BETWEEN"
+            out.append(f"""s{tree}{k} AS MATERIALIZED (SELECT grp, idx, COALESCE(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  COALESCE(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM n{tree}{k} WHERE n > 1)""")
+    (ac, aj), (bc, bj) = joined("a", "x.grp", "x.idx"), joined("b", "''", "t.idx")
+    sides = [(f"{tree}l{k}", f"{tree}r{k}") for tree in "ab" for k in range(levels)]
+    out.append(f"tops AS MATERIALIZED (SELECT t.member, t.digest AS subroot, {bc} FROM nb0 t {bj})")
+    out.append(f"paths AS MATERIALIZED (SELECT x.doc_id, x.leaf, x.tampered, t.*, {ac} FROM a0 x JOIN tops t ON t.member = x.grp {aj})")
+    out.append("f0 AS (SELECT *, tampered AS d0 FROM paths)")
+    for k, (left, right) in enumerate(sides):
+        out.append(f"f{k + 1} AS (SELECT * EXCLUDE (d{k}), CASE WHEN {left} IS NULL THEN d{k} ELSE sha256(concat({left}, d{k}, {right})) END AS d{k + 1} FROM f{k})")
+    proof = ", ".join(f"{left}, {right}" for left, right in sides)
+    return f"""WITH {", ".join(out)}
+SELECT doc_id, leaf, subroot, root, sha256(concat({proof})) AS proof_sha256, d{len(sides)} AS folded_root, d{len(sides)} = root AS verified
+FROM f{len(sides)}, (SELECT digest AS root FROM nb{levels})"""
+
 
 def llm_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_decontamination": OP4}
+    return {"op1_substring_dedup": OP1, "op4_decontamination": OP4, "op11_merkle_manifest": _merkle()}
