@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import python_ready
 
 #: Rows per Arrow batch: a worker holds one batch of texts at a time.
 ARROW_ROWS = 1000
+#: How many bytes of input stand behind a range of numbered rows.
+RANGE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,21 @@ def buckets_for(df: DataFrame, bytes_each: int = 2 << 20) -> int:
     return max(4 * shuffle_partitions(df.sparkSession), math.ceil(input_bytes(df) / bytes_each))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with `grp`: their number `idx` within it, and how many it has (`n`). `order` decides, then place in the input."""
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    ranges = max(shuffle_partitions(rows.sparkSession), input_bytes(rows) // RANGE_BYTES)
+    keys = ["grp", *order, "tie"]
+    sorted_rows = rows.repartitionByRange(int(ranges), *keys).sortWithinPartitions(*keys).drop("tie")
+    # written, so that the numbers stay what they are
+    placed = stored(sorted_rows.withColumn("at", F.monotonically_increasing_id()), "numbered").withColumn("part", F.shiftright("at", 33))
+    stretches = placed.groupBy("part", "grp").agg(F.count(F.lit(1)).alias("many"), F.min("at").alias("first"))
+    group = Window.partitionBy("grp")  # a row a partition that the group reaches
+    before = F.coalesce(F.sum("many").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stretches.select("part", "grp", (before - F.col("first")).alias("shift"), F.sum("many").over(group).alias("n"))
+    return placed.join(starts, ["part", "grp"]).withColumn("idx", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
 def text_key(text: Column) -> Column:
     """Tells rows apart that share a doc_id; null and empty differ from nothing else."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

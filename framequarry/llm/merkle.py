@@ -10,9 +10,10 @@ holds stretches of consecutive leaves, whatever the group's size. Each stretch i
 runs, one a level: a run that reaches its end carries into the next level and is written as a node record;
 a group's last, short runs are carried where the group ends. Nodes whose parent also has children beyond
 the stretch are its peaks: left of the first aligned one, and what is on the stack at the end. At most
-2 * (FANOUT - 1) a level are left of a stretch, whatever its length; they are merged level by level, by the
-number of the parent, so that a merge reads FANOUT rows at most. Proofs go down the same records, from the
-root to the leaves, by joins on a node's number.
+2 * (FANOUT - 1) a level are left of a stretch, whatever its length. The peaks of the stretches of `MERGED`
+neighbouring partitions go through the same stack, which makes one longer stretch of them, and so on until
+one is left a group: a merge reads some hundred rows a stretch at most. Proofs go down the node records, from
+the root to the leaves, a level at a time, by joins on a node's number.
 
 Defined results: null ids stand first, rows that share an id by their leaves (equal leaves are
 interchangeable); a null group stands before all others, groups by their UTF-8 bytes; a group of one leaf
@@ -24,18 +25,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, input_bytes, record, shuffle_partitions, stored
+from .common import arrow_batches, numbered, record, stored
 
 FANOUT = 16
+#: Stretches of so many partitions are merged into one at a time.
+MERGED = 64
 #: Columns of a leaf, in order.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
-#: How many bytes of documents stand behind a range of leaves.
-RANGE_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PATH = "array<struct<left: string, right: string>>"
 
@@ -63,23 +66,8 @@ def _height(n: int) -> int:
     return levels
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with `grp`: their number `idx` within it, and how many it has (`n`). `order` decides, then place in the input."""
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())
-    ranges = max(shuffle_partitions(rows.sparkSession), input_bytes(rows) // RANGE_BYTES)
-    keys = ["grp", *order, "tie"]
-    sorted_rows = rows.repartitionByRange(int(ranges), *keys).sortWithinPartitions(*keys).drop("tie")
-    # written, so that the numbers stay what they are
-    placed = stored(sorted_rows.withColumn("at", F.monotonically_increasing_id()), "merkle-order").withColumn("part", F.shiftright("at", 33))
-    stretches = placed.groupBy("part", "grp").agg(F.count(F.lit(1)).alias("many"), F.min("at").alias("first"))
-    group = Window.partitionBy("grp")  # a row a partition that the group reaches
-    before = F.coalesce(F.sum("many").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = stretches.select("part", "grp", (before - F.col("first")).alias("shift"), F.sum("many").over(group).alias("n"))
-    return placed.join(starts, ["part", "grp"]).withColumn("idx", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 class Mountains:
-    """The stack over one stretch of consecutive leaves of a group of n; `nodes` and `peaks` gather what is settled."""
+    """The stack over a stretch of a group of n leaves, given as nodes of any level in order of their leaves."""
 
     def __init__(self, grp: str, n: int):
         self.grp, self.n, self.top, self.next = grp, n, _height(n), 0
@@ -88,7 +76,11 @@ class Mountains:
         self.nodes: list[tuple[int, int, str, list[str]]] = []
         self.peaks: list[tuple[int, int, str]] = []
 
-    def push(self, level: int, idx: int, digest: str) -> None:
+    def add(self, level: int, idx: int, digest: str) -> None:
+        self.next = min((idx + 1) * FANOUT**level, self.n)
+        self._push(level, idx, digest)
+
+    def _push(self, level: int, idx: int, digest: str) -> None:
         while True:
             run = self.stack[level]
             self.ends[level] = idx + 1
@@ -98,70 +90,75 @@ class Mountains:
             run.append(digest)
             if len(run) < FANOUT:
                 return
-            level, idx, digest = self.carry(level)
+            level, idx, digest = self._carry(level)
 
-    def carry(self, level: int) -> tuple[int, int, str]:
+    def _carry(self, level: int) -> tuple[int, int, str]:
         run, idx = self.stack[level], (self.ends[level] - 1) // FANOUT
         digest = hashlib.sha256("".join(run).encode()).hexdigest()
         self.nodes.append((level + 1, idx, digest, run))
         self.stack[level] = []
         return level + 1, idx, digest
 
-    def leaf(self, idx: int, digest: str) -> None:
-        self.next = idx + 1
-        self.push(0, idx, digest)
-
     def close(self) -> None:
         """Carry the short runs if the group ends here; what is left on the stack are peaks."""
         for level in range(self.top):
             run = self.stack[level]
             if run and self.next == self.n:
-                self.push(*self.carry(level))
+                self._push(*self._carry(level))
             else:
                 first = self.ends[level] - len(run)
                 self.peaks += [(level, first + k, digest) for k, digest in enumerate(run)]
 
 
-_RECORDS = pa.schema([("grp", pa.string()), ("n", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("digest", pa.string()), ("kids", pa.list_(pa.string()))])
+_RECORDS = pa.schema([("grp", pa.string()), ("n", pa.int64()), ("part", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("digest", pa.string()), ("kids", pa.list_(pa.string()))])
+_RECORDS_DDL = "grp string, n long, part long, level int, idx long, digest string, kids array<string>"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Node records (kids set) and peaks (kids null) of a partition's stretches, leaves coming in order."""
-    now: Mountains | None = None
+def _settled(of: Mountains, part: int) -> pa.RecordBatch:
+    """Node records (kids set) and peaks (kids null) so far."""
+    rows = [*of.nodes, *((*peak, None) for peak in of.peaks)]
+    of.nodes, of.peaks = [], []
+    level, idx, digest, kids = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return record(_RECORDS, grp=[of.grp] * len(rows), n=[of.n] * len(rows), part=[part] * len(rows), level=level, idx=idx, digest=digest, kids=kids)
 
-    def settled(of: Mountains) -> pa.RecordBatch:
-        rows = [*of.nodes, *((*peak, None) for peak in of.peaks)]
-        of.nodes, of.peaks = [], []
-        level, idx, digest, kids = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return record(_RECORDS, grp=[of.grp] * len(rows), n=[of.n] * len(rows), level=level, idx=idx, digest=digest, kids=kids)
 
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a partition's stretches, leaves coming in order."""
+    now, part = None, TaskContext.get().partitionId()
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("grp", "n", "idx", "digest"))
         for grp, n, idx, digest in zip(*columns, strict=True):
             if now is None or now.grp != grp or now.next != idx:
                 if now is not None:
                     now.close()
-                    yield settled(now)
+                    yield _settled(now, part)
                 now = Mountains(grp, n)
-            now.leaf(idx, digest)
+            now.add(0, idx, digest)
         if now is not None:
-            yield settled(now)
+            yield _settled(now, part)
     if now is not None:
         now.close()
-        yield settled(now)
+        yield _settled(now, part)
 
 
-def _chained(kids: Column) -> Column:
-    return F.sha2(F.array_join(kids, ""), 256)
+def _merged(table: pa.Table) -> pa.Table:
+    """The records of consecutive stretches of one group, given their peaks."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("level", "idx", "digest")), strict=True), key=lambda r: r[1] * FANOUT ** r[0])
+    of = Mountains(table.column("grp")[0].as_py(), table.column("n")[0].as_py())
+    for row in rows:
+        of.add(*row)
+    of.close()
+    return pa.Table.from_batches([_settled(of, table.column("part")[0].as_py())])
 
 
 @dataclass(frozen=True)
 class Forest:
-    """The trees of all groups: numbered leaves, node records by level from 1, and a root a group."""
+    """The trees of all groups: numbered leaves, node records, a root a group, and how many levels the highest has."""
 
     leaves: DataFrame
-    levels: list[DataFrame]  # levels[k]: grp, n, idx, kids of the nodes of level k + 1
+    nodes: DataFrame  # grp, level (from 1), idx, kids
     roots: DataFrame  # grp, n, digest
+    levels: int
 
 
 def forest(leaves: DataFrame, *order: str) -> Forest:
@@ -169,22 +166,17 @@ def forest(leaves: DataFrame, *order: str) -> Forest:
     arrow_batches(leaves.sparkSession, 10_000)
     leaves = numbered(leaves, *order)
     dealt = leaves.select("grp", "n", "idx", "digest").repartitionByRange("grp", "idx").sortWithinPartitions("grp", "idx")
-    ddl = "grp string, n long, level int, idx long, digest string, kids array<string>"
-    records = stored(dealt.mapInArrow(_records, ddl), "merkle-nodes")
-    peaks, nodes = records.where("kids is null"), records.where("kids is not null")
-    highest = records.agg(F.max(height(F.col("n")))).first()[0] or 0  # a number
-    levels, merged = [], None
-    roots = peaks.where(F.col("level") == height(F.col("n")))
-    for level in range(highest):
-        here = peaks.where((F.col("level") == level) & (F.lit(level) < height(F.col("n")))).select("grp", "n", "idx", "digest")
-        if merged is not None:
-            here = here.unionByName(merged.where(F.lit(level) < height(F.col("n"))).select("grp", "n", "idx", "digest"))
-        runs = here.groupBy("grp", "n", F.floor(F.col("idx") / FANOUT).alias("parent")).agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("run"))
-        runs = runs.select("grp", "n", F.col("parent").alias("idx"), F.col("run.digest").alias("kids"))
-        merged = stored(runs.withColumn("digest", _chained(F.col("kids"))), "merkle-merged")
-        levels.append(nodes.where(F.col("level") == level + 1).select("grp", "n", "idx", "kids").unionByName(merged.select("grp", "n", "idx", "kids")))
-        roots = roots.unionByName(merged.where(F.lit(level + 1) == height(F.col("n"))), allowMissingColumns=True)
-    return Forest(leaves, levels, roots.select("grp", "n", "digest"))
+    records = stored(dealt.mapInArrow(_stacked, _RECORDS_DDL), "merkle-nodes")
+    last, levels = records.agg(F.max("part"), F.max(height(F.col("n")))).first()  # two numbers
+    nodes = [records]
+    while last:  # stretches of MERGED partitions become one
+        last //= MERGED
+        near = records.where("kids is null").withColumn("part", F.floor(F.col("part") / MERGED))
+        records = stored(near.groupBy("grp", "part").applyInArrow(_merged, _RECORDS_DDL), "merkle-merged")
+        nodes.append(records)
+    roots = records.where("kids is null").select("grp", "n", "digest")
+    every = reduce(DataFrame.unionByName, (r.where("kids is not null").select("grp", "level", "idx", "kids") for r in nodes))
+    return Forest(leaves, every, roots, levels or 0)
 
 
 def beside(kids: Column, place: Column) -> Column:
@@ -200,26 +192,23 @@ def with_proofs(trees: Forest, above: DataFrame) -> DataFrame:
     above: grp, path and further columns that leaves take over, one row a group.
     """
     also = [c for c in above.columns if c not in ("grp", "path")]
-    entry = trees.roots.select("grp", "n").join(above, "grp").withColumn("idx", F.lit(0).cast("long"))
+    entry = stored(trees.roots.select("grp", "n").join(above, "grp").withColumn("idx", F.lit(0).cast("long")), "merkle-roots")
     columns = ["grp", "idx", "path", *also]
-    down = None
-    for level in range(len(trees.levels), 0, -1):
+    runs = down = None
+    for level in range(trees.levels, 0, -1):
         here = entry.where(height(F.col("n")) == level).select(*columns)
         here = here if down is None else here.unionByName(down)
-        runs = here.join(trees.levels[level - 1].select("grp", "idx", "kids"), ["grp", "idx"])
-        if level == 1:
-            last = runs
-            break
-        each = runs.select("*", F.posexplode("kids").alias("place", "kid"))
-        longer = F.concat(F.array(beside(F.col("kids"), F.col("place"))), F.col("path"))
-        down = each.select("grp", (F.col("idx") * FANOUT + F.col("place")).alias("idx"), longer.alias("path"), *also)
-    alone = entry.where("n = 1").select("grp", F.lit(0).cast("long").alias("run"), "path", *also, F.lit(None).cast("array<string>").alias("kids"))
-    if trees.levels:
-        alone = alone.unionByName(last.withColumnRenamed("idx", "run"))
+        runs = here.join(trees.nodes.where(F.col("level") == level).select("grp", "idx", "kids"), ["grp", "idx"])
+        if level > 1:
+            each = runs.select("*", F.posexplode("kids").alias("place", "kid"))
+            longer = F.concat(F.array(beside(F.col("kids"), F.col("place"))), F.col("path"))
+            down = stored(each.select("grp", (F.col("idx") * FANOUT + F.col("place")).alias("idx"), longer.alias("path"), *also), "merkle-paths")
+    found = entry.where("n = 1").select(*columns, F.lit(None).cast("array<string>").alias("kids"))
+    found = found if runs is None else found.unionByName(runs)
     place = F.pmod("idx", F.lit(FANOUT)).cast("int")
-    found = trees.leaves.withColumn("run", F.floor(F.col("idx") / FANOUT)).join(alone, ["grp", "run"])
+    joined = trees.leaves.withColumn("run", F.floor(F.col("idx") / FANOUT)).join(found.withColumnRenamed("idx", "run"), ["grp", "run"])
     own = F.when(F.col("kids").isNull(), F.array().cast(_PATH)).otherwise(F.array(beside(F.col("kids"), place)))
-    return found.withColumn("path", F.concat(own, F.col("path"))).drop("run", "kids", "n", "idx")
+    return joined.withColumn("path", F.concat(own, F.col("path"))).drop("run", "kids", "n", "idx")
 
 
 def fold(leaf: Column, path: Column) -> Column:
