@@ -77,10 +77,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_tampered(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_decontamination, op5_quality_classifier, op6_language_id, op7_minhash_fingerprints, op8_pii_pseudonyms, op9_bitplane_ids, op10_byte_bpe, op11_merkle_manifest, pipeline)
+    every = (op1_substring_dedup, op2_simhash_near_dedup, op3_secret_scan, op4_decontamination, op5_quality_classifier, op6_language_id, op7_minhash_fingerprints, op8_pii_pseudonyms, op9_bitplane_ids, op10_byte_bpe, op11_merkle_manifest, op12_quality_rules, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in every}

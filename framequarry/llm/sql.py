@@ -100,5 +100,32 @@ SELECT doc_id, leaf, subroot, root, sha256(concat({proof})) AS proof_sha256, d{l
 FROM f{len(sides)}, (SELECT digest AS root FROM nb{levels})"""
 
 
+#: Words, single or in pairs; a bucket is a feature's CRC-32; benchmark and documents are counted alike.
+OP13 = f"""
+WITH crc AS MATERIALIZED ({CRC_TABLE}), texts AS MATERIALIZED (
+  SELECT kind, id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark)
+), found AS MATERIALIZED (
+  SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS feature FROM texts
+), hashed AS MATERIALIZED (
+  SELECT feature, {CRC.format(bytes=BYTES.format(text="feature"))} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM found), crc
+), counted AS (SELECT kind, bucket, count(*) AS many FROM found JOIN hashed USING (feature) GROUP BY ALL),
+sums AS (SELECT COALESCE(sum(many) FILTER (kind = 'd'), 0) AS all_s, COALESCE(sum(many) FILTER (kind = 'b'), 0) AS all_t FROM counted),
+gains AS (
+  SELECT s.bucket, floor(1000 * ln(CAST((COALESCE(t.many, 0) + 1) AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s.many + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS gain
+  FROM (SELECT * FROM counted WHERE kind = 'd') s LEFT JOIN (SELECT * FROM counted WHERE kind = 'b') t USING (bucket), sums
+), weights AS (
+  SELECT id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM found JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id
+), scores AS (
+  SELECT id AS doc_id, len(w) AS n_words, COALESCE(n_features, 0) AS n_features, COALESCE(weight, 0) AS weight,
+    COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('7:', id)), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (id) WHERE kind = 'd'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_decontamination": OP4, "op11_merkle_manifest": _merkle()}
+    return {"op1_substring_dedup": OP1, "op4_decontamination": OP4, "op11_merkle_manifest": _merkle(), "op13_importance_resampling": OP13}
