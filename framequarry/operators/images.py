@@ -1,4 +1,4 @@
-"""Images as rows: decoding, cutting out, shading, placing, flattening, encoding - each a narrow map over rows.
+"""Images as rows: decoding, cutting out, shading, placing, flattening, encoding - as functions of one picture and as narrow maps over rows.
 
 A decoded image is a row with width, height, rgb (linear light, float32, row-major, channels last) and alpha
 (float32, or null where the file has none), and with `error` (code, message, retryable), null if all is
@@ -10,6 +10,8 @@ batches are bounded in bytes. Nothing here shuffles. Empty tables give empty one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -18,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from ..functions import color, formats
 from ..functions.session import python_ready
-from ..sources import rasters
+from ..sources import eps, jpeg, rasters, webp
 from . import autopick, kernels, masks, rules
 
 ERROR = "struct<code: string, message: string, retryable: boolean>"
@@ -42,11 +45,12 @@ def _arrow(kind: DataType) -> pa.DataType:
 
 
 class Failed(ValueError):
-    """What a step raises to fail its row: a code of `rules.ERRORS` and a message that may be shown."""
+    """What a step raises to fail its row: a code of `rules.ERRORS`, a message that may be shown, and what is known all the same."""
 
-    def __init__(self, code: str, message: str):
+    def __init__(self, code: str, message: str, known: dict[str, Any] | None = None):
         super().__init__(message)
         self.info = {"code": code, "message": message, "retryable": rules.ERRORS[code]}
+        self.known = known or {}
 
 
 def each_image(images: DataFrame, step: Callable[[dict[str, Any]], dict[str, Any]], returns: str, given: tuple[str, ...] | None = None) -> DataFrame:
@@ -75,8 +79,9 @@ def each_image(images: DataFrame, step: Callable[[dict[str, Any]], dict[str, Any
                         out |= step({c: part.column(c)[0].as_py() for c in wanted})
                     except Failed as failure:
                         error = failure.info
+                        out |= failure.known
                     except Exception:  # noqa: BLE001  (a row's failure is that row's)
-                        error = Failed("internal_error", "An unexpected error occurred processing this image.").info
+                        error = Failed("internal_error", "This picture met a fault of the library.").info
                 made = [pa.array([out[n]], schema.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made, pa.array([error], schema.field("error").type)], schema=schema)
 
@@ -110,32 +115,34 @@ def levels(values: np.ndarray, top: int = 255) -> np.ndarray:
 # -- reading ------------------------------------------------------------------------------------
 
 
-def decode(files: DataFrame, most_bytes: int = 0, most_pixels: int = 0, payload: str = "payload") -> DataFrame:
-    """Files (column `payload`) to pixels. Caps: bytes of a file and pixels of a picture; 0 is none.
+def opened(data: bytes | None, most_bytes: int = 0, most_pixels: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """A file's linear light (h, w, 3) and alpha, turned and converted from its profile. Caps: 0 is none.
 
     Too large, not readable and not an image are three different errors.
     """
+    if data is None:
+        raise Failed("image_decode_failed", "No bytes came with this row.")
+    if most_bytes and len(data) > most_bytes:
+        raise Failed("file_too_large", f"{len(data)} bytes, and {most_bytes} are allowed.")
+    try:
+        w, h = rasters.dimensions(data)
+        if most_pixels and w * h > most_pixels:
+            raise Failed("file_too_large", f"{w} by {h} pixels, and {most_pixels} are allowed.")
+        return rasters.light(rasters.read(data))
+    except rasters.Unsupported as error:
+        raise Failed("unsupported_file", str(error)) from error
+    except Failed:
+        raise
+    except Exception as error:
+        raise Failed("image_decode_failed", "These bytes hold no picture that can be read.") from error
+
+
+def decode(files: DataFrame, most_bytes: int = 0, most_pixels: int = 0, payload: str = "payload") -> DataFrame:
+    """Files (column `payload`) to pixels, as `opened` reads them."""
 
     def step(row: dict[str, Any]) -> dict[str, Any]:
-        data = row[payload]
-        if data is None:
-            raise Failed("image_decode_failed", "There is no file to decode.")
-        if most_bytes and len(data) > most_bytes:
-            raise Failed("file_too_large", f"The file is over the limit of {most_bytes} bytes.")
-        try:
-            w, h = rasters.dimensions(data)
-            if most_pixels and w * h > most_pixels:
-                raise Failed("file_too_large", f"The picture is over the limit of {most_pixels} pixels.")
-            values = rasters.decode(data)
-        except rasters.Unsupported as error:
-            raise Failed("unsupported_file", str(error)) from error
-        except Failed:
-            raise
-        except Exception as error:
-            raise Failed("image_decode_failed", "The image could not be decoded.") from error
-        h, w, channels = values.shape
-        colour = np.repeat(values[..., :1], 3, axis=2) if channels < 3 else values[..., :3]
-        return {"width": w, "height": h, "rgb": packed(linear(colour)), "alpha": packed(values[..., -1]) if channels in (2, 4) else None}
+        rgb, alpha = opened(row[payload], most_bytes, most_pixels)
+        return {"width": rgb.shape[1], "height": rgb.shape[0], "rgb": packed(rgb), "alpha": packed(alpha)}
 
     return each_image(files, step, PIXELS, (payload,))
 
@@ -149,7 +156,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     def step(row: dict[str, Any]) -> dict[str, Any]:
         if row["height"] < 0 or row["data"] is None:
-            raise Failed("image_decode_failed", "The image could not be decoded.")
+            raise Failed("image_decode_failed", "These bytes hold no picture that can be read.")
         values = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"]) / 255.0
         colour = values[..., 2::-1] if row["nChannels"] >= 3 else np.repeat(values[..., :1], 3, axis=2)
         return {"width": row["width"], "rgb": packed(linear(colour)), "alpha": packed(values[..., 3]) if row["nChannels"] == 4 else None, "height": row["height"]}
@@ -207,32 +214,100 @@ def candidates_of(images: DataFrame, pool: list[tuple[str, Engine, float]]) -> D
     no mask is usable, fragmented ones are measured again as their largest object alone.
     """
 
-    def call(name: str, remove: Engine, price: float, pos: int, upload: bytes, w: int, h: int) -> dict[str, Any]:
-        entry = dict.fromkeys(("mask", "score", "soft", "reason", "code")) | {"engine": name, "pool_pos": pos, "cost": 0.0, "recovered": False}
-        try:
-            got = remove(upload, w, h)
-            mask = alpha_of_cutout(got, w, h) if isinstance(got, bytes) else np.clip(kernels.fit(np.asarray(got, float), h, w), 0, 1)
-        except Failed as failure:
-            return entry | {"code": failure.info["code"]}
-        m = measures(mask)
-        return entry | {"mask": mask, "cost": price, "score": m["score"], "soft": m["soft"], "reason": m["reason"]}
-
     def step(row: dict[str, Any]) -> dict[str, Any]:
         rgb, alpha = pixels_of(row)
         if alpha is not None and alpha.min() < 0.999:
             return {"candidates": [], "own_mask": row["alpha"]}
-        upload = under_budget(rgb)[0]
-        entries = [call(name, remove, price, k, upload, row["width"], row["height"]) for k, (name, remove, price) in enumerate(pool)]
-        if not any(e["score"] is not None for e in entries):
-            for e in entries:
-                alone = kernels.isolate_largest(e["mask"]) if e["reason"] == "fragmented" else None
-                if alone is not None and (m := measures(alone))["score"] is not None:
-                    e.update(mask=alone, score=m["score"], soft=m["soft"], reason=None, recovered=True)
-        return {"candidates": [e | {"mask": packed(e["mask"])} for e in entries], "own_mask": None}
+        return {"candidates": [e | {"mask": packed(e["mask"])} for e in asked(rgb, pool)], "own_mask": None}
 
     return each_image(images, step, f"candidates array<{CANDIDATE}>, own_mask binary", ("width", "height", "rgb", "alpha"))
 
 
+Box = tuple[int, int, int, int]
+
+
+def called(name: str, remove: Engine, price: float, pos: int, upload: bytes, w: int, h: int) -> dict[str, Any]:
+    """One engine's entry: its mask with measures, or the code of its failure."""
+    entry = dict.fromkeys(("mask", "score", "soft", "reason", "code")) | {"engine": name, "pool_pos": pos, "cost": 0.0, "recovered": False}
+    try:
+        got = remove(upload, w, h)
+        mask = alpha_of_cutout(got, w, h) if isinstance(got, bytes) else np.clip(kernels.fit(np.asarray(got, float), h, w), 0, 1)
+    except Failed as failure:
+        return entry | {"code": failure.info["code"]}
+    return entry | {"mask": mask, "cost": price}
+
+
+def asked(rgb: np.ndarray, pool: list[tuple[str, Engine, float]], box: Box | None = None, known: dict[str, np.ndarray] | None = None) -> list[dict[str, Any]]:
+    """The entries of a pool for a picture, or for a box of it: masks of the whole frame, empty outside the box.
+
+    Engines in `known` are not called: their masks (of the box) are taken at no cost. If no mask is usable, fragmented
+    ones are measured again as their largest object alone.
+    """
+    h, w = rgb.shape[:2]
+    x0, y0, x1, y1 = box or (0, 0, w, h)
+    upload, known = None, known or {}
+    entries = []
+    for pos, (name, remove, price) in enumerate(pool):
+        if name in known:
+            mask = np.clip(kernels.fit(known[name], y1 - y0, x1 - x0), 0, 1)
+            entry = dict.fromkeys(("score", "soft", "reason", "code")) | {"engine": name, "pool_pos": pos, "cost": 0.0, "recovered": False, "mask": mask, "hit": True}
+        else:
+            upload = upload or under_budget(rgb[y0:y1, x0:x1])[0]
+            entry = called(name, remove, price, pos, upload, x1 - x0, y1 - y0)
+        if entry["mask"] is not None:
+            entry["answer"] = entry["mask"]
+            if box:
+                entry["mask"] = np.zeros((h, w))
+                entry["mask"][y0:y1, x0:x1] = entry["answer"]
+            m = measures(entry["mask"])
+            entry |= {"score": m["score"], "soft": m["soft"], "reason": m["reason"]}
+        entries.append(entry)
+    if not any(e["score"] is not None for e in entries):
+        for e in entries:
+            alone = kernels.isolate_largest(e["mask"]) if e["reason"] == "fragmented" else None
+            if alone is not None and (m := measures(alone))["score"] is not None:
+                e.update(mask=alone, score=m["score"], soft=m["soft"], reason=None, recovered=True)
+    return entries
+
+
+#: Asked which of two cut-outs (PNG) is better, the first or the second; anything else is no answer. With its price.
+Judge = tuple[Callable[[bytes, bytes], "str | None"], float]
+
+
+def verdict(entries: list[dict[str, Any]], judge: Judge | None = None, rgb: np.ndarray | None = None) -> dict[str, Any]:
+    """What `chosen` makes of a row's candidates: mask, chosen_engine, score, gap, cost and cutout_notes; raises if no mask is usable.
+
+    Where the first two of exactly two usable masks tie, a judge is asked twice, with sides swapped, and overrules the
+    order if it names the same mask both times. A judge that fails changes nothing but the cost.
+    """
+    usable = sorted((e for e in entries if e["score"] is not None), key=lambda e: (-e["score"], e["pool_pos"]))
+    cost = sum(e["cost"] for e in entries)
+    answered = [e["pool_pos"] for e in entries if e["code"] is None]
+    if not usable:
+        if answered:
+            refused = "; ".join(f"{e['engine']}: {e['reason']}" for e in entries if e["reason"] is not None)
+            raise Failed("no_foreground_found", f"No mask of this picture can be used{f' ({refused})' if refused else ''}.", {"cost": cost})
+        order = {code: k for k, code in enumerate(autopick.FAILURE_ORDER)}
+        told = min((e for e in entries if e["code"] is not None), key=lambda e: (order.get(e["code"], len(order)), e["pool_pos"]), default={"code": "vendor_error"})
+        raise Failed(told["code"], "None of the engines answered.", {"cost": cost})
+    best, gap = usable[0], usable[0]["score"] - usable[1]["score"] if len(usable) > 1 else None
+    tied, judged = gap is not None and gap < masks.TIE, False
+    if tied and judge is not None and len(usable) == 2:
+        cost += judge[1]
+        try:
+            first, second = (rasters.encode_png(np.concatenate([levels(encoded(rgb)), levels(e["mask"])[..., None]], axis=2)) for e in usable)
+            there, back = judge[0](first, second), judge[0](second, first)
+            judged = (there, back) in (("first", "second"), ("second", "first"))
+            best = usable[1] if judged and there == "second" else best
+        except Exception:  # noqa: BLE001  (a judgement is a help, never a failure)
+            judged = False
+    tests = {
+        "single_engine_only": len(entries) == 1, "scene_largest_object": best["recovered"], "tiebreak_deterministic": tied and not judged, "tiebreak_vision": judged,
+        "engine_fallback_used": best["pool_pos"] != min(answered), "alpha_suspect": best["score"] < masks.SUSPECT,
+    }
+    return {"mask": best["mask"], "chosen_engine": best["engine"], "score": round(best["score"], 4), "gap": None if gap is None else round(gap, 4), "cost": cost, "cutout_notes": [n for n, test in tests.items() if test]}
+
+
 def chosen(images: DataFrame) -> DataFrame:
     """Picks among `candidates`, in the row: adds mask, chosen_engine, score, gap, cost and notes, and the error of a picture without a mask.
 
@@ -253,7 +328,7 @@ def chosen(images: DataFrame) -> DataFrame:
     worst = F.array_min(F.transform(failed, told))["code"]
     answered = F.size(F.filter("candidates", lambda c: c["code"].isNull())) > 0
     refused = rules.rejection_text(F.col("candidates"))
-    message = F.concat(F.lit("No usable cut-out could be found in this image"), F.when(refused != "", F.concat(F.lit(" ("), refused, F.lit(")"))).otherwise(F.lit("")), F.lit("."))
+    message = F.concat(F.lit("No mask of this picture can be used"), F.when(refused != "", F.concat(F.lit(" ("), refused, F.lit(")"))).otherwise(F.lit("")), F.lit("."))
     code = F.when(F.col("own_mask").isNotNull() | (F.size("usable") > 0), F.lit(None).cast("string")).when(answered, F.lit("no_foreground_found")).otherwise(F.coalesce(worst, F.lit("vendor_error")))
     note = {
         "single_engine_only": F.size("candidates") == 1, "scene_largest_object": best["recovered"], "tiebreak_deterministic": second["low"] - best["low"] < masks.TIE,
@@ -261,7 +336,7 @@ def chosen(images: DataFrame) -> DataFrame:
     }
     notes = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in note.items())))
     out = df.withColumns({
-        "error": F.coalesce("error", rules.error_info(code, F.when(answered, message).otherwise(F.lit("No segmentation engine answered for this image.")))),
+        "error": F.coalesce("error", rules.error_info(code, F.when(answered, message).otherwise(F.lit("None of the engines answered.")))),
         "mask": F.coalesce("own_mask", best["mask"]),
         "chosen_engine": best["engine"],
         "score": F.round(-best["low"], 4),
@@ -272,28 +347,60 @@ def chosen(images: DataFrame) -> DataFrame:
     return out.drop("usable", "candidates", "own_mask")
 
 
+# Fixed values of keying: the ring's share of the shorter side, and what stands out from the backdrop in hue, darker and brighter.
+RING, HUE, DARKER, BRIGHTER, UNSOLVABLE = 0.04, 0.03, 0.25, 1.12, 1e-6
+
+
+def largest_piece(mask: np.ndarray) -> np.ndarray:
+    labels = kernels.components(mask)
+    return labels == int(np.argmax(np.bincount(labels[mask], minlength=2)[1:])) + 1 if mask.any() else mask
+
+
+def holes(mask: np.ndarray) -> np.ndarray:
+    """Cells outside a mask that no way of side steps leads out of the picture from."""
+    labels = kernels.components(~mask, diagonal=False)
+    open_ends = np.unique(np.concatenate([labels[0], labels[-1], labels[:, 0], labels[:, -1]]))
+    return (labels > 0) & ~np.isin(labels, open_ends)
+
+
 def key_on_backdrop(rgb: np.ndarray) -> np.ndarray:
-    """The offline segmenter: median of the ring, what differs from it, the largest piece's median colour, the mixture of both."""
-    ring = np.concatenate([rgb[0], rgb[-1], rgb[:, 0], rgb[:, -1]])
-    back = np.median(ring, axis=0)
-    total = np.maximum(rgb.sum(axis=2), 1e-6)
-    hue = np.abs(rgb[..., :2] / total[..., None] - back[:2] / max(back.sum(), 1e-6)).max(axis=2)
-    rough = (hue > 0.04) | (rgb @ back / max(back @ back, 1e-12) < 0.5)
-    rough = kernels.dilate(kernels.erode(rough, kernels.ellipse(5)), kernels.ellipse(5))
-    labels = kernels.components(rough)
-    if not labels.any():
-        raise Failed("no_foreground_found", "Nothing stands out from the backdrop.")
-    largest = labels == int(np.argmax(np.bincount(labels[labels > 0])))
-    core = kernels.erode(largest, kernels.ellipse(7))
-    product = np.median(rgb[core if core.any() else largest], axis=0)
+    """The offline segmenter: coverage by a product in front of an even backdrop, shadows being backdrop; all zeros if nothing stands out.
+
+    The backdrop is the median of a ring. Inside what differs from it in hue, or is far darker or brighter, lies the product's
+    own median colour; a pixel's coverage is the mixture of both colours that comes nearest to it. Where that has no solution
+    (a black product, or one that is only brighter), coverage is how far a pixel is on the way from one to the other. What is
+    not part of the largest piece goes, and holes in that are filled.
+    """
+    h, w = rgb.shape[:2]
+    band = max(2, int(min(h, w) * RING))
+    ring = np.ones((h, w), bool)
+    ring[band : h - band, band : w - band] = False
+    back = np.median(rgb[ring], axis=0)
+    hue = rgb[..., :2] / np.maximum(rgb.sum(axis=2), 1e-6)[..., None] - back[:2] / max(back.sum(), 1e-6)
+    light = (rgb @ kernels.LUMA) / max(back @ kernels.LUMA, 1e-6)
+    small, wide = kernels.ellipse(5), kernels.ellipse(7)
+    opened_up = lambda m: kernels.dilate(kernels.erode(m, small), small)
+    rough = largest_piece(opened_up((np.hypot(*np.moveaxis(hue, 2, 0)) > HUE) | (light < DARKER) | (light > BRIGHTER)))
+    inner_core = kernels.erode(rough, wide)
+    core = inner_core if inner_core.any() else rough  # a product of a few pixels has no inside
+    if not core.any():
+        return np.zeros((h, w))
+    product = np.median(rgb[core], axis=0)
     ff, bb, fb = product @ product, back @ back, product @ back
     det = ff * bb - fb * fb
-    alpha = np.zeros(rgb.shape[:2]) if det < 1e-6 or ff < 1e-6 else np.clip((bb * (rgb @ product) - fb * (rgb @ back)) / det, 0, 1)
-    return np.where(kernels.dilate(largest, kernels.ellipse(7)), alpha, 0)
+    alpha = np.zeros((h, w)) if min(abs(det), ff) < UNSOLVABLE else np.clip((bb * (rgb @ product) - fb * (rgb @ back)) / det, 0, 1)
+    way = product - back
+    if not (alpha > 0.5).any() and way @ way >= UNSOLVABLE:
+        alpha = np.clip((rgb - back) @ way / (way @ way), 0, 1) * kernels.dilate(core, kernels.ellipse(15))
+    covered = alpha > 0.5
+    cleaned = opened_up(covered)
+    piece = largest_piece(cleaned if cleaned.any() else covered)
+    inside = holes(piece)
+    return np.maximum(alpha * kernels.dilate(piece | inside, small), inside) if piece.any() else np.zeros((h, w))
 
 
 def local_engine(data: bytes, width: int, height: int) -> np.ndarray:
-    return key_on_backdrop(linear(rasters.decode_png(data)[..., :3]))
+    return key_on_backdrop(rasters.light(rasters.read(data))[0])
 
 
 def measures(mask: np.ndarray) -> dict[str, Any]:
@@ -327,50 +434,32 @@ def decontaminated(rgb: np.ndarray, alpha: np.ndarray, plate: np.ndarray) -> np.
     return np.where(band[..., None], rgb + (own - rgb) * ease, rgb)
 
 
-def shaded(images: DataFrame, preserve_shadow: bool = True, clean_edges: bool = True) -> DataFrame:
-    """Backdrop, shadow and clean edges of rows with a mask: adds uniformity, ratio (null: none) and replaces rgb.
-
-    A picture that came with its own alpha has no backdrop to measure.
-    """
-
-    def step(row: dict[str, Any]) -> dict[str, Any]:
-        rgb, own = pixels_of(row)
-        if own is not None:
-            return {"rgb": row["rgb"], "uniformity": None, "ratio": None}
-        mask = np.frombuffer(row["mask"], "<f4").reshape(row["height"], row["width"]).astype(float)
-        plate, uniformity, share = kernels.plate(rgb, mask)
-        gate = uniformity >= kernels.GATE and share >= kernels.MIN_GROUND
-        ratio = kernels.shadow_ratio(rgb, mask, plate) if preserve_shadow and gate else None
-        out = decontaminated(rgb, mask, plate) if clean_edges and uniformity >= CLEAN_FROM else rgb
-        return {"rgb": packed(out), "uniformity": round(uniformity, 4), "ratio": packed(ratio)}
-
-    return each_image(images, step, "rgb binary, uniformity double, ratio binary", ("width", "height", "rgb", "alpha", "mask"))
+def shade(rgb: np.ndarray, mask: np.ndarray, preserve_shadow: bool = True, clean_edges: bool = True) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """Colours with clean edges, the backdrop's uniformity, and the shadow as a ratio (None: there is none to keep)."""
+    plate, uniformity, share = kernels.plate(rgb, mask)
+    gate = uniformity >= kernels.GATE and share >= kernels.MIN_GROUND
+    ratio = kernels.shadow_ratio(rgb, mask, plate) if preserve_shadow and gate else None
+    return decontaminated(rgb, mask, plate) if clean_edges and uniformity >= CLEAN_FROM else rgb, round(uniformity, 4), ratio
 
 
-def placed(images: DataFrame, width: int, height: int, margin_pct: float = 0.0, cover: bool = False, upscale: bool = True, centroid: bool = False, most_pixels: int = 0) -> DataFrame:
-    """Every product on a canvas of exactly this size, centred by its bounds or its centroid.
-
-    Adds canvas_width, canvas_height, canvas_rgb, canvas_alpha, canvas_ratio (null: no shadow), scale, off_x and off_y (what is
-    left of the centring) and notes.
-    """
-
-    def step(row: dict[str, Any]) -> dict[str, Any]:
-        if most_pixels and width * height > most_pixels:
-            raise Failed("output_too_large", f"The canvas is over the limit of {most_pixels} pixels.")
-        rgb, _ = pixels_of(row)
-        shape = (row["height"], row["width"])
-        alpha = np.frombuffer(row["mask"], "<f4").reshape(shape).astype(float)
-        ratio = None if row["ratio"] is None else np.frombuffer(row["ratio"], "<f4").reshape(shape).astype(float)
-        return place(rgb, alpha, ratio, width, height, margin_pct, cover, upscale, centroid)
+@dataclass(frozen=True)
+class Placed:
+    """A product on its canvas: how it got there, and what is left of the centring."""
 
-    kinds = "canvas_width int, canvas_height int, canvas_rgb binary, canvas_alpha binary, canvas_ratio binary, scale double, off_x double, off_y double, notes array<string>"
-    return each_image(images, step, kinds, ("width", "height", "rgb", "alpha", "mask", "ratio"))
+    rgb: np.ndarray
+    alpha: np.ndarray
+    ratio: np.ndarray | None
+    scale: float
+    off_x: float
+    off_y: float
+    notes: list[str]
 
 
-def place(rgb, alpha, ratio, width: int, height: int, margin_pct: float, cover: bool, upscale: bool, centroid: bool) -> dict[str, Any]:
+def place(rgb: np.ndarray, alpha: np.ndarray, ratio: np.ndarray | None, width: int, height: int, margin_pct: float = 0.0, cover: bool = False, upscale: bool = True, centroid: bool = False) -> Placed:
+    """A product on a canvas of exactly this size, centred by its bounds or its centroid."""
     x0, y0, x1, y1 = kernels.box_above(alpha, 0.05)
     if x1 <= x0:
-        raise Failed("no_foreground_found", "The mask is empty.")
+        raise Failed("no_foreground_found", "Nothing is left of the product's mask.")
     notes, inset = [], 1 - 2 * margin_pct / 100
     scale = max(width / (x1 - x0), height / (y1 - y0)) if cover else min(width * inset / (x1 - x0), height * inset / (y1 - y0))
     if scale > 1 and not upscale:
@@ -398,66 +487,80 @@ def place(rgb, alpha, ratio, width: int, height: int, margin_pct: float, cover:
     if int((canvas_alpha > 0.05).sum()) < int((alpha > 0.05).sum()):
         notes.append("cover_cropped")
     ex, ey = centre(canvas_alpha)
-    out = {"canvas_width": width, "canvas_height": height, "canvas_rgb": packed(canvas_rgb), "canvas_alpha": packed(canvas_alpha), "canvas_ratio": None if ratio is None else packed(canvas_ratio)}
-    return out | {"scale": float(scale), "off_x": ex - width / 2, "off_y": ey - height / 2, "notes": notes}
+    return Placed(canvas_rgb, canvas_alpha, None if ratio is None else canvas_ratio, float(scale), ex - width / 2, ey - height / 2, notes)
 
 
-def flattened(images: DataFrame, background: tuple[float, float, float] | None) -> DataFrame:
+def flatten(canvas: Placed, background: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray | None]:
     """The canvas over a background (linear light) with its shadow; None leaves it transparent and drops the shadow."""
+    if background is None:
+        return canvas.rgb, canvas.alpha
+    alpha = canvas.alpha[..., None]
+    ratio = 1.0 if canvas.ratio is None else canvas.ratio[..., None]
+    return canvas.rgb * alpha + np.clip(np.array(background) * ratio, 0, 1) * (1 - alpha), None
 
-    def step(row: dict[str, Any]) -> dict[str, Any]:
-        if background is None:
-            return {"final_rgb": row["canvas_rgb"], "final_alpha": row["canvas_alpha"]}
-        shape = (row["canvas_height"], row["canvas_width"])
-        rgb, alpha = np.frombuffer(row["canvas_rgb"], "<f4").reshape(*shape, 3), np.frombuffer(row["canvas_alpha"], "<f4").reshape(shape)[..., None]
-        ratio = 1.0 if row["canvas_ratio"] is None else np.frombuffer(row["canvas_ratio"], "<f4").reshape(shape)[..., None]
-        return {"final_rgb": packed(rgb * alpha + np.clip(np.array(background) * ratio, 0, 1) * (1 - alpha)), "final_alpha": None}
 
-    return each_image(images, step, "final_rgb binary, final_alpha binary", ("canvas_width", "canvas_height", "canvas_rgb", "canvas_alpha", "canvas_ratio"))
+# -- writing ------------------------------------------------------------------------------------
+
+WRITABLE = ("png", "jpeg", "webp", "bmp", "tiff", "eps")
+QUALITY = 92
+#: Profiles by name: what stands in the file's description, red, green and blue adapted to the file's white, and gamma (None: sRGB's own curve).
+PROFILES = {
+    "srgb": ("sRGB", ((0.43607, 0.22249, 0.01392), (0.38515, 0.71687, 0.09708), (0.14307, 0.06061, 0.71410)), None),
+    "adobe": ("Adobe RGB (1998)", ((0.60974, 0.31111, 0.01947), (0.20528, 0.62567, 0.06087), (0.14919, 0.06322, 0.74457)), color.ADOBE_GAMMA),
+}
 
 
-# -- writing ------------------------------------------------------------------------------------
+def profiled(rgb: np.ndarray, profile: str | None) -> np.ndarray:
+    """Linear sRGB to the profile's encoded values, 0 to 1."""
+    if profile != "adobe":
+        return encoded(rgb)
+    return np.clip(rgb @ np.array(color.SRGB_TO_ADOBE).T, 0, 1) ** (1 / color.ADOBE_GAMMA)
+
 
-WRITABLE = ("png", "bmp", "tiff")
+@lru_cache
+def profile_of(name: str) -> bytes:
+    description, primaries, gamma = PROFILES[name]
+    return rasters.icc_profile(description, primaries, linear(np.linspace(0, 1, 1024)) if gamma is None else gamma)
 
 
-def encode(rgb: np.ndarray, alpha: np.ndarray | None, fmt: str, deep: bool = False) -> bytes:
-    """Linear pixels to a file: PNG with or without alpha, BMP, 16-bit TIFF. Formats without alpha refuse a clear picture."""
+def encode(rgb: np.ndarray, alpha: np.ndarray | None, fmt: str, profile: str | None = None, quality: int = QUALITY) -> bytes:
+    """Linear pixels to a file: PNG, lossless WebP and 16-bit TIFF with or without alpha, JPEG, BMP, EPS.
+
+    Formats without alpha refuse a clear picture. A profile's values are converted to it and it is embedded, where the format holds one.
+    """
+    if fmt not in WRITABLE:
+        raise Failed("unsupported_file", f"Nothing here writes {fmt}.")
     clear = alpha is not None and alpha.min(initial=1) < 0.999
-    if fmt in ("bmp", "jpeg", "eps") and clear:
-        raise Failed("internal_error", f"{fmt} carries no alpha.")
-    colour = encoded(rgb)
+    if clear and fmt in formats.NO_ALPHA:
+        raise Failed("internal_error", f"A clear picture cannot be a {fmt}.")
+    colour, held = profiled(rgb, profile), profile_of(profile) if profile else None
+    solid = levels(colour)
+    with_alpha = solid if alpha is None else np.concatenate([solid, levels(alpha)[..., None]], axis=2)
     if fmt == "png":
-        return rasters.encode_png(levels(colour) if alpha is None else np.concatenate([levels(colour), levels(alpha)[..., None]], axis=2))
+        return rasters.encode_png(with_alpha, held)
+    if fmt == "webp":
+        return webp.encode(with_alpha, held)
+    if fmt == "jpeg":
+        return jpeg.encode(solid, quality, held)
+    if fmt == "eps":
+        return eps.encode(solid)
     if fmt == "bmp":
-        return rasters.encode_bmp(levels(colour))
-    if fmt == "tiff":
-        return rasters.encode_tiff16(levels(colour, 65535))
-    raise Failed("unsupported_file", f"There is no encoder for {fmt}.")
-
+        return rasters.encode_bmp(solid)
+    return rasters.encode_tiff16(levels(colour if alpha is None else np.concatenate([colour, alpha[..., None]], axis=2), 65535), held)
 
-def exported(images: DataFrame, formats: Column) -> DataFrame:
-    """One row an image and format (array column): the image's row with format and body; a failed image keeps one row, without."""
-    wanted = F.when(F.col("error").isNull() & (F.size(formats) > 0), formats).otherwise(F.array(F.lit(None).cast("string")))
-    rows = images.withColumn("format", F.explode(wanted))
 
-    def step(row: dict[str, Any]) -> dict[str, Any]:
-        shape = (row["canvas_height"], row["canvas_width"])
-        rgb = np.frombuffer(row["final_rgb"], "<f4").reshape(*shape, 3).astype(float)
-        alpha = None if row["final_alpha"] is None else np.frombuffer(row["final_alpha"], "<f4").reshape(shape).astype(float)
-        return {"body": encode(rgb, alpha, row["format"])}
-
-    return each_image(rows, step, "body binary", ("canvas_width", "canvas_height", "final_rgb", "final_alpha", "format"))
+def small(rgb: np.ndarray, alpha: np.ndarray | None, long_edge: int = THUMBNAIL) -> tuple[bytes, int, int]:
+    """A small PNG of a picture, its alpha on white, with its size; never larger than the picture."""
+    flat = rgb if alpha is None else rgb * alpha[..., None] + (1 - alpha[..., None])
+    scale = min(1.0, long_edge / max(flat.shape[:2]))
+    out = flat if scale == 1 else kernels.fit(flat, max(1, round(flat.shape[0] * scale)), max(1, round(flat.shape[1] * scale)))
+    return rasters.encode_png(levels(encoded(out))), out.shape[1], out.shape[0]
 
 
 def thumbnails(images: DataFrame, long_edge: int = THUMBNAIL) -> DataFrame:
     """Adds a small PNG of each decoded picture, its alpha on white; never larger than the picture."""
 
     def step(row: dict[str, Any]) -> dict[str, Any]:
-        rgb, alpha = pixels_of(row)
-        flat = rgb if alpha is None else rgb * alpha[..., None] + (1 - alpha[..., None])
-        scale = min(1.0, long_edge / max(flat.shape[:2]))
-        small = flat if scale == 1 else kernels.fit(flat, max(1, round(flat.shape[0] * scale)), max(1, round(flat.shape[1] * scale)))
-        return {"thumbnail": rasters.encode_png(levels(encoded(small))), "thumbnail_width": small.shape[1], "thumbnail_height": small.shape[0]}
+        return dict(zip(("thumbnail", "thumbnail_width", "thumbnail_height"), small(*pixels_of(row), long_edge), strict=True))
 
     return each_image(images, step, "thumbnail binary, thumbnail_width int, thumbnail_height int", ("width", "height", "rgb", "alpha"))

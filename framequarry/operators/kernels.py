@@ -9,9 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """8-connected labels 1, 2, ... in raster order of their first cell; 0 outside. Runs of rows are united."""
+def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Labels 1, 2, ... of what hangs together (by corners too, if diagonal), in raster order of the first cell; 0 outside. Runs of rows are united."""
     height, width = mask.shape
+    reach = 0 if diagonal else 1
     labels, parent = np.zeros((height, width), np.int64), [0]
 
     def root(k: int) -> int:
@@ -27,7 +28,7 @@ def components(mask: np.ndarray) -> np.ndarray:
         for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             mine = 0
             for a, b, k in before:
-                if a <= end and start <= b:
+                if a + reach <= end and start + reach <= b:
                     k = root(k)
                     if mine and k != mine:
                         parent[max(mine, k)] = min(mine, k)

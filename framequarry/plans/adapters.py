@@ -10,6 +10,11 @@ from .registry import table
 SIDE = 8
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Descriptors of pictures dealt out before pictures are made of them: a small file is one split, and a picture is much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as an 8x8 mask in one row: vec_id, image_id, pool_pos, alpha (row-major array of double)."""
 

@@ -11,12 +11,12 @@ from ..functions.session import python_ready
 from ..operators import images, imaging, layered
 from ..sources import rasters
 from ..streaming import vendors
-from .adapters import PIXELS_SQL, SIDE, entries, pixels
+from .adapters import PIXELS_SQL, SIDE, entries, pixels, spread
 from .registry import ORACLES, query, table
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imaging.rendered(imaging.scenes(table(spark, sf_dir, "part")))
+    return imaging.rendered(spread(imaging.scenes(table(spark, sf_dir, "part"))))
 
 
 @query()
@@ -80,7 +80,7 @@ def scene_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
         areas = [int(a[..., 3].sum() // 255) for _, a in parts["layers"]]
         return {"layers": ",".join(n for n, _ in parts["layers"]), "areas": ",".join(map(str, areas)), "corner": int(parts["merged"][0, 0, 0])}
 
-    return images.each_image(files, read, "layers string, areas string, corner int", ("psd",)).select("img", "scale", "layers", "areas", "corner", F.size("problems").alias("problems"))
+    return images.each_image(files, read, "layers string, areas string, corner int", ("psd",)).select("img", "scale", "layers", "areas", "corner", F.size("faults").alias("problems"))
 
 
 @query(f"""WITH {PIXELS_SQL} SELECT img, 'BG,SHADOW,PROD' AS layers, CAST(sum(floor(a * 255 + 0.5)) AS BIGINT) AS cover, CAST(sum(floor((1 - (8 + i % 8) / 16.0) * 255 + 0.5)) AS BIGINT) AS shade, true AS clipped, 0 AS problems FROM px GROUP BY img""")
@@ -102,7 +102,7 @@ def product_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"layers": ",".join(layers), "cover": int(layers["PROD"][..., 3].sum()), "shade": int(layers["SHADOW"][..., 3].sum())}
 
     made = images.each_image(files, read, "layers string, cover bigint, shade bigint", ("psd",))
-    return made.select("img", "layers", "cover", "shade", (F.col("path_vertices") >= 3).alias("clipped"), F.size("problems").alias("problems"))
+    return made.select("img", "layers", "cover", "shade", (F.col("path_vertices") >= 3).alias("clipped"), F.size("faults").alias("problems"))
 
 
 @query("SELECT page_id % 7 AS archive_id, count(*) AS entries, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY page_id % 7")

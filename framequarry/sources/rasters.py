@@ -1,17 +1,21 @@
 """Image files to and from arrays, with numpy and the standard library only.
 
-Reads PNG (8 and 16 bits, grey, colour, palette, alpha), BMP (24 and 32 bits) and what `encode_tiff16`
-writes; writes PNG, BMP, 16-bit TIFF with an ICC profile, and layered PSD. Other formats give a typed
-refusal instead of wrong pixels.
+Reads PNG (8 and 16 bits, grey, colour, palette, alpha), BMP (24 and 32 bits), TIFF, sequential JPEG, lossless WebP and a PSD's
+merged picture, with orientation and embedded profile; writes those, EPS and layered PSD. Other formats give a typed refusal instead of wrong pixels.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
+from . import jpeg, profiles, tiff, webp
+
+_TIFF = (b"II*\0", b"MM\0*")
+
 
 class Unsupported(ValueError):
     """A format or variant that is not read here; `code` is for result rows."""
@@ -23,14 +27,26 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(pixels: np.ndarray) -> bytes:
-    """uint8 or uint16 (h, w, 1..4) to PNG."""
+def encode_png(pixels: np.ndarray, profile: bytes | None = None) -> bytes:
+    """uint8 or uint16 (h, w, 1..4) to PNG, with a profile if there is one."""
     h, w, channels = pixels.shape
     deep = pixels.dtype == np.uint16
     kind = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
     rows = pixels.astype(">u2" if deep else "u1").reshape(h, -1).view(np.uint8).reshape(h, -1)
     body = zlib.compress(np.concatenate([np.zeros((h, 1), np.uint8), rows], axis=1).tobytes(), 6)
-    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16 if deep else 8, kind, 0, 0, 0)) + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
+    held = _chunk(b"iCCP", b"profile\0\0" + zlib.compress(profile)) if profile else b""
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16 if deep else 8, kind, 0, 0, 0)) + held + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
+
+
+def png_chunk(data: bytes, wanted: bytes) -> bytes | None:
+    """The body of a PNG's first chunk of a kind."""
+    at = 8
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == wanted:
+            return data[at + 8 : at + 8 + size]
+        at += size + 12
+    return None
 
 
 def dimensions(data: bytes) -> tuple[int, int]:
@@ -40,12 +56,26 @@ def dimensions(data: bytes) -> tuple[int, int]:
     if data[:2] == b"BM":
         w, h = struct.unpack("<ii", data[18:26])
         return w, abs(h)
-    if data[:4] == b"II*\0":
-        tags = _tags(data)
-        return tags[256], tags[257]
+    if data[:4] in _TIFF:
+        return tiff.size(data)
+    if data[:2] == b"\xff\xd8":
+        found = _named(jpeg.head, data)
+        return found.width, found.height
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _named(webp.size, data)
+    if data[:4] == b"8BPS" and len(data) >= 26:
+        return struct.unpack(">II", data[14:22])[::-1]
     raise Unsupported("no dimensions in the first bytes")
 
 
+def _named(read, data: bytes):
+    """Kinds that a reader does not know are refused alike, whatever the format."""
+    try:
+        return read(data)
+    except (jpeg.OtherJpeg, tiff.OtherTiff, webp.OtherWebp) as error:
+        raise Unsupported(str(error)) from error
+
+
 def _unfilter(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
     out = np.zeros((h, stride), np.uint8)
     above = np.zeros(stride, np.uint8)
@@ -131,8 +161,12 @@ def _s15(value: float) -> bytes:
     return struct.pack(">i", round(value * 65536))
 
 
-def icc_profile(name: str, primaries: tuple[tuple[float, float, float], ...], gamma: float, white: tuple[float, float, float] = (0.9642, 1.0, 0.8249)) -> bytes:
-    """A matrix-shaper ICC v2 display profile; the same input gives the same bytes."""
+def icc_profile(name: str, primaries: tuple[tuple[float, float, float], ...], curve: float | np.ndarray, white: tuple[float, float, float] = (0.9642, 1.0, 0.8249)) -> bytes:
+    """A matrix-shaper ICC v2 display profile; its curve is a gamma or samples in 0..1. The same input gives the same bytes."""
+    if isinstance(curve, np.ndarray):
+        shape = struct.pack(">I", len(curve)) + np.rint(curve * 65535).astype(">u2").tobytes()
+    else:
+        shape = struct.pack(">IH", 1, round(curve * 256)) + b"\0\0"
     text = name.encode("ascii")
     tags = {
         b"desc": b"desc\0\0\0\0" + struct.pack(">I", len(text) + 1) + text + b"\0" * (1 + 4 + 4 + 2 + 1 + 67),
@@ -140,7 +174,7 @@ def icc_profile(name: str, primaries: tuple[tuple[float, float, float], ...], ga
         b"wtpt": b"XYZ \0\0\0\0" + b"".join(map(_s15, white)),
     }
     tags |= {k: b"XYZ \0\0\0\0" + b"".join(map(_s15, xyz)) for k, xyz in zip((b"rXYZ", b"gXYZ", b"bXYZ"), primaries)}
-    tags |= dict.fromkeys((b"rTRC", b"gTRC", b"bTRC"), b"curv\0\0\0\0" + struct.pack(">IH", 1, round(gamma * 256)) + b"\0\0")
+    tags |= dict.fromkeys((b"rTRC", b"gTRC", b"bTRC"), b"curv\0\0\0\0" + shape)
     at, table, body = 128 + 4 + 12 * len(tags), struct.pack(">I", len(tags)), b""
     for key, value in tags.items():
         value += b"\0" * (-len(value) % 4)
@@ -151,34 +185,22 @@ def icc_profile(name: str, primaries: tuple[tuple[float, float, float], ...], ga
 
 
 def encode_tiff16(pixels: np.ndarray, profile: bytes | None = None) -> bytes:
-    """uint16 (h, w, 3) to a zlib-compressed 16-bit TIFF, with a profile in tag 34675."""
-    h, w, _ = pixels.shape
+    """uint16 (h, w, 3 or 4) to a zlib-compressed 16-bit TIFF, alpha not multiplied in, with a profile if there is one."""
+    h, w, channels = pixels.shape
     strip = zlib.compress(pixels.astype("<u2").tobytes(), 6)
-    bits = struct.pack("<HHH", 16, 16, 16)
-    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 3, 8), (259, 3, 1, 8), (262, 3, 1, 2), (273, 4, 1, 14), (277, 3, 1, 3), (278, 4, 1, h), (279, 4, 1, len(strip)), (284, 3, 1, 1)]
-    at = 14 + len(strip) + len(strip) % 2
+    bits = struct.pack(f"<{channels}H", *[16] * channels)
+    begin = 8 + len(bits)
+    at = begin + len(strip) + len(strip) % 2
+    T = tiff
+    tags = [(T.WIDTH, 4, 1, w), (T.HEIGHT, 4, 1, h), (T.BITS, 3, channels, 8), (T.PACKING, 3, 1, 8), (T.INK, 3, 1, 2), (T.STRIPS, 4, 1, begin), (T.SAMPLES, 3, 1, channels), (T.ROWS, 4, 1, h), (T.COUNTS, 4, 1, len(strip)), (T.PLANAR, 3, 1, 1)]
+    if channels == 4:
+        tags.append((T.EXTRA, 3, 1, 2))
     if profile:
-        tags.append((34675, 7, len(profile), at))
+        tags.append((T.PROFILE, 7, len(profile), at))
     body = strip + b"\0" * (len(strip) % 2) + (profile or b"")
     body += b"\0" * (len(body) % 2)
     directory = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in sorted(tags)) + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, 14 + len(body)) + bits + body + directory
-
-
-def _tags(data: bytes) -> dict[int, int]:
-    """A little-endian TIFF's first directory: tag to value."""
-    start = struct.unpack("<I", data[4:8])[0]
-    count = struct.unpack("<H", data[start : start + 2])[0]
-    return {t: v for t, _, _, v in (struct.unpack("<HHII", data[start + 2 + 12 * k : start + 14 + 12 * k]) for k in range(count))}
-
-
-def decode_tiff16(data: bytes) -> np.ndarray:
-    """Reads back what `encode_tiff16` writes."""
-    tags = _tags(data)
-    if data[:4] != b"II*\0" or tags.get(259) != 8:
-        raise Unsupported("only zlib TIFF as written here")
-    raw = zlib.decompress(data[tags[273] : tags[273] + tags[279]])
-    return np.frombuffer(raw, "<u2").reshape(tags[257], tags[256], 3) / 65535.0
+    return struct.pack("<2sHI", b"II", 42, begin + len(body)) + bits + body + directory
 
 
 def pascal(name: str, pad: int) -> bytes:
@@ -275,18 +297,126 @@ def psd_parts(data: bytes) -> dict:
     return {"size": (w, h), "depth": depth, "mode": mode, "resources": resources, "layers": layers, "merged": merged}
 
 
+def psd_merged(data: bytes) -> tuple[np.ndarray, bytes | None, bool]:
+    """The merged picture of a PSD or PSB (h, w, channels) in 0..1, raw or in run lengths, of 8 or 16 bits; its profile; whether it is ink."""
+    r = _Reader(data)
+    sign, version, channels, h, w, depth, mode = r.read("4sH6xHIIHH")
+    if sign != b"8BPS" or version not in (1, 2) or mode not in (1, 3, 4) or depth not in (8, 16):
+        raise Unsupported(f"PSD of {depth} bits in mode {mode}")
+    many = {1: 1, 3: 3, 4: 4}[mode]
+    r.take(r.read("I")[0])
+    held, profile = _Reader(r.take(r.read("I")[0])), None
+    while held.at < len(held.data):
+        number = held.read("4sH")[1]
+        held.name(2)
+        size = held.read("I")[0]
+        body = held.take(size)
+        profile = body if number == 1039 else profile
+        held.take(min(size % 2, len(held.data) - held.at))
+    r.take(r.read("I" if version == 1 else "Q")[0])
+    packing, row = r.read("H")[0], w * depth // 8
+    if packing == 0:
+        raw = r.take(channels * h * row)
+    elif packing == 1:
+        sizes = r.read(f"{channels * h}{'H' if version == 1 else 'I'}")
+        raw = b"".join(tiff.run_lengths(r.take(n))[:row].ljust(row, b"\0") for n in sizes)
+    else:
+        raise Unsupported("a PSD packed another way")
+    values = np.frombuffer(raw, ">u2" if depth == 16 else "u1").reshape(channels, h, w).transpose(1, 2, 0) / (65535.0 if depth == 16 else 255.0)
+    ink = mode == 4
+    keep = many if ink else many + (channels > many and _first_is_alpha(data))
+    return (1 - values if ink else values)[..., :keep], profile, ink
+
+
+def _first_is_alpha(data: bytes) -> bool:
+    """Whether the first extra channel is the merged picture's alpha: the number of layers is negative then."""
+    at = 26
+    for _ in range(2):
+        at += 4 + struct.unpack_from(">I", data, at)[0]
+    return len(data) >= at + 10 and struct.unpack_from(">II", data, at)[1] > 0 and struct.unpack_from(">h", data, at + 8)[0] < 0
+
+
 def psd_layers(data: bytes) -> tuple[tuple[int, int], list[str]]:
     """Width and height, and the layer names, of a PSD."""
     parts = psd_parts(data)
     return parts["size"], [name for name, _ in parts["layers"]]
 
 
-def decode(data: bytes) -> np.ndarray:
+@dataclass(frozen=True)
+class Picture:
+    """A file's encoded values (h, w, 1 to 4) in 0..1 as a viewer turns them, and its profile if it has one.
+
+    `ink` says that four channels are CMYK and not colours with alpha.
+    """
+
+    values: np.ndarray
+    profile: bytes | None = None
+    ink: bool = False
+
+
+def _png(data: bytes) -> Picture:
+    held = png_chunk(data, b"iCCP")
+    try:
+        profile = zlib.decompress(held.split(b"\0", 1)[1][1:]) if held else None
+    except (zlib.error, IndexError):
+        profile = None
+    return Picture(tiff.turned(decode_png(data), tiff.orientation(png_chunk(data, b"eXIf"))), profile)
+
+
+def _tiff(data: bytes) -> Picture:
+    values, tags = tiff.decode(data)
+    profile, turn = tags.get(tiff.PROFILE, (None,))[0], tags.get(tiff.TURN, (1,))[0]
+    ink = tags[tiff.INK][0] == 5
+    if values.shape[2] > 4 or (values.shape[2] == 4 and not ink and not tags.get(tiff.EXTRA)):
+        values = values[..., : 4 if ink else 3]  # further samples are not alpha
+    return Picture(tiff.turned(values, turn), profile, ink)
+
+
+def _jpeg(data: bytes) -> Picture:
+    values, found = jpeg.decode(data)
+    return Picture(tiff.turned(values, tiff.orientation(found.exif)), found.profile, values.shape[2] == 4)
+
+
+def _webp(data: bytes) -> Picture:
+    values, profile, exif = webp.decode(data)
+    return Picture(tiff.turned(values, tiff.orientation(exif)), profile)
+
+
+def read(data: bytes) -> Picture:
     """By first bytes; refuses what is not read here."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return decode_png(data)
+        return _png(data)
     if data[:2] == b"BM":
-        return decode_bmp(data)
-    if data[:4] == b"II*\0":
-        return decode_tiff16(data)
+        return Picture(decode_bmp(data))
+    if data[:4] in _TIFF:
+        return _named(_tiff, data)
+    if data[:2] == b"\xff\xd8":
+        return _named(_jpeg, data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _named(_webp, data)
+    if data[:4] == b"8BPS":
+        return Picture(*psd_merged(data))
     raise Unsupported("not a format read here")
+
+
+def light(picture: Picture) -> tuple[np.ndarray, np.ndarray | None]:
+    """Linear sRGB (h, w, 3) and alpha or None. A profile that cannot be used is no failure: values are sRGB then."""
+    values = picture.values
+    many = 4 if picture.ink else 3 if values.shape[2] >= 3 else 1
+    alpha = values[..., -1] if not picture.ink and values.shape[2] in (2, 4) else None
+    colour = values[..., :many]
+    if picture.profile:
+        try:
+            return profiles.to_linear_srgb(picture.profile, colour), alpha
+        except profiles.BadProfile:
+            pass
+    if picture.ink:
+        colour = (1 - colour[..., :3]) * (1 - colour[..., 3:])
+    elif many == 1:
+        colour = np.repeat(colour, 3, axis=2)
+    return np.where(colour <= 0.04045, colour / 12.92, ((np.maximum(colour, 0) + 0.055) / 1.055) ** 2.4), alpha
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Encoded values alone."""
+    return read(data).values
