@@ -141,7 +141,11 @@ class FMIndex:
 
 
 class Phrases:
-    """A block of the benchmark: its vocabulary, its words as numbers end to end, and where phrases of each length begin."""
+    """A block of the benchmark: its vocabulary, its words as numbers end to end, and where phrases of each length begin.
+
+    Equal windows are one phrase with all their items as owners, so the phrases of a length occur at different
+    places of a shard, and what is found of them is never more than the shard holds.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.vocabulary: dict[bytes, int] = {}
@@ -158,8 +162,14 @@ class Phrases:
             of = np.flatnonzero(length == n)
             count = size[of] - n + 1
             starts = np.repeat(first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            self.groups.append((n, starts.astype(np.int32), np.repeat(owner[of], count)))
-        self.shortest = min((n for n, _, _ in self.groups), default=WINDOW)
+            rows = np.ascontiguousarray(self.words[starts[:, None] + np.arange(n)]).view(np.dtype((np.void, 4 * n))).reshape(-1)
+            _, one, phrase = np.unique(rows, return_index=True, return_inverse=True)
+            owners = np.repeat(owner[of], count)
+            pairs = np.unique(phrase[owners >= 0] * (len(self.names) + 1) + owners[owners >= 0])
+            phrase, owners = pairs // (len(self.names) + 1), pairs % (len(self.names) + 1)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(phrase, minlength=len(one)))])
+            self.groups.append((n, starts[one].astype(np.int32), owners, ends))
+        self.shortest = min((group[0] for group in self.groups), default=WINDOW)
 
     def in_shard(self, texts: list[str | None]) -> tuple[list[int], list[list[int]], list[list[str]]]:
         """For each text: its words, its merged spans (start, end, ... by word) and its items."""
@@ -184,7 +194,7 @@ class Phrases:
             here = np.zeros(len(self.vocabulary) + 1, bool)
             here[index.present] = True
             pairs = []
-            for length, starts, owners in self.groups:
+            for length, starts, owners, ends in self.groups:
                 likely = np.flatnonzero(np.logical_and.reduce([here[self.words[starts + k]] for k in range(length)]))
                 found, low, high = index.search(self.words, starts[likely], length)
                 number = high - low
@@ -195,8 +205,12 @@ class Phrases:
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + length, -1)
                 row = np.searchsorted(first_word, start, side="right") - 1
-                owner = np.repeat(owners[likely[found]], number)
-                pairs.append(np.unique((row * (len(self.names) + 1) + owner)[owner >= 0]))
+                phrase = np.repeat(likely[found], number)
+                met = np.unique(row * len(starts) + phrase)  # a document and a phrase in it, once
+                row, phrase = met // len(starts), met % len(starts)
+                many = ends[phrase + 1] - ends[phrase]
+                owner = owners[np.repeat(ends[phrase] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                pairs.append(np.unique(np.repeat(row, many) * (len(self.names) + 1) + owner))
             for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
                 items[pair // (len(self.names) + 1)].append(self.names[pair % (len(self.names) + 1)])
             hit = np.cumsum(covered) > 0

@@ -26,7 +26,8 @@ name with probability 2^-128. Rows meet packed in buckets by interior symbol; th
 
 A window is judged on the input: earlier means a smaller doc_id, or the same document and an earlier
 start. A null doc_id counts as smallest. Rows that repeat a doc_id with the same text are copies of
-one document, none earlier than the other. Null and empty texts have no words; texts of any length are
+one document, none earlier than the other; with other texts they are documents of their own, in the order of
+their texts' hashes (64 bits). Null and empty texts have no words; texts of any length are
 read whole. An empty table gives an empty one; columns other than doc_id and text are ignored, whatever
 their names.
 """
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, batches_of, buckets_for, record, stored
+from .common import arrow_batches, batches_of, buckets_for, record, stored, text_key
 
 WINDOW = 20
 ROUNDS = ("run", "pair", "pair", "pair")
@@ -51,7 +52,7 @@ NO_ID = -(1 << 63)
 #: Words that a worker remembers the hashes of.
 MEMO = 500_000
 _ODD = np.array([[0xD6E8FEB86659FD93], [0xA0761D6478BD642F]], np.uint64)
-_ENTRY = [("key", "<u8"), ("name", "<u8"), ("name2", "<u8"), ("doc", "<i8"), ("tk", "<i4"), ("start", "<i4"), ("n", "<i4")]
+_ENTRY = [("key", "<u8"), ("name", "<u8"), ("name2", "<u8"), ("doc", "<i8"), ("tk", "<i8"), ("start", "<i4"), ("n", "<i4")]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -242,12 +243,12 @@ def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     met[1:] |= same
     met[:-1] |= same
     alone, entries = entries[order[~met]], entries[order[met]]
-    entries = entries[np.lexsort([entries[c] for c in ("start", "doc", "name2", "name", "key")])]
+    entries = entries[np.lexsort([entries[c] for c in ("start", "tk", "doc", "name2", "name", "key")])]
     if not len(entries):
         return alone, entries, entries
     fresh = np.concatenate([[True], (entries["key"][1:] != entries["key"][:-1]) | _differ(entries)])
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    first = (entries["doc"] == entries["doc"][lead]) & (entries["start"] == entries["start"][lead])
+    first = np.logical_and.reduce([entries[c] == entries[c][lead] for c in ("doc", "tk", "start")])
     return alone, entries[first], entries[~first]
 
 
@@ -274,7 +275,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("blob", pa.binary())])
-_FLAGS = pa.schema([("did", pa.int64()), ("tk", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("repeats", pa.bool_())])
+_FLAGS = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("repeats", pa.bool_())])
 
 
 def _dealt(entries: list[np.ndarray], buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
@@ -332,7 +333,7 @@ def _met(rows: DataFrame, of_batch, buckets: int, edges: bool) -> DataFrame:
         return pa.table({"did": both["doc"], "tk": both["tk"], "start": both["start"], "n": both["n"], "repeats": np.arange(len(both)) < len(cut)}, schema=_FLAGS)
 
     packed = rows.mapInArrow(deal, "bucket int, settled boolean, blob binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "did long, tk int, start int, n int, repeats boolean")
+    return packed.groupBy("bucket").applyInArrow(meet, "did long, tk long, start int, n int, repeats boolean")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +366,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text), one row for each row of docs."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.hash(F.coalesce("text", F.lit(""))).alias("tk"), "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), text_key(F.col("text")).alias("tk"), "text")
     cuts = repeated_windows(rows).groupBy("did", "tk").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text)
 

@@ -76,6 +76,21 @@ def test_substrings_equal_brute_force(spark):
     assert {tuple(r) for r in substrings.dedup_substrings(df).collect()} == brute_substrings(rows)
 
 
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 99_999)}" for _ in range(n))
+    a, b, c = text(61), text(40), text(30)
+    rows = [(None, a), (None, b), (None, c), (None, a), (7, a), (8, b + " " + c), (8, c), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.dedup_substrings(df).collect())
+    assert got == [(0, 0, 0), (0, 30, 0), (0, 40, 0), (0, 61, 0), (0, 61, 0), (7, 61, 61), (8, 30, 30), (8, 70, 70), (9, 0, 0)]
+    keys = np.array([1 << 40, 5, 1 << 40], "<i8")  # keys that agree in 32 bits
+    entries = substrings.chunk_entries(substrings.Words([a.encode(), b.encode(), a.encode()]), np.zeros(3, np.int64), keys)
+    assert set(entries["tk"].tolist()) == {1 << 40, 5}
+    _, first, repeats = substrings.settle(entries)
+    assert len(repeats) == 0 and set(first["tk"].tolist()) == {1 << 40}
+
+
 def test_recompression_names_equal_stretches_alike():
     rng = random.Random(3)
     middle = " ".join(f"m{rng.randint(0, 9)}" for _ in range(60)).encode()
@@ -291,6 +306,13 @@ def test_blocks_of_phrases_are_united(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == [2, 3]
 
 
+def test_a_word_again_and_again_is_one_phrase():
+    phrases = decontaminate.Phrases([("x", [b"a"] * 50_000), ("y", [b"a"] * 12), (None, [b"a"] * 3), ("z", [b"b"] * 10)])
+    assert [len(group[1]) for group in phrases.groups] == [1, 2]
+    counts, spans, items = phrases.in_shard(["a " * 200_000, "b a a", "c", None])
+    assert counts == [200_000, 3, 1, 0] and spans == [[0, 200_000], [], [], []] and items == [["x", "y"], [], [], []]
+
+
 # -- op 5 -------------------------------------------------------------------------------------
 
 
