@@ -234,7 +234,7 @@ def called(name: str, remove: Engine, price: float, pos: int, upload: bytes, w:
         mask = alpha_of_cutout(got, w, h) if isinstance(got, bytes) else np.clip(kernels.fit(np.asarray(got, float), h, w), 0, 1)
     except Failed as failure:
         return entry | {"code": failure.info["code"]}
-    return entry | {"mask": mask, "cost": price}
+    return entry | {"mask": levels(mask, 65535) / 65535, "cost": price}  # as it is kept, so that a later run finds the same
 
 
 def asked(rgb: np.ndarray, pool: list[tuple[str, Engine, float]], box: Box | None = None, known: dict[str, np.ndarray] | None = None) -> list[dict[str, Any]]:

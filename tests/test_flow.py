@@ -8,8 +8,8 @@ import zipfile
 import numpy as np
 import pytest
 
-from framequarry.operators import flow, folds, images, jobs, kernels, paths
-from framequarry.sources import rasters, zipimages
+from framequarry.operators import cutouts, flow, folds, images, jobs, kernels, paths
+from framequarry.sources import rasters, sinks, zipimages
 
 
 def studio(n: int = 120):
@@ -175,3 +175,146 @@ def test_folds_walk_keys_of_any_size(spark):
     assert [r.allowed for r in mine[:5]] == [8, 8, 8, 4, 2] and (mine[3].resume_at, mine[4].resume_at, mine[-1].events) == (5.0, 9.0, 2) and mine[16].allowed == 3 and mine[28].allowed == 4
     empty = folds.ordered_fold(calls.limit(0), "vendor", ("seq",), ("at",), 0, lambda s, at: (s, (1,)), "x int")
     assert empty.collect() == [] and empty.columns == ["vendor", "seq", "x"]
+
+
+def test_a_python_verdict_is_the_sql_one(spark):
+    _, truth, _ = studio(60)
+
+    def engine(kind: str):
+        def remove(data: bytes, w: int, h: int):
+            if kind.startswith("vendor"):
+                raise images.Failed(kind, "no")
+            two = np.zeros((60, 60))
+            two[2:26, 2:26] = two[30:56, 30:56] = 1
+            return {"good": truth, "soft": kernels.gaussian(truth, 2.0), "two": kernels.gaussian(two, 1.0), "empty": truth * 0, "full": truth * 0 + 1}[kind]
+
+        return remove
+
+    kinds = ("good", "soft", "two", "empty", "full", "vendor_timeout", "vendor_out_of_credits")
+    pools = [("good",), ("two",), ("empty",), ("vendor_timeout",), ("good", "good"), ("soft", "good"), ("vendor_timeout", "good"), ("empty", "two"), ("vendor_timeout", "vendor_out_of_credits"), ("full", "empty"), kinds]
+    decoded = images.decode(pictures(spark).where("source_name = 'a.png'"))
+    rgb, _ = images.pixels_of(decoded.first().asDict())
+    for names in pools:
+        pool = [(f"{k}{name}", engine(name), 0.25 * (k + 1)) for k, name in enumerate(names)]
+        row = images.chosen(images.candidates_of(decoded, pool)).first()
+        try:
+            told = images.verdict(images.asked(rgb, pool))
+        except images.Failed as failure:
+            assert (row.error.code, row.error.message, row.error.retryable) == tuple(failure.info.values()) and row.cost == failure.known["cost"]
+            continue
+        assert row.error is None and told["mask"].tobytes() and np.allclose(np.frombuffer(row.mask, "<f4").reshape(60, 60), told["mask"], atol=1e-6)
+        assert (row.chosen_engine, row.cost, row.cutout_notes) == (told["chosen_engine"], told["cost"], told["cutout_notes"]) and row.score == pytest.approx(told["score"], abs=1e-4) and (row.gap is None) == (told["gap"] is None)
+
+
+def test_black_light_and_pierced_products_are_cut_out():
+    y, x = np.mgrid[0:200, 0:200].astype(float)
+    far = np.hypot(x - 100, y - 100)
+    soft = np.clip(40 - far + 0.5, 0, 1)
+    for product, back in (((0.0, 0.0, 0.0), float(images.linear(np.array(0.97)))), ((0.5, 0.5, 0.5), 0.03), ((0.02, 0.02, 0.02), 0.9), ((0.5, 0.1, 0.1), 0.8)):
+        got = images.key_on_backdrop(np.array(product) * soft[..., None] + back * (1 - soft[..., None]))
+        assert np.abs(got - soft).mean() < 0.01 and ((got > 0.05) & (got < 0.95)).any()
+    label = soft * (far > 8)
+    got = images.key_on_backdrop(np.array([0.5, 0.1, 0.1]) * label[..., None] + 0.8 * (1 - label[..., None]))
+    assert (got[far < 30] > 0.95).all()
+    assert images.key_on_backdrop(np.full((60, 60, 3), 0.8)).max() == 0.0
+    rgb, alpha, ratio = studio()
+    got = images.key_on_backdrop(rgb)
+    assert np.abs(got - alpha)[(alpha > 0.01) | (got > 0.01)].mean() < 0.02 and got[(ratio < 0.9) & (alpha < 0.01)].max() < 0.1
+    ring = np.zeros((9, 9), bool)
+    ring[1:8, 1:8] = True
+    ring[3:6, 3:6] = False
+    assert images.holes(ring).sum() == 9 and images.holes(np.pad(np.eye(3, dtype=bool), 2)).sum() == 0
+
+
+def test_boxes_of_subjects():
+    assert flow.pixel_box([0, 0, 1000, 500], 200, 100, 0) == (0, 0, 100, 100) and flow.pixel_box([100, 100, 200, 200], 200, 100, 10) == (18, 9, 42, 21) and flow.pixel_box([5, 5, 5, 9], 200, 100, 50) is None
+    assert flow.subject_box(None, 10, 10, 0) == (None, []) and flow.subject_box({"box": None, "named": True}, 10, 10, 0) == (None, ["subject_not_found"])
+    assert flow.subject_box({"box": [0, 0, 1000, 1000], "named": False}, 100, 100, 0) == (None, []) and flow.subject_box({"box": [0, 0, 30, 30], "named": False}, 100, 100, 0) == (None, [])
+    assert flow.subject_box({"box": [200, 200, 800, 800], "named": False}, 100, 100, 0) == ((20, 20, 80, 80), ["subject_auto_detected"])
+
+
+def test_every_format_and_a_thumbnail_come_out_of_one_map(spark):
+    config = flow.Config(width=60, height=50, formats=("psd", "jpeg", "webp", "eps", "tiff", "bmp"), profile="adobe", thumbnail=20, preserve_shadow=False)
+    done = flow.process(pictures(spark).where("source_name = 'a.png'"), config, [("local", images.local_engine, 0.0)]).cache()
+    files = {r.format: bytes(r.body) for r in flow.outputs(done, "adobe").collect()}
+    assert list(files) == ["psd", "jpeg", "webp", "eps", "tiff", "bmp"] and {f: rasters.dimensions(b) for f, b in files.items() if f != "eps"} == dict.fromkeys(("psd", "jpeg", "webp", "tiff", "bmp"), (60, 50))
+    row = flow.results(done).first()
+    assert max(rasters.dimensions(bytes(row.thumbnail))) == 20 and row.state == "done"
+    clear = flow.process(pictures(spark).where("source_name = 'a.png'"), flow.Config(width=60, height=50, formats=("psd",), background=None), [("local", images.local_engine, 0.0)])
+    assert [r.format for r in flow.outputs(clear).collect()] == ["psd", "png"]
+    refused = flow.process(pictures(spark).where("source_name = 'a.png'"), flow.Config(width=60, height=50, formats=("jpeg",), background=None), [("local", images.local_engine, 0.5)])
+    assert flow.results(refused).first().error.code == "internal_error" and flow.results(refused).first().cost == 0.5
+
+
+def failing_once(folder: str):
+    """A map that fails in the first attempt of every task, after some of its rows."""
+
+    def run(batches):
+        import pathlib
+
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        for k, batch in enumerate(batches):
+            yield batch
+            mark = pathlib.Path(folder, f"tried-{task.partitionId()}")
+            if not mark.exists():
+                mark.write_text("x")
+                raise RuntimeError("lost")
+
+    return run
+
+
+def test_a_sink_shows_all_of_a_write_or_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.dataSource.register(sinks.FileSink)
+    rows = spark.range(0, 30, 1, 3).select(F.concat(F.lit("a/"), (F.col("id") % 4).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("body"))
+    target = tmp_path / "objects"
+    target.mkdir()
+    with pytest.raises(Exception, match="lost"):  # tasks are not tried again here, so the write aborts
+        rows.mapInArrow(failing_once(str(tmp_path)), "key string, body binary").write.format("filesink").mode("append").save(f"file://{target}")
+    assert list(target.iterdir()) == []
+    flow.write_objects(rows, f"file://{target}")
+    assert sorted(p.relative_to(target).as_posix() for p in target.rglob("*") if p.is_file()) == sorted(f"a/{k % 4}/{k}" for k in range(30))
+    flow.write_objects(rows.where("key = 'a/1/5'").selectExpr("key", "cast('new' as binary) as body"), f"file://{target}")
+    keys = spark.createDataFrame([("a/1/5",), ("a/2/6",), ("a/9/9",), ("../x",), (None,)], "key string")
+    assert {r.key: r.body and bytes(r.body) for r in flow.read_objects(keys, f"file://{target}").collect()} == {"a/1/5": b"new", "a/2/6": b"6", "a/9/9": None, "../x": None, None: None}
+    with pytest.raises(Exception, match="does not leave"):
+        flow.write_objects(spark.createDataFrame([("../x", b"1")], "key string, body binary"), f"file://{target}")
+    assert not [p for p in tmp_path.rglob("_writing*")]
+
+
+def test_an_attempt_that_failed_leaves_nothing_in_a_commit(tmp_path):
+    """Two attempts of a task wrote; the commit knows of one."""
+    import pyarrow as pa
+
+    writer = sinks.Writer({"path": f"file://{tmp_path}/out"})
+    fs, base = zipimages.filesystem(f"file://{tmp_path}/out")
+    for attempt, body in ((1, b"half"), (2, b"whole")):
+        sink = sinks.Objects(fs, f"{base}/{writer.run}/0-{attempt}")
+        sink.take(pa.RecordBatch.from_pydict({"key": ["k/one"] + ["k/two"] * (attempt == 1), "body": [body] * (1 + (attempt == 1))}))
+    writer.commit([sinks.Attempt(f"{base}/{writer.run}/0-2"), None])
+    assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == {"out/k/one": b"whole"}
+
+
+def test_kept_masks_that_do_not_hold_are_misses(spark, tmp_path):
+    files = pictures(spark).where("source_name in ('a.png', 'broken.png', 'none.png')")
+    folder, config, calls = f"file://{tmp_path}/masks", flow.Config(width=60, height=50), []
+    first = flow.process(cutouts.with_known(files, folder), config, [("local", images.local_engine, 0.5)])
+    cutouts.keep(first, folder)
+    cutouts.keep(first, folder)  # twice the same
+    kept = spark.read.parquet(folder)
+    assert kept.count() == 2 and kept.select("key").distinct().count() == 1
+
+    def never(data, w, h):
+        raise images.Failed("vendor_error", "called")
+
+    def states(where: str) -> dict:
+        done = flow.process(cutouts.with_known(files, where), config, [("local", never, 0.5)])
+        return {r.source_name: (r.error and r.error.code, r.cost) for r in flow.results(done).collect()}
+
+    assert states(folder) == {"a.png": (None, 0.0), "broken.png": ("image_decode_failed", 0.0), "none.png": ("image_decode_failed", 0.0)}
+    bad = f"file://{tmp_path}/bad"
+    kept.selectExpr("key", "engine", "box", "mask", "'0' as digest").write.parquet(bad)
+    assert states(bad)["a.png"] == ("vendor_error", 0.0) and calls == []
