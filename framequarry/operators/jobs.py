@@ -77,17 +77,46 @@ def governed_calls(calls: DataFrame) -> DataFrame:
     two minutes) or five seconds; events counts refusals. At the full limit successes do not count.
     """
 
-    def step(state: tuple, at: float, limited: bool, wait: float | None) -> tuple:
-        limit, good, resume, events = state
-        if limited:
-            pause = max(0.0, min(GOVERNOR_PAUSE if wait is None else wait, GOVERNOR_LONGEST))
-            state = max(GOVERNOR_FLOOR, limit // 2), 0, at + pause if resume is None else max(resume, at + pause), events + 1
-        elif limit < GOVERNOR_TOP:
-            good += 1
-            state = (limit + 1, 0, resume, events) if good >= GOVERNOR_RAISE else (limit, good, resume, events)
-        return state, (state[0], state[2], state[3])
-
-    return ordered_fold(calls, "vendor", ("seq",), ("at", "limited", "retry_after"), (GOVERNOR_START, 0, None, 0), step, "allowed int, resume_at double, events int")
+    return ordered_fold(calls, "vendor", ("seq",), ("at", "limited", "retry_after"), GOVERNOR_BEGIN, governor_step, "allowed int, resume_at double, events int")
+
+
+#: The governor's state: limit, successes in a row, when calls may start again, refusals.
+GOVERNOR_BEGIN, GOVERNOR_STATE = (GOVERNOR_START, 0, None, 0), "allowed int, good int, resume_at double, events int"
+
+
+def governor_step(state: tuple, at: float, limited: bool, wait: float | None) -> tuple[tuple, tuple]:
+    limit, good, resume, events = state
+    if limited:
+        pause = max(0.0, min(GOVERNOR_PAUSE if wait is None else wait, GOVERNOR_LONGEST))
+        state = max(GOVERNOR_FLOOR, limit // 2), 0, at + pause if resume is None else max(resume, at + pause), events + 1
+    elif limit < GOVERNOR_TOP:
+        good += 1
+        state = (limit + 1, 0, resume, events) if good >= GOVERNOR_RAISE else (limit, good, resume, events)
+    return state, (state[0], state[2], state[3])
+
+
+#: A running job's state: what it has spent, whether it was asked to stop, whether its ceiling stopped it.
+RUN_BEGIN, RUN_STATE = (0.0, False, False), "spent double, cancelled boolean, stopped boolean"
+
+
+def run_step(ceiling: float, ahead: float):
+    """Decides image by image (kind, cost) whether a job goes on; a row of kind `cancel` asks it to stop and is no image.
+
+    An image starts only if what is spent and one projection stay within the ceiling; once over it, or asked, a job stays
+    stopped. Decisions: action (run or skip) and reason.
+    """
+
+    def step(state: tuple, kind: str, cost: float | None) -> tuple[tuple, tuple | None]:
+        spent, cancelled, stopped = state
+        if kind == "cancel":
+            return (spent, True, stopped), None
+        if cancelled:
+            return state, ("skip", "cancelled")
+        if stopped or round(spent, 6) + ahead > ceiling:
+            return (spent, cancelled, True), ("skip", "budget")
+        return (spent + (cost or 0.0), cancelled, stopped), ("run", None)
+
+    return step
 
 
 def rate_limit_report(governed: DataFrame) -> DataFrame:
