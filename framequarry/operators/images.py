@@ -178,6 +178,18 @@ def dimensions(payload: Column) -> Column:
     return F.when(head == "89504E470D0A1A0A", F.struct(number(17, False).alias("width"), number(21, False).alias("height"))).when(head.startswith("424D"), F.struct(number(19, True).alias("width"), rows.alias("height")))
 
 
+def sizes(files: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds width and height of every format from its header or directory, without decoding; null where there is none."""
+
+    def step(row: dict[str, Any]) -> dict[str, Any]:
+        try:
+            return dict(zip(("width", "height"), rasters.dimensions(row[payload] or b""), strict=True))
+        except Exception:  # noqa: BLE001  (whatever stands in the file)
+            return {}
+
+    return each_image(files, step, "width int, height int", (payload,))
+
+
 # -- cutting out --------------------------------------------------------------------------------
 
 #: A segmenter: the picture as a PNG and its size to an alpha of any size in 0..1 (or a PNG whose fourth channel is it).

@@ -246,15 +246,15 @@ def plate(rgb: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, float, float]
         return np.full_like(rgb, 0.5), 0.0, share
     lum = rgb @ LUMA
     bright = ground & (lum >= np.percentile(lum[ground], TOP_PERCENT))
-    if bright.sum() < FEW:
-        bright = ground
-    y, x = np.meshgrid(np.arange(h) / max(h - 1, 1) - 0.5, np.arange(w) / max(w - 1, 1) - 0.5, indexing="ij")
-    basis = np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], axis=-1)
-    fit = np.linalg.lstsq(basis[bright], rgb[bright], rcond=None)[0]
-    rest = np.abs(rgb[bright] - basis[bright] @ fit)  # of every channel
-    whole = np.clip(basis @ fit, 1e-4, 1)
-    level = float(np.median((whole @ LUMA)[bright])) + 1e-6
-    return whole, float(np.clip(1 - np.median(rest) / level / TOLERANCE, 0, 1)), share
+    bright = ground if bright.sum() < FEW else bright
+    v, u = (np.linspace(-0.5, 0.5, n) if n > 1 else np.array([-0.5]) for n in (h, w))  # as in `pixels.plate_sums`
+    terms = np.stack(np.broadcast_arrays(1.0, u, v[:, None], u * u, u * v[:, None], (v * v)[:, None]), axis=-1)
+    some, seen = terms[bright], rgb[bright]
+    fit = np.linalg.pinv(some.T @ some, hermitian=True) @ (some.T @ seen)  # sums over the cells, then six unknowns a channel
+    whole = np.clip(terms @ fit, 1e-4, 1)
+    missed = np.median(np.abs(seen - some @ fit))  # over all channels
+    level = np.median(whole[bright] @ LUMA) + 1e-6
+    return whole, float(np.clip(1 - missed / level / TOLERANCE, 0, 1)), share
 
 
 def shadow_ratio(rgb: np.ndarray, alpha: np.ndarray, whole: np.ndarray) -> np.ndarray | None:

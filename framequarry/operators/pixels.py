@@ -74,8 +74,7 @@ def mixture(df: DataFrame, pictures: DataFrame, side: int) -> DataFrame:
 
 def plate_sums(df: DataFrame, side: int) -> DataFrame:
     """Sums of the quadratic fit over the brightest 30 % of each image's backdrop."""
-    half = (side - 1) / 2
-    ground = df.where(F.col("a") <= CLEAR).select("img", color.luminance(F.col("r"), F.col("g"), F.col("b")).alias("lum"), (F.col("x") / half - 1).alias("u"), (F.col("y") / half - 1).alias("v"))
+    ground = df.where(F.col("a") <= CLEAR).select("img", color.luminance(F.col("r"), F.col("g"), F.col("b")).alias("lum"), (F.col("x") / (side - 1) - 0.5).alias("u"), (F.col("y") / (side - 1) - 0.5).alias("v"))
     cut = ground.groupBy("img").agg(F.expr(f"percentile(lum, {TOP_SHARE})").alias("cut"))
     u, v, lum = F.col("u"), F.col("v"), F.col("lum")
     sums = {"su": u, "sv": v, "suu": u * u, "suv": u * v, "svv": v * v, "s4": u * u * u * u, "sl": lum, "slu": lum * u, "slvv": lum * v * v}

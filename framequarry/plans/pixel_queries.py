@@ -103,7 +103,7 @@ def mixture_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(px.mixture(pixels(spark, sf_dir), picture(spark, sf_dir), 8), ["img", "i"], {"a": F.col("mix"), "loss": F.col("loss")}, 5)
 
 
-@query(f"""WITH {PIXELS_SQL}, l AS (SELECT *, {_LUM} AS lum, x / 3.5 - 1 AS u, y / 3.5 - 1 AS v FROM px WHERE a <= 0.02), c AS (SELECT img, quantile_cont(lum, 0.7) AS cut FROM l GROUP BY img)
+@query(f"""WITH {PIXELS_SQL}, l AS (SELECT *, {_LUM} AS lum, x / 7.0 - 0.5 AS u, y / 7.0 - 0.5 AS v FROM px WHERE a <= 0.02), c AS (SELECT img, quantile_cont(lum, 0.7) AS cut FROM l GROUP BY img)
 SELECT l.img, CAST(count(*) AS BIGINT) AS n, round(sum(u), 4) AS su, round(sum(v), 4) AS sv, round(sum(u * u), 4) AS suu, round(sum(u * v), 4) AS suv, round(sum(v * v), 4) AS svv, round(sum(u * u * u * u), 4) AS s4, round(sum(lum), 4) AS sl, round(sum(lum * u), 4) AS slu, round(sum(lum * v * v), 4) AS slvv
 FROM l JOIN c ON l.img = c.img AND l.lum >= cut GROUP BY l.img""")
 def plate_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
