@@ -2,8 +2,9 @@
 
 The network reads UTF-8 bytes in both directions, labels every position and pools the positions'
 probabilities over the document. It is trained here in numpy, by backpropagation through time, on a
-bounded sample: of each language the `SAMPLE_EACH` labelled rows that come first by a hash of doc_id, of
-each row `PIECES_EACH` pieces of `PIECE` bytes from anywhere in its text. For prediction a text is cut into
+bounded sample: of each language the `SAMPLE_EACH` labelled rows that come first by a hash of doc_id. Their
+whole texts are cut into pieces of `PIECE` bytes, and of all these the `PIECES` that come first by a hash of
+text and place make up what the training steps draw from. For prediction a text is cut into
 strips of `STRIP` bytes that overlap by `LEAD` bytes on either side, so that all strips of a batch run
 side by side; every byte of every text is labelled exactly once. Gates use clipped linear functions, so
 a step is a few array operations.
@@ -30,7 +31,7 @@ from .common import arrow_batches, batches_of, kept_ddl, record, text_bytes, wit
 
 UNKNOWN = "und"
 HIDDEN = 6
-SAMPLE_EACH, PIECE, PIECES_EACH, STEPS, ROWS_A_STEP, RATE = 800, 48, 4, 200, 128, 0.03
+SAMPLE_EACH, PIECE, PIECES, STEPS, ROWS_A_STEP, RATE = 800, 48, 3200, 200, 128, 0.03
 STRIP, LEAD, WIDE = 240, 12, 2048
 _LETTER = regex.compile(r"\p{L}")
 
@@ -191,20 +192,20 @@ class Network:
         return out / np.maximum(size, 1)[:, None]
 
 
-def _pieces(text: str, doc_id: int) -> bytes:
-    """`PIECES_EACH` stretches of a text's bytes, `PIECE` long, from places that a hash of the id names."""
-    raw, out = text.encode(), b""
-    for k in range(PIECES_EACH):
-        start = zlib.crc32(f"{doc_id}|{k}".encode()) % max(1, len(raw) - PIECE + 1)
-        out += raw[start : start + PIECE].ljust(PIECE)
-    return out
+def _pieces(text: str, doc_id: int) -> tuple[np.ndarray, list[bytes]]:
+    """A whole text in pieces of `PIECE` bytes, the last one reaching back where it would be short, and a hash of each by id and place."""
+    raw = text.encode()
+    starts = np.arange(0, max(len(raw) - PIECE, 0) + PIECE, PIECE)
+    starts[-1] = max(len(raw) - PIECE, 0)
+    mixed = (np.arange(len(starts), dtype=np.uint64) + np.uint64(zlib.crc32(str(doc_id).encode()) << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64), [raw[s : s + PIECE].ljust(PIECE) for s in starts.tolist()]
 
 
 def learnt(docs: DataFrame, sample_each: int = SAMPLE_EACH) -> Network:
-    """Train on a bounded sample: the first `sample_each` rows of each language by a hash of doc_id, whose pieces alone reach the driver.
+    """Train on a bounded sample: the first `sample_each` rows of each language by a hash of doc_id, of whose pieces `PIECES` a language reach the driver.
 
-    Which rows is settled on ids and languages alone; their texts are read by a later scan that cuts the
-    pieces in place.
+    Which rows is settled on ids and languages alone; their texts are read by a later scan and cut up in place.
     """
     arrow_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
@@ -215,27 +216,27 @@ def learnt(docs: DataFrame, sample_each: int = SAMPLE_EACH) -> Network:
     likely = ids.join(F.broadcast(counts), "lang").where(low).select("lang", "h", "doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = likely.withColumn("nth", nth).where(F.col("nth") <= sample_each).select("doc_id", "lang")
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("tk", pa.int64()), ("pieces", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("piece", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole):
-                kept = [k for k, t in enumerate(batch.column("text").to_pylist()) if _LETTER.search(t)]
-                part = batch.take(pa.array(kept, pa.int64()))
-                pieces = [_pieces(t, d) for t, d in zip(part.column("text").to_pylist(), part.column("doc_id").to_pylist(), strict=True)]
-                yield record(schema, doc_id=part.column("doc_id"), lang=part.column("lang"), tk=part.column("tk"), pieces=pieces)
+                for lang, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "text")), strict=True):
+                    if _LETTER.search(text):
+                        h, pieces = _pieces(text, doc_id)
+                        yield record(schema, lang=[lang] * len(pieces), h=h, piece=pieces)
 
     # at most sample_each ids a language: small enough to send to every task
-    fetched = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.xxhash64("text").alias("tk"), "text")
-    found = fetched.mapInArrow(cut, "doc_id long, lang string, tk long, pieces binary")
-    one = found.groupBy("doc_id", "lang").agg(F.min(F.struct("tk", "pieces")).alias("least")).select("doc_id", "lang", "least.pieces")
-    rows = one.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    fetched = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    one = fetched.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("tk"), "text")).alias("least")).select("doc_id", "lang", "least.text")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))  # each task passes on its first PIECES alone
+    rows = one.mapInArrow(cut, "lang string, h long, piece binary").withColumn("nth", order).where(F.col("nth") <= PIECES).select("lang", "nth", "piece").toArrow().sort_by([("lang", "ascending"), ("nth", "ascending")])
     langs = rows.column("lang").to_pylist()
     network = Network(sorted(set(langs)) or [UNKNOWN])
     if len(network.languages) > 1:
-        pieces = np.frombuffer(b"".join(rows.column("pieces").to_pylist()), np.uint8).reshape(-1, PIECE)
+        pieces = np.frombuffer(b"".join(rows.column("piece").to_pylist()), np.uint8).reshape(-1, PIECE)
         place = {lang: k for k, lang in enumerate(network.languages)}
-        network.learn(pieces, np.repeat([place[x] for x in langs], PIECES_EACH))
+        network.learn(pieces, np.array([place[x] for x in langs]))
     return network
 
 

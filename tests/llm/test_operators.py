@@ -389,10 +389,19 @@ def test_languages_of_held_out_rows(spark, network):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.95
 
 
+def test_pieces_cover_a_whole_text():
+    for text in ("", "a", "é" * 24, "x" * 48, "abc " * 40, "word " * 1001):
+        raw = text.encode()
+        h, pieces = langid._pieces(text, 5)
+        assert len(h) == len(pieces) == max(1, -(-len(raw) // 48)) == len(set(h.tolist())) and all(len(p) == 48 for p in pieces)
+        covered = b"".join(pieces[:-1]) + pieces[-1][48 * len(pieces) - len(raw) if len(pieces) > 1 else 0 :]
+        assert covered.rstrip(b" ") == raw.rstrip(b" ")
+
+
 def test_every_language_and_the_whole_text_are_learnt_from(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(langid.Network, "learn", lambda self, pieces, labels: seen.update(pieces=pieces.tobytes(), labels=labels.tolist(), names=self.languages))
-    monkeypatch.setattr(langid, "PIECES_EACH", 64)
+    monkeypatch.setattr(langid, "PIECES", 200)
     rows = [(k, "common " * 30, "aa") for k in range(3000)] + [(9001, "rare words " * 9, "zz"), (9001, "rare words " * 9, "zz"), (9002, "start " * 2000 + "finish " * 2000, "mm"), (None, "no id", "qq")]
     rows = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 3 != 1]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -400,7 +409,7 @@ def test_every_language_and_the_whole_text_are_learnt_from(spark, monkeypatch):
         langid.learnt(df, 50)
         want = sorted({r[2] for r in rows if r[0] is not None})
         assert seen["names"] == want and {"aa"} < set(want)
-        assert max(seen["labels"].count(k) for k in range(len(want))) == 50 * 64 and seen["labels"].count(want.index("mm")) == 64
+        assert {w: seen["labels"].count(k) for k, w in enumerate(want)} == {w: {"aa": 200, "mm": 200, "zz": 3}[w] for w in want}
         assert b"finish" in seen["pieces"] and b"start" in seen["pieces"]
         first = seen.setdefault("first", seen["pieces"])
         assert seen["pieces"] == first  # whatever the partitions
