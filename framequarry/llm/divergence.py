@@ -119,7 +119,7 @@ class References:
         words = np.array([distance(_words(counts, n, common), reference) for common, reference in zip(self.common, self.words, strict=True)])
         best = int((chars + words).argmin())
         strange = (size >= LEAST_CHARS and chars[best] > CHAR_LIMIT) or (n >= LEAST_WORDS and words[best] > WORD_LIMIT + WORD_SLACK / np.sqrt(n))
-        return not strange, self.langs[best], float(chars[best]), float(words[best])
+        return not strange, self.langs[best], round(float(chars[best]), 6), round(float(words[best]), 6)
 
 
 def _words(counts: Counter, n: int, common: dict[bytes, int]) -> np.ndarray:

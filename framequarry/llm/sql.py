@@ -127,5 +127,62 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 2
 """
 
 
+#: Character classes as patterns, in order; symbols are what is left of ASCII.
+CLASSES = ("[aeiou]", "[bcdfghjklmnpqrstvwxyz]", "[A-Z]", "[0-9]", " ", "[\\x09-\\x0D]", "[.]", "[,;:''\"()-]", "[!?]", None, "[^\\x00-\\x7F]")
+_TEXT = "COALESCE(text, '')"
+
+
+def _matches(pattern: str) -> str:
+    return f"length({_TEXT}) - length(regexp_replace({_TEXT}, '{pattern}', '', 'g'))"
+
+
+def _half_entropies(p: str, q: str) -> str:
+    """A place's part of the Jensen-Shannon divergence of two shares."""
+    of = lambda x: f"(CASE WHEN {x} > 0 THEN {x} * log2({x}) ELSE 0 END)"
+    return f"({of(p)} + {of(q)}) / 2 - {of(f'(({p} + {q}) / 2)')}"
+
+
+def _class_distance(mine: str, theirs: str) -> str:
+    """Of tables with c0 to c10."""
+    share = lambda t, k: f"({t}.c{k}::DOUBLE / greatest(1, {' + '.join(f'{t}.c{j}' for j in range(11))}))"
+    return f"sqrt(greatest(0.0, {' + '.join(_half_entropies(share(mine, k), share(theirs, k)) for k in range(11))}))"
+
+
+def _rules() -> str:
+    columns = ", ".join(f"{_matches(p)} AS c{k}" for k, p in enumerate(CLASSES) if p)
+    others = " + ".join(f"c{k}" for k, p in enumerate(CLASSES) if p)
+    sums = ", ".join(f"sum(c{k}) AS c{k}" for k in range(11))
+    p, q = "(COALESCE(h.many, 0)::DOUBLE / n_words)", "(r.many::DOUBLE / r.whole)"
+    return rf"""
+WITH d0 AS MATERIALIZED (
+  SELECT doc_id, lang, regexp_extract_all({_TEXT}, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace({_TEXT}, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {_matches("[#*$%&|<>]")} AS n_symbols,
+    list_filter(string_split({_TEXT}, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, length({_TEXT}) AS size, {columns} FROM documents
+), t AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS many FROM (SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d0))),
+again AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS place FROM t WHERE many > 1) GROUP BY doc_id),
+d AS MATERIALIZED (
+  SELECT d0.*, size - ({others}) AS c9, len(w) AS n_words, len(lines) - len(list_distinct(lines)) AS n_dup_lines, COALESCE(again.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * COALESCE(again.n, 0) > 50 * len(w) AS base_failed
+  FROM d0 LEFT JOIN again USING (doc_id)
+), usable AS MATERIALIZED (SELECT * FROM d WHERE NOT base_failed AND lang IS NOT NULL),
+known AS MATERIALIZED (SELECT lang FROM usable GROUP BY lang HAVING count(*) * 1000 >= (SELECT count(*) FROM usable)),
+rough AS MATERIALIZED (SELECT lang, {sums} FROM usable SEMI JOIN known USING (lang) GROUP BY lang),
+ranked AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY bin) - 1 AS before, count(*) OVER (PARTITION BY lang) AS docs FROM (SELECT u.*, floor({_class_distance("u", "r")} * 1000) AS bin FROM usable u JOIN rough r ON u.lang = r.lang)),
+refs AS MATERIALIZED (SELECT lang, {sums} FROM ranked WHERE 2 * before < docs GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, word, count(*) AS many FROM (SELECT lang, unnest(w) AS word FROM usable SEMI JOIN known USING (lang)) GROUP BY ALL),
+whole AS (SELECT lang, sum(many) AS whole FROM counts GROUP BY lang),
+top AS MATERIALIZED (SELECT lang, word, many FROM counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY many DESC, encode(word)) <= 64),
+words AS MATERIALIZED (SELECT lang, word, many, whole FROM top JOIN whole USING (lang) UNION ALL SELECT lang, NULL, any_value(whole) - sum(many), any_value(whole) FROM top JOIN whole USING (lang) GROUP BY lang),
+sound AS MATERIALIZED (SELECT * FROM d WHERE NOT base_failed),
+held AS MATERIALIZED (SELECT doc_id, word, count(*) AS many FROM (SELECT doc_id, unnest(w) AS word FROM sound) GROUP BY ALL),
+mine AS MATERIALIZED (SELECT h.doc_id, t.lang, h.word, h.many FROM held h JOIN top t USING (word)),
+full_mine AS (SELECT doc_id, lang, word, many FROM mine UNION ALL SELECT s.doc_id, k.lang, NULL, s.n_words - COALESCE(m.n, 0) FROM sound s CROSS JOIN known k LEFT JOIN (SELECT doc_id, lang, sum(many) AS n FROM mine GROUP BY ALL) m ON m.doc_id = s.doc_id AND m.lang = k.lang),
+wd AS (SELECT s.doc_id, r.lang, sqrt(greatest(0.0, sum({_half_entropies(p, q)}))) AS wd FROM sound s CROSS JOIN words r LEFT JOIN full_mine h ON h.doc_id = s.doc_id AND h.lang = r.lang AND h.word IS NOT DISTINCT FROM r.word GROUP BY ALL),
+far AS (SELECT s.doc_id, wd.lang, wd, {_class_distance("s", "r")} AS cd FROM sound s JOIN wd USING (doc_id) JOIN refs r ON r.lang = wd.lang),
+best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cd + wd, lang) = 1)
+SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT COALESCE((size >= 800 AND cd > 0.16) OR wd > 0.30 + 1 / sqrt(n_words), false) AS kept, best.lang AS ref_lang, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_decontamination": OP4, "op11_merkle_manifest": _merkle(), "op13_importance_resampling": OP13}
+    return {"op1_substring_dedup": OP1, "op4_decontamination": OP4, "op11_merkle_manifest": _merkle(), "op12_quality_rules": _rules(), "op13_importance_resampling": OP13}
