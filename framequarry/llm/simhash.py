@@ -38,6 +38,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Where the ring's segments begin, and their widths: five, of 13 bits but for the last.
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BLOCK = 4096
+#: Up to so many hot keys (24 bytes each) are sent to every task, more are joined.
+SENT = 100_000
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -148,14 +150,17 @@ def links(nodes: DataFrame) -> DataFrame:
     arrow_batches(spark)
     parts = shuffle_partitions(spark)
     # dealt out first: a fingerprint becomes some 35 rows
-    files = filed(nodes.repartition(parts, "fp")).repartition(parts, "key")
-    of_key = Window.partitionBy("key")
-    sized = files.withColumns({"n": F.count(F.lit(1)).over(of_key), "held": F.count(F.when(~F.col("probe"), 1)).over(of_key)})
-    # a key matters only if something is filed there exactly and something else meets it
-    busy = sized.where("n > 1 and held > 0")
+    files = filed(nodes.repartition(parts, "fp"))
+    # a key under which very many meet is counted, not gathered: it is dealt out in blocks from the start
+    hot = stored(files.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("held")).where(F.col("n") > BLOCK), "simhash-hot")
+    split = files.join(F.broadcast(hot) if hot.count() <= SENT else hot, "key", "left")
+    of_key = Window.partitionBy("key")  # at most BLOCK rows
+    cold = split.where("n is null").select("key", "fp", "probe").repartition(parts, "key")
+    sized = cold.withColumns({"n": F.count(F.lit(1)).over(of_key), "held": F.count(F.when(~F.col("probe"), 1)).over(of_key)})
     zero = F.lit(0)
-    small = busy.where(F.col("n") <= BLOCK).select("key", "fp", "probe", zero.alias("block"), zero.alias("lo"), zero.alias("hi")).sortWithinPartitions("key")
-    blocked = busy.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # a key matters only if something is filed there exactly and something else meets it
+    small = sized.where("n > 1 and held > 0").select("key", "fp", "probe", zero.alias("block"), zero.alias("lo"), zero.alias("hi")).sortWithinPartitions("key")
+    blocked = split.where("held > 0").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))
     large = blocked.select("key", "fp", "probe", "block", F.explode(cells).alias("cell")).select("key", "fp", "probe", "block", "cell.lo", "cell.hi")
     large = large.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
