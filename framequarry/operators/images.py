@@ -9,6 +9,7 @@ batches are bounded in bytes. Nothing here shuffles. Empty tables give empty one
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
-from ..functions import color, formats
+from ..functions import color, formats, web
 from ..functions.session import python_ready
 from ..sources import eps, jpeg, rasters, webp
 from . import autopick, kernels, masks, rules
@@ -282,6 +283,26 @@ def asked(rgb: np.ndarray, pool: list[tuple[str, Engine, float]], box: Box | Non
     return entries
 
 
+ATTEMPTS = 3
+
+
+def patient(remove: Engine, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> Engine:
+    """An engine that is called again after failures that may pass, waiting as long as it asks for (`Failed.known["retry_after"]`) or ever longer."""
+
+    def called_again(data: bytes, width: int, height: int) -> np.ndarray | bytes:
+        for attempt in range(attempts):
+            try:
+                return remove(data, width, height)
+            except Failed as failure:
+                if not failure.info["retryable"] or attempt == attempts - 1:
+                    raise
+                asked_for = failure.known.get("retry_after")
+                sleep(web.FIRST_WAIT * 2**attempt if asked_for is None else min(asked_for, web.LONGEST_WAIT))  # as `web.retry_delay`
+        raise Failed("vendor_error", "An engine has to be called at least once.")
+
+    return called_again
+
+
 #: Asked which of two cut-outs (PNG) is better, the first or the second; anything else is no answer. With its price.
 Judge = tuple[Callable[[bytes, bytes], "str | None"], float]
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import formats
 from .folds import ordered_fold
 
-# When a picture looks like a scene, types by extension, how long a probe's answer is trusted.
-SCENE_UNIFORMITY, SCENE_SCORE, PROBE_SECONDS, MOST_ENGINES = 0.05, 0.60, 5, 16
+# When a picture looks like a scene, types by extension, how long a probe's answer is trusted, how many samples are offered.
+SCENE_UNIFORMITY, SCENE_SCORE, PROBE_SECONDS, MOST_SAMPLES = 0.05, 0.60, 5, 8
 CONTENT_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "bmp": "image/bmp", "tiff": "image/tiff", "zip": "application/zip"}
 
 
@@ -104,17 +105,47 @@ def tiebreak(first: Column, second: Column, forward: Column, backward: Column) -
 
 
 def fan_out(images: DataFrame, engines: DataFrame, cache: DataFrame) -> DataFrame:
-    """Every image with every engine of a small pool; what the cache has is a hit that costs nothing, the rest is to be computed."""
-    pool = engines.limit(MOST_ENGINES + 1).collect()
-    if len(pool) > MOST_ENGINES:
-        raise ValueError(f"a pool has at most {MOST_ENGINES} engines")
-    each = F.explode(F.array(*(F.struct(F.lit(e["engine"]).alias("engine"), F.lit(e["price"]).alias("price")) for e in pool)))
-    asked = images.withColumn("e", each).select("*", "e.engine", "e.price").drop("e")
+    """Every image with every engine of a pool; what the cache has is a hit that costs nothing, the rest is to be computed.
+
+    The pool is a job's configuration: it becomes one row, which every task gets, and an image's row fans out where it is.
+    """
+    pool = engines.agg(F.collect_list(F.struct("engine", "price")).alias("pool"))  # one row
+    asked = images.crossJoin(F.broadcast(pool)).withColumn("e", F.explode("pool")).select(*images.columns, "e.engine", "e.price")
     hit = asked.join(cache.select("key", "engine", F.lit(True).alias("hit")), ["key", "engine"], "left")
     cached = F.coalesce("hit", F.lit(False))
     return hit.select("image_id", "engine", cached.alias("cache_hit"), F.when(cached, F.lit(0.0)).otherwise(F.col("price")).alias("cost"))
 
 
+def in_order(value: Column, kind: DataType) -> Column:
+    """A value with the fields of all its structs in order of their names."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*(in_order(value[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        return F.transform(value, lambda v: in_order(v, kind.elementType))
+    return value
+
+
+def with_config_hash(configs: DataFrame, column: str = "config", leave_out: tuple[str, ...] = ("preset_name",)) -> DataFrame:
+    """Adds config_hash: the first sixteen digits of the SHA-256 of a configuration (a struct) as canonical JSON.
+
+    Canonical: keys in order at every depth, no blanks, nulls kept; names of presets do not count.
+    """
+    kind = configs.schema[column].dataType
+    kept = StructType([f for f in kind.fields if f.name not in leave_out])
+    text = F.to_json(in_order(F.col(column), kept), {"ignoreNullFields": "false"})
+    return configs.withColumn("config_hash", F.substring(F.sha2(text, 256), 1, 16))
+
+
+def samples(files: DataFrame, names: DataFrame | None = None, most: int = MOST_SAMPLES) -> DataFrame:
+    """The samples on offer (name and other columns): readable by their names, the first so many in order of name.
+
+    names: those asked for, which only choose among what is on offer and are never made a path of; None is all.
+    """
+    offered = files.where(formats.extension(F.col("name")).isin(*formats.EXTENSIONS)).orderBy("name").limit(most)
+    return offered if names is None else offered.join(names.select("name").distinct(), "name", "left_semi")
+
+
 def pasted(alpha: Column, x0: Column, y0: Column, side: int, frame: int) -> Column:
     """A square mask at (x0, y0) of an empty square frame, clipped; row-major arrays."""
 

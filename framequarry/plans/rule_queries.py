@@ -120,8 +120,7 @@ def samples_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.array(*map(F.lit, (".png", ".txt", ".JPG", "", ".cr2", ".gif")))
     name = F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % 6).cast("int")))
     named = table(spark, sf_dir, "documents").select(name.alias("name"), F.col("n_chars").alias("size"))
-    readable = formats.extension(F.col("name")).isin(*formats.EXTENSIONS)
-    return named.where(readable).orderBy("name").limit(8)
+    return rules.samples(named)
 
 
 @query("SELECT seq, cast(floor(seq / 7) AS BIGINT) AS job, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 3 = 0 THEN 'chair' ELSE 'lamp' END AS prompt FROM (SELECT event_id AS seq FROM events)")
@@ -130,3 +129,21 @@ def blank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     text = F.when(k % 11 == 0, "   ").when(k % 3 == 0, " chair ").otherwise("lamp")
     return table(spark, sf_dir, "events").select(k.alias("seq"), F.floor(k / 7).alias("job"), rules.blank_to_null(text).alias("prompt"))
+
+
+_CONFIG = """'{"background":{"color":' || CASE WHEN p_partkey % 7 > 0 THEN '"#FF' || lpad(CAST(p_size AS VARCHAR), 4, '0') || '"' ELSE 'null' END || ',"shadow":"preserve","transparent":' || (p_partkey % 7 = 0) || '},"export":{"formats":[' || CASE WHEN p_size % 2 = 0 THEN '"png","psd"' ELSE '"tiff"' END
+  || '],"quality":92},"objects":[{"label":"' || p_brand || '","order":' || p_size || '}],"size":{"height":' || p_size * 20 || ',"margin_pct":10.5,"width":' || p_size * 10 || '}}'"""
+
+
+@query(f"SELECT p_partkey, substr(sha256({_CONFIG}), 1, 16) AS config_hash FROM part")
+def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of whole configurations, whose fields come in any order and whose preset's name does not count."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    config = F.struct(
+        F.col("p_name").alias("preset_name"),
+        F.struct((size * 10).alias("width"), (size * 20).alias("height"), F.lit(10.5).alias("margin_pct")).alias("size"),
+        F.struct((p % 7 == 0).alias("transparent"), F.when(p % 7 > 0, F.concat(F.lit("#FF"), F.lpad(size.cast("string"), 4, "0"))).alias("color"), F.lit("preserve").alias("shadow")).alias("background"),
+        F.array(F.struct(size.alias("order"), F.col("p_brand").alias("label"))).alias("objects"),
+        F.struct(F.lit(92).alias("quality"), F.when(size % 2 == 0, F.array(F.lit("png"), F.lit("psd"))).otherwise(F.array(F.lit("tiff"))).alias("formats")).alias("export"),
+    )
+    return rules.with_config_hash(table(spark, sf_dir, "part").select("p_partkey", config.alias("config"))).select("p_partkey", "config_hash")

@@ -318,3 +318,41 @@ def test_kept_masks_that_do_not_hold_are_misses(spark, tmp_path):
     bad = f"file://{tmp_path}/bad"
     kept.selectExpr("key", "engine", "box", "mask", "'0' as digest").write.parquet(bad)
     assert states(bad)["a.png"] == ("vendor_error", 0.0) and calls == []
+
+
+def test_patience_with_engines():
+    def flaky(code: str, times: int, wait=None):
+        calls = []
+
+        def remove(data, w, h):
+            calls.append(1)
+            if len(calls) <= times:
+                raise images.Failed(code, "no", {} if wait is None else {"retry_after": wait})
+            return np.ones((h, w))
+
+        return remove, calls
+
+    for code, times, wait, attempts, waits in (("vendor_timeout", 0, None, 1, []), ("vendor_timeout", 2, None, 3, [0.5, 1.0]), ("vendor_rate_limited", 1, 90.0, 2, [30.0]), ("vendor_timeout", 5, 2.0, 3, [2.0, 2.0]), ("vendor_out_of_credits", 5, None, 1, [])):
+        remove, calls = flaky(code, times, wait)
+        slept = []
+        engine = images.patient(remove, sleep=slept.append)
+        if times < 3 and code != "vendor_out_of_credits":
+            assert engine(b"", 2, 2).all()
+        else:
+            with pytest.raises(images.Failed) as failure:
+                engine(b"", 2, 2)
+            assert failure.value.info["code"] == code
+        assert (len(calls), slept) == (attempts, waits)
+
+
+def test_a_configuration_hashes_alike_in_any_order(spark):
+    import hashlib
+    import json
+
+    from framequarry.operators import rules
+
+    config = {"b": {"y": None, "x": [1, 2]}, "a": [{"q": "z", "p": 1.5}], "preset_name": "n"}
+    want = hashlib.sha256(json.dumps({k: v for k, v in config.items() if k != "preset_name"}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+    one = spark.createDataFrame([((("n"), (None, [1, 2]), [("z", 1.5)]),)], "config struct<preset_name: string, b: struct<y: string, x: array<int>>, a: array<struct<q: string, p: double>>>")
+    two = spark.createDataFrame([(([(1.5, "z")], "other", ([1, 2], None)),)], "config struct<a: array<struct<p: double, q: string>>, preset_name: string, b: struct<x: array<int>, y: string>>")
+    assert [rules.with_config_hash(df).first().config_hash for df in (one, two)] == [want, want]
