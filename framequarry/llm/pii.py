@@ -23,8 +23,9 @@ doc_id and text are ignored, whatever their names; rows that repeat are answered
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 KINDS = ("email", "card", "ip", "date", "phone")
 #: What each kind looks like.
@@ -55,12 +56,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _draw(key: str, kind: str, turn: int, value: Column) -> Column:
+def _draw(key: Column, kind: str, turn: int, value: Column) -> Column:
     """A keyed pseudo-random number below 2^60 from a value."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{kind}|{turn}"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(f"{kind}|{turn}"), value.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+def feistel(key: Column, kind: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
     """Permutes the pairs (left, right) of numbers below the two sizes: a struct of both."""
     pair = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     for turn in range(ROUNDS):
@@ -69,11 +70,11 @@ def feistel(key: str, kind: str, left: Column, right: Column, left_size: Column,
     return pair
 
 
-def _left_step(key: str, kind: str, turn: int, size: Column):
+def _left_step(key: Column, kind: str, turn: int, size: Column):
     return lambda p: F.struct(((p["l"] + _draw(key, kind, turn, p["r"]) % size) % size).alias("l"), p["r"].alias("r"))
 
 
-def _right_step(key: str, kind: str, turn: int, size: Column):
+def _right_step(key: Column, kind: str, turn: int, size: Column):
     return lambda p: F.struct(p["l"].alias("l"), ((p["r"] + _draw(key, kind, turn, p["l"]) % size) % size).alias("r"))
 
 
@@ -81,7 +82,7 @@ def _ten_to(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permute_digits(key: str, kind: str, digits: Column) -> Column:
+def permute_digits(key: Column, kind: str, digits: Column) -> Column:
     """Permutes the digit strings of one length (2 to 36 digits) among themselves."""
     half = F.floor(F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
@@ -140,7 +141,7 @@ def kind_of(match: Column) -> Column:
     )
 
 
-def _card(key: str, match: Column) -> Column:
+def _card(key: Column, match: Column) -> Column:
     def permuted(d: Column) -> Column:
         body = permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
         return let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
@@ -148,20 +149,20 @@ def _card(key: str, match: Column) -> Column:
     return put_back(match, let(only_digits(match), permuted))
 
 
-def _phone(key: str, match: Column) -> Column:
+def _phone(key: Column, match: Column) -> Column:
     d = only_digits(match)
     kept = F.length(d) - 10
     return put_back(match, F.concat(F.substring(d, F.lit(1), kept), permute_digits(key, "phone", F.substring(d, kept + 1, F.lit(10)))))
 
 
-def _ip(key: str, match: Column) -> Column:
+def _ip(key: Column, match: Column) -> Column:
     o = F.transform(F.split(match, r"\."), lambda x: x.cast("long"))
     size = F.lit(65536).cast("long")
     mixed = let(o, lambda a: feistel(key, "ip", F.get(a, F.lit(0)) * 256 + F.get(a, F.lit(1)), F.get(a, F.lit(2)) * 256 + F.get(a, F.lit(3)), size, size))
     return let(mixed, lambda p: F.concat_ws(".", *(F.floor(x / 256).cast("string") if high else (x % 256).cast("string") for x in (p["l"], p["r"]) for high in (True, False))))
 
 
-def _date(key: str, match: Column) -> Column:
+def _date(key: Column, match: Column) -> Column:
     def once(n: Column) -> Column:
         mixed = feistel(key, "date", F.floor(n / DAY_RIGHT), n % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT))
         return let(mixed, lambda p: p["l"] * DAY_RIGHT + p["r"])
@@ -174,7 +175,7 @@ def _date(key: str, match: Column) -> Column:
     return let(date, lambda d: F.when(third == "/", F.date_format(d, "MM/dd/yyyy")).when(third == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
 
 
-def _email(key: str, match: Column) -> Column:
+def _email(key: Column, match: Column) -> Column:
     """The local part's two halves in turn, each letter or digit moved by what the other half gives."""
     domain = F.lower(F.substring_index(match, "@", -1))
     local = F.lower(F.substring_index(match, "@", 1))
@@ -187,7 +188,7 @@ def _email(key: str, match: Column) -> Column:
             moves = lambda c, i: F.when(c.between("a", "z"), shift(draw, c, i, 26, 97)).when(c.between("0", "9"), shift(draw, c, i, 10, 48)).otherwise(c)
             return F.array_join(F.transform(F.split(part, ""), moves), "")
 
-        return let(F.sha2(F.concat_ws("|", F.lit(f"{key}|email|{turn}"), other), 256), by)
+        return let(F.sha2(F.concat_ws("|", key, F.lit(f"email|{turn}"), other), 256), by)
 
     half = F.floor(F.length(local) / 2).cast("int")
     pair = F.struct(F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, F.length(local) - half).alias("r"))
@@ -230,7 +231,7 @@ def _begun(chain: Column, forms: tuple[str, ...]) -> Column:
     return let(F.regexp_extract_all(chain, F.lit("[0-9]+[ -]?"), F.lit(0)), each)
 
 
-def _cards(forms: tuple[str, ...], key: str) -> list:
+def _cards(forms: tuple[str, ...], key: Column) -> list:
     """The steps that settle cards: begin them at every group, take the leftmost, drop the other signs."""
     group, sign = f"(?:{BEGINS}[a-s])?[0-9]++", f"{BEGINS}[a-s]"
     taken = "(?:" + "|".join(f"{BEGINS}{chr(96 + n)}[0-9]++(?:[ -]{group}){{{n - 1}}}" for n in range(1, 20)) + ")"
@@ -241,7 +242,7 @@ def _cards(forms: tuple[str, ...], key: str) -> list:
     ]
 
 
-def _other(key: str, match: Column) -> Column:
+def _other(key: Column, match: Column) -> Column:
     kinds = {"ip": _ip, "date": _date, "phone": _phone}
 
     def named(kind: Column) -> Column:
@@ -253,14 +254,25 @@ def _other(key: str, match: Column) -> Column:
     return let(kind_of(match), named)
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+def _held(spark: SparkSession, secret: str) -> DataFrame:
+    """One row with the key, made in the JVM; plans show its column's name alone."""
+    jvm, cells = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 1)
+    cells[0] = secret
+    rows = jvm.java.util.ArrayList()
+    rows.add(jvm.org.apache.spark.sql.RowFactory.create(cells))
+    kind = jvm.org.apache.spark.sql.types.DataType.fromJson(StructType([StructField("pii_key", StringType(), False)]).json())
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, kind), spark)
+
+
+def pseudonymise(docs: DataFrame, secret: str) -> DataFrame:
     """doc_id, n_email, n_card, n_ip, n_date, n_phone, the text with pseudonyms, and its sha256; one row for each row.
 
-    One narrow projection: no shuffle, no Python. `key` is the secret of the permutation: whoever knows it can
-    undo the pseudonyms, so the caller brings it.
+    One narrow projection: no shuffle, no Python. `secret` is the key of the permutation: whoever knows it can
+    undo the pseudonyms, so the caller brings it, and it stands in no plan: it travels as a row.
     """
-    if not key:
+    if not secret:
         raise ValueError("pseudonyms need a key")
+    key = F.col("pii_key")
     # a text without digits and @ holds nothing: it skips all scans
     some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     steps = [
@@ -272,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         *_cards(PRINTED, key),
         *_cards(GROUPED, key),
     ]
-    found = docs.select("doc_id", "text", F.col("text").alias("s"))
+    found = docs.select("doc_id", "text", F.col("text").alias("s")).crossJoin(F.broadcast(_held(docs.sparkSession, secret)))
     for step in steps:
         found = found.withColumn("s", step(F.col("s")))
     units = found.withColumn("units", F.coalesce(F.regexp_extract_all("s", F.lit(UNIT), F.lit(0)), F.array().cast("array<string>")))

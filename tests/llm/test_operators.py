@@ -642,9 +642,9 @@ def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
     dates = spark.range(pii.DAYS).select(F.date_format(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m"))
-    assert dates.select(pii._date("k", F.col("m")).alias("x")).distinct().count() == pii.DAYS
+    assert dates.select(pii._date(F.lit("k"), F.col("m")).alias("x")).distinct().count() == pii.DAYS
     numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("m"))
-    assert numbers.select(pii.permute_digits("k", "x", F.col("m")).alias("x")).distinct().count() == 1000
+    assert numbers.select(pii.permute_digits(F.lit("k"), "x", F.col("m")).alias("x")).distinct().count() == 1000
 
 
 # -- op 9 -------------------------------------------------------------------------------------

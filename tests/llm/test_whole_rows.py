@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import re
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from framequarry.llm import bpe, minhash, quality
+from framequarry.llm import bpe, minhash, pii, quality
 from framequarry.llm.common import table
 from framequarry.llm.queries import llm_queries
 
@@ -121,3 +122,56 @@ def test_ids_of_a_table(spark, small, texts):
     for r in rows:
         ids = library.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+# -- pseudonyms ---------------------------------------------------------------------------------
+
+
+def drawn(key: str, kind: str, turn: int, value: object) -> int:
+    return int(hashlib.sha256(f"{key}|{kind}|{turn}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def mixed(key: str, kind: str, left: int, right: int, left_size: int, right_size: int) -> tuple[int, int]:
+    for turn in range(pii.ROUNDS):
+        if turn % 2 == 0:
+            left = (left + drawn(key, kind, turn, right) % left_size) % left_size
+        else:
+            right = (right + drawn(key, kind, turn, left) % right_size) % right_size
+    return left, right
+
+
+def test_addresses_and_dates_are_permuted_by_the_key_and_back(spark):
+    """An independent network gives the same pseudonyms, and running it backward gives the values back."""
+    values = [("ip", f"{a}.{b}.{c}.{d}") for a, b, c, d in ((1, 2, 3, 4), (255, 255, 255, 255), (10, 0, 0, 1))]
+    rows = spark.createDataFrame([(k, f"x {v} y") for k, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(rows, "some key").collect()}
+    for k, (_, value) in enumerate(values):
+        a, b, c, d = map(int, value.split("."))
+        left, right = mixed("some key", "ip", a * 256 + b, c * 256 + d, 65536, 65536)
+        assert got[k].text == f"x {left // 256}.{left % 256}.{right // 256}.{right % 256} y" and got[k].n_ip == 1
+        assert got[k].text_sha256 == hashlib.sha256(got[k].text.encode()).hexdigest()
+        for turn in reversed(range(pii.ROUNDS)):
+            if turn % 2 == 0:
+                left = (left - drawn("some key", "ip", turn, right)) % 65536
+            else:
+                right = (right - drawn("some key", "ip", turn, left)) % 65536
+        assert (left, right) == (a * 256 + b, c * 256 + d)
+    dates = [(k, f"{y}-{m:02d}-{d:02d}") for k, (y, m, d) in enumerate(((1900, 1, 1), (2024, 2, 29), (2099, 12, 31), (1999, 7, 4)))]
+    told = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(dates, "doc_id long, text string"), "some key").collect()}
+    first = datetime.date(1900, 1, 1)
+    for k, value in dates:
+        n = (datetime.date.fromisoformat(value) - first).days
+        while True:  # walking on while outside of the range
+            left, right = mixed("some key", "date", n // pii.DAY_RIGHT, n % pii.DAY_RIGHT, pii.DAY_LEFT, pii.DAY_RIGHT)
+            n = left * pii.DAY_RIGHT + right
+            if n < pii.DAYS:
+                break
+        assert told[k] == (first + datetime.timedelta(days=n)).isoformat()
+
+
+def test_the_key_is_in_no_plan(spark):
+    rows = pii.pseudonymise(spark.createDataFrame([(1, "1.2.3.4 a@b.de 4111 1111 1111 1111")], "doc_id long, text string"), "the very secret key")
+    assert rows.collect()[0].n_ip == 1
+    assert "very secret" not in rows._jdf.queryExecution().toString() and "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        pii.pseudonymise(rows.select("doc_id", "text"), "")
