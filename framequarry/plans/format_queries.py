@@ -58,7 +58,23 @@ def profiled_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("img", "r", "g", "b")
 
 
-@query(f"WITH {PIXELS_SQL} SELECT img, {', '.join(f'CAST(sum(floor({c} * 255 + 0.5)) AS BIGINT) AS {c}' for c in 'rgb')}, true AS near FROM px GROUP BY img")
+#: JPEG in SQL: the steps of quality 95 for luminance and colours, and the ways to them and back.
+_STEPS = [[min(255, max(1, (int(t) * 10 + 50) // 100)) for t in steps.ravel()] for steps in (jpeg.LUMINANCE, jpeg.COLOUR)]
+_YCC = [" + ".join(f"{float(v)!r} * {c}" for v, c in zip(row, "rgb", strict=True)) for row in jpeg.TO_YCC]
+_BACK = [" + ".join(f"{float(v)!r} * {c}" for v, c in zip(row, ("y[k]", "u[k]", "v[k]"), strict=True)) for row in np.linalg.inv(jpeg.TO_YCC)]
+_COS = "sqrt((CASE WHEN {u} = 0 THEN 1 ELSE 2 END) / 8.0) * cos((2 * ({x}) + 1) * ({u}) * pi() / 16)"
+_TURN = f"{_COS.format(u='f // 8', x='i // 8')} * {_COS.format(u='f % 8', x='i % 8')}"
+_KEPT = {name: f"list_transform(list_zip(list_transform(forth, lambda w: list_inner_product(w, {name})), {_STEPS[table]}), lambda z: round_even(z[1] / z[2], 0) * z[2])" for name, table in (("y", 0), ("u", 1), ("v", 1))}
+
+
+@query(f"""WITH {PIXELS_SQL}, w AS (SELECT f, i, {_TURN} AS w FROM (SELECT unnest(range(0, 64)) AS f), (SELECT unnest(range(0, 64)) AS i)),
+t AS (SELECT (SELECT list(l ORDER BY f) FROM (SELECT f, list(w ORDER BY i) AS l FROM w GROUP BY f)) AS forth, (SELECT list(l ORDER BY i) FROM (SELECT i, list(w ORDER BY f) AS l FROM w GROUP BY i)) AS back),
+p AS (SELECT img, i, {', '.join(f'floor({c} * 255 + 0.5) AS {c}' for c in 'rgb')} FROM px),
+b AS (SELECT img, {', '.join(f'list({c} ORDER BY i) AS {c}' for c in 'rgb')}, list({_YCC[0]} - 128 ORDER BY i) AS y, list({_YCC[1]} ORDER BY i) AS u, list({_YCC[2]} ORDER BY i) AS v FROM p GROUP BY img),
+c AS (SELECT img, r, g, b, back, {', '.join(f'{kept} AS {name}' for name, kept in _KEPT.items())} FROM b, t),
+d AS (SELECT img, r, g, b, list_transform(back, lambda w: list_inner_product(w, y) + 128) AS y, list_transform(back, lambda w: list_inner_product(w, u)) AS u, list_transform(back, lambda w: list_inner_product(w, v)) AS v FROM c),
+o AS (SELECT img, r, g, b, {', '.join(f'list_transform(range(1, 65), lambda k: floor(least(255.0, greatest(0.0, {back})) + 0.5) - {c}[k]) AS off_{c}' for c, back in zip('rgb', _BACK, strict=True))} FROM d)
+SELECT img, {', '.join(f'CAST(list_sum({c}) AS BIGINT) AS {c}' for c in 'rgb')}, {' AND '.join(f'abs(list_sum(off_{c}) / 64) <= 1 AND greatest(list_max(off_{c}), -list_min(off_{c})) <= 24' for c in 'rgb')} AS near FROM o""")
 def jpeg_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of noise as JPEG and back: sums of the levels, and whether no channel's mean is off by more than a level and no pixel by more than 24."""
 

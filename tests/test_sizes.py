@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from framequarry.operators import flow, images
-from framequarry.sources import zipimages
+from framequarry.plans import catalogue
+from framequarry.sources import jpeg, zipimages
 
 
 def test_a_bundle_lists_more_entries_than_an_upload_may_have(spark, tmp_path):
@@ -13,3 +16,21 @@ def test_a_bundle_lists_more_entries_than_an_upload_may_have(spark, tmp_path):
     assert [(r["job"], r["entries"], r["bytes"]) for r in flow.write_bundles(rows, str(tmp_path)).collect()] == [("3", 20005, 20005)]
     refused = spark.read.format("zipimages").option("read", "names").load(f"{tmp_path}/*.zip").collect()
     assert [r["code"] for r in refused] == ["too_many_images"]
+
+
+def _compared(name: str, spark, folder: str, table: str) -> tuple[list, list]:
+    df = catalogue.QUERIES[name](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    found = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, df.collect()), key=repr), sorted(found, key=repr)
+
+
+def test_jpeg_pictures_that_are_not_near(spark, tmp_path):
+    levels = np.random.default_rng(45290).integers(0, 256, (8, 8, 3))
+    far = np.abs(np.rint(jpeg.decode(jpeg.encode(levels.astype(np.uint8), 95))[0] * 255) - levels).max()
+    assert far == 26
+    rows = [(k, [float(v) for v in levels[..., k].ravel() / 255 - 0.5]) for k in range(3)] + [(k, [0.1] * 64) for k in (3, 4, 5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, wanted = _compared("jpeg_pictures", spark, str(tmp_path), "embeddings")
+    assert got == wanted and [r[-1] for r in got] == [False, True]
