@@ -142,12 +142,18 @@ def single_flight_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vendors.drained(vendors.computed_once(calls), "single-flight").select("key")
 
 
-def _shuffled(rows: DataFrame, name: str, files: int = 3) -> DataFrame:
-    """Rows (with ts) as a stream of several files, each with rows from everywhere; then one with a row of no key, far later, that lets the watermark pass."""
+def _delay(rows: DataFrame) -> int:
+    """How late a row can be in a stream that holds rows from everywhere, in milliseconds: the span of its times (ts), and a minute."""
+    span = rows.agg((F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("span")).first()["span"]
+    return (span or 0) + 60_000
+
+
+def _shuffled(rows: DataFrame, name: str, delay: int, files: int = 3) -> DataFrame:
+    """Rows (with ts) as a stream of several files, each with rows from everywhere; then one with a row of no key, later by far than the delay twice over, that lets the watermark pass."""
     spark = rows.sparkSession
     folder = vendors.shared_folder(spark, name)
     rows.repartition(files, F.xxhash64("seq")).write.parquet(folder)
-    after = rows.agg((F.max("ts") + F.expr("interval 60 days")).alias("ts"))
+    after = rows.agg(F.timestamp_millis(F.unix_millis(F.max("ts")) + 2 * delay + 60 * 86_400_000).alias("ts"))
     after.select(*(F.col("ts") if c == "ts" else F.lit(-1 if c in ("vendor", "job", "seq") else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns)).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -156,7 +162,8 @@ def _shuffled(rows: DataFrame, name: str, files: int = 3) -> DataFrame:
 def governed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The governor with its pauses as a stream whose batches hold calls from everywhere, put in order by event time."""
     calls = job_images(spark, sf_dir).select(F.col("job").alias("vendor"), "seq", F.timestamp_millis((F.col("seq") * 500 + 1_700_000_000_000).cast("long")).alias("ts"), (F.col("seq") * 0.5).cast("double").alias("at"), (F.col("state") == "failed").alias("limited"), F.when(F.col("seq") % 3 > 0, F.col("retry_after")).alias("retry_after"))
-    return vendors.drained(vendors.paused(_shuffled(calls, "calls"), "30 days"), "governed")
+    delay = _delay(calls)
+    return vendors.drained(vendors.paused(_shuffled(calls, "calls", delay), f"{delay} milliseconds"), "governed")
 
 
 @query(f"""WITH {JOBS_SQL}, q AS (SELECT job, min(seq) AS requested FROM ji WHERE state = 'failed' AND job % 3 = 0 GROUP BY job),
@@ -166,9 +173,10 @@ def stopped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running jobs as a stream of uploads joined by one of requests to stop: which images start, and why others do not."""
     images_of = job_images(spark, sf_dir)
     ts = F.timestamp_seconds(F.col("seq") + 1_700_000_000)
-    uploads = _shuffled(images_of.select("job", "seq", ts.alias("ts"), "cost"), "uploads")
-    control = _shuffled(images_of.where("state = 'failed' and job % 3 = 0").groupBy("job").agg(F.min("seq").alias("seq")).select("job", "seq", ts.alias("ts")), "control", 1)
-    rows = vendors.drained(vendors.running(uploads, control, 2.0, 0.05, "30 days"), "running")
+    delay = _delay(images_of.select(ts.alias("ts")))
+    uploads = _shuffled(images_of.select("job", "seq", ts.alias("ts"), "cost"), "uploads", delay)
+    control = _shuffled(images_of.where("state = 'failed' and job % 3 = 0").groupBy("job").agg(F.min("seq").alias("seq")).select("job", "seq", ts.alias("ts")), "control", delay, 1)
+    rows = vendors.drained(vendors.running(uploads, control, 2.0, 0.05, f"{delay} milliseconds"), "running")
     return rows.where("job >= 0")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framequarry.operators import flow, images
@@ -34,3 +35,11 @@ def test_jpeg_pictures_that_are_not_near(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, wanted = _compared("jpeg_pictures", spark, str(tmp_path), "embeddings")
     assert got == wanted and [r[-1] for r in got] == [False, True]
+
+
+@pytest.mark.parametrize("name", ["governed_stream", "stopped_stream"])
+def test_streams_over_more_than_a_month(spark, small, tmp_path, name):
+    events = spark.read.parquet(f"{small}/events.parquet").withColumn("event_id", F.col("event_id") * 9_001)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got, wanted = _compared(name, spark, str(tmp_path), "events")
+    assert len(got) == events.count() and got == wanted
