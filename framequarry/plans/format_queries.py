@@ -147,17 +147,18 @@ SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE cells END AS cells, tr
 def backdrop_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discs that are black on light, light on dark, or red with a hole in them, cut out by the backdrop alone: cells found, and whether the mask is within 0.05 of the truth on average."""
 
-    def step(row: dict) -> dict:
-        y, x = np.mgrid[0:_EDGE, 0:_EDGE]
-        far, kind = np.hypot(x - 20, y - 20), row["p_partkey"] % 4
-        radius = 9 + row["p_size"] % 7
-        product, back = _KEYED[kind]
-        inside = far <= radius
-        shown = inside & (far > 2) if kind == 2 else inside
-        rgb = np.where(shown[..., None], np.array(product), back)
-        mask = images.key_on_backdrop(rgb)
-        truth = inside if kind < 3 else np.zeros_like(inside)
-        return {"cells": int((mask > 0.5).sum()), "near": bool(np.abs(mask - truth).mean() < 0.05)}
+    y, x = np.mgrid[0:_EDGE, 0:_EDGE]
+    far = np.hypot(x - 20, y - 20)
+    products, backs = np.array([p for p, _ in _KEYED]), np.array([b for _, b in _KEYED])
+
+    def step(rows: list[dict]) -> list[dict]:
+        kind, size = np.array([r["p_partkey"] % 4 for r in rows]), np.array([r["p_size"] for r in rows])
+        inside = far <= (9 + size % 7)[:, None, None]
+        shown = inside & ((far > 2) | (kind != 2)[:, None, None])
+        rgb = np.where(shown[..., None], products[kind][:, None, None], backs[kind][:, None, None, None])
+        masks = images.keyed(rgb)
+        off = np.abs(masks - (inside & (kind < 3)[:, None, None])).mean(axis=(1, 2))
+        return [{"cells": c, "near": o < 0.05} for c, o in zip((masks > 0.5).sum(axis=(1, 2)).tolist(), off.tolist(), strict=True)]
 
     parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
-    return images.each_image(parts, step, "cells bigint, near boolean").select("p_partkey", "cells", "near")
+    return images.each_stack(parts, step, "cells bigint, near boolean", size=lambda row: _EDGE * _EDGE * 12).select("p_partkey", "cells", "near")

@@ -8,6 +8,7 @@ import sys
 import numpy as np
 import pytest
 
+from framequarry.operators import images
 from framequarry.sources import eps, jpeg, webp
 
 
@@ -64,3 +65,36 @@ def test_characters_of_an_eps_are_those_of_the_standard_library():
     for bad in (b"!!z!!", b"v!!!!", b"uuuuu"):
         with pytest.raises(ValueError):
             eps.from_ascii85(bad)
+
+
+def _backdrops(n: int) -> np.ndarray:
+    """Discs and noise in front of even backdrops; some with nothing at all."""
+    rng = np.random.default_rng(n)
+    y, x = np.mgrid[0:24, 0:30]
+    out = 0.8 + 0.002 * rng.standard_normal((n, 24, 30, 3))
+    for k in range(n):
+        cover = np.clip(rng.integers(-2, 9) - np.hypot(y - rng.integers(4, 20), x - rng.integers(4, 26)) + 0.5, 0, 1) * (rng.random((24, 30)) > 0.1 * (k % 3))
+        out[k] += cover[..., None] * (rng.random(3) * rng.integers(0, 2) - 0.75)
+    return np.clip(out, 0, 1)
+
+
+def test_pictures_keyed_together_are_keyed_as_each_by_itself():
+    rgb = _backdrops(60)
+    assert np.array_equal(images.keyed(rgb), np.array([images.key_on_backdrop(p) for p in rgb]))
+
+
+def test_many_pictures_keyed_take_few_calls():
+    rgb = _backdrops(64)
+    assert _calls(lambda: images.keyed(rgb)) < 64 * 60
+
+
+def test_a_fault_in_a_stack_is_that_row_s(spark):
+    def step(rows: list[dict]) -> list[dict]:
+        if any(r["id"] == 5 for r in rows):
+            raise images.Failed("no_foreground_found", "five")
+        return [{"made": r["id"], "together": len(rows)} for r in rows]
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", f"if(id = 7, named_struct('code', 'c', 'message', 'before', 'retryable', false), cast(null as {images.ERROR})) as error")
+    got = images.each_stack(rows, step, "made bigint, together int", ("id",)).selectExpr("id", "made", "together", "error.message as told").collect()
+    assert [(r["id"], r["made"], r["told"]) for r in got] == [(k, None if k in (5, 7) else k, {5: "five", 7: "before"}.get(k)) for k in range(40)]
+    assert {r["together"] for r in images.each_stack(rows.where("id > 7"), step, "made bigint, together int", ("id",), size=lambda row: images.MADE // 8).collect()} == {8}
