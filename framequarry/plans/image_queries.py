@@ -16,43 +16,43 @@ from .registry import ORACLES, query, table
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imaging.rendered(spread(imaging.scenes(table(spark, sf_dir, "part"))))
+    return spread(imaging.scenes(table(spark, sf_dir, "part")))
 
 
 @query()
 def plate_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quadratic backdrop fit, its uniformity gate and the darkest shadow of every scene."""
-    return imaging.per_image(_scenes(spark, sf_dir), imaging.plate_measures, "uniformity double, ground double, gate boolean, darkest double")
+    return imaging.measured(_scenes(spark, sf_dir), imaging.plates_measured, "uniformity double, ground double, gate boolean, darkest double")
 
 
 @query()
 def place_on_canvas_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scene resampled, centred and pasted on an exact canvas."""
-    return imaging.per_image(_scenes(spark, sf_dir), imaging.placed, "scale double, coverage double, off_x double, off_y double")
+    return imaging.measured(_scenes(spark, sf_dir), imaging.one_by_one(imaging.placed), "scale double, coverage double, off_x double, off_y double")
 
 
 @query()
 def clipping_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contour, simplified and wound, as path records."""
-    return imaging.per_image(_scenes(spark, sf_dir), imaging.clipping_path, "vertices int, area double, records binary")
+    return imaging.measured(_scenes(spark, sf_dir), imaging.clipping_paths, "vertices int, area double, records binary")
 
 
 @query()
 def backdrop_keying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline segmenter against the true alpha."""
-    return imaging.per_image(_scenes(spark, sf_dir), imaging.keyed, "error_mean double, coverage double")
+    return imaging.measured(_scenes(spark, sf_dir), imaging.all_keyed, "error_mean double, coverage double")
 
 
 @query()
 def traced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traced contour lengths, edge widths and solidity."""
-    return imaging.per_image(_scenes(spark, sf_dir), imaging.traced_edge, "contour int, edge_width double, solidity double")
+    return imaging.measured(_scenes(spark, sf_dir), imaging.traced_edges, "contour int, edge_width double, solidity double")
 
 
 @query()
 def encode_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures through the encoders and back."""
-    return imaging.per_image(_scenes(spark, sf_dir), imaging.encoded, "png int, bmp int, tiff int, psd int, layers string, reads_back boolean")
+    return imaging.measured(_scenes(spark, sf_dir), imaging.one_by_one(imaging.encoded), "png int, bmp int, tiff int, psd int, layers string, reads_back boolean")
 
 
 _OBJECTS = {"red": "r > 0.5", "green": "g > 0.5", "top": "y < 3"}

@@ -8,7 +8,8 @@ import sys
 import numpy as np
 import pytest
 
-from framequarry.operators import images
+from framequarry.operators import images, imaging, kernels
+from framequarry.plans import catalogue
 from framequarry.sources import eps, jpeg, webp
 
 
@@ -98,3 +99,30 @@ def test_a_fault_in_a_stack_is_that_row_s(spark):
     got = images.each_stack(rows, step, "made bigint, together int", ("id",)).selectExpr("id", "made", "together", "error.message as told").collect()
     assert [(r["id"], r["made"], r["told"]) for r in got] == [(k, None if k in (5, 7) else k, {5: "five", 7: "before"}.get(k)) for k in range(40)]
     assert {r["together"] for r in images.each_stack(rows.where("id > 7"), step, "made bigint, together int", ("id",), size=lambda row: images.MADE // 8).collect()} == {8}
+
+
+def _scenes() -> tuple[np.ndarray, np.ndarray]:
+    return imaging.renders([{"size": size, "shift": k % 5 - 2, "soft": k % 2 == 0, "second": k % 3 == 0} for size in range(1, 51, 7) for k in range(8)])
+
+
+@pytest.mark.parametrize("together, single, most", [(imaging.plates_measured, imaging.plate_measures, 20), (imaging.clipping_paths, imaging.clipping_path, 900), (imaging.all_keyed, imaging.keyed, 30), (imaging.traced_edges, imaging.traced_edge, 200)])
+def test_scenes_measured_together_are_measured_as_each_by_itself(together, single, most):
+    rgb, alpha = _scenes()
+    assert together(rgb, alpha) == [single(*picture) for picture in zip(rgb, alpha, strict=True)]
+    assert _calls(lambda: together(rgb, alpha)) < most * len(rgb)
+
+
+def test_what_alpha_does_not_reach_is_not_resampled():
+    for rgb, alpha in zip(*_scenes(), strict=True):
+        whole, wanted = np.zeros((200, 200, 3)), np.zeros((200, 200))
+        colour, a, top, left = kernels.resampled(rgb, alpha, 200, 200)
+        whole[top : top + a.shape[0], left : left + a.shape[1]], wanted[top : top + a.shape[0], left : left + a.shape[1]] = colour, a
+        for got, full in zip((whole, wanted), kernels.resample(rgb, alpha, 200, 200), strict=True):
+            assert np.allclose(got, full, rtol=0, atol=1e-9)
+        assert a.size < 200 * 200
+
+
+def test_scenes_are_measured_where_they_are_made(spark, small):
+    df = catalogue.QUERIES["traced_edges"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and df.count() == spark.read.parquet(f"{small}/part.parquet").count()
