@@ -168,6 +168,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _with(known: dict, learnt: dict) -> dict:
+    """What is known together with what was learnt, which is remembered where it is short."""
+    if max(map(len, learnt), default=0) <= 64:
+        known.update(learnt)
+        return known
+    known.update((p, ids) for p, ids in learnt.items() if len(p) <= 64)
+    return known | learnt
+
+
 class WordEncoder:
     """Encodes texts as the library does with the tokenizer's file; remembers what it has met.
 
@@ -231,11 +240,8 @@ class WordEncoder:
         if len(self.pieces) >= MEMO:
             self.pieces.clear()
         known = self.pieces
-        fresh = list({p for p in found if p not in known and p != "\n"})
-        learnt = self._pieces(fresh) if fresh else {}
-        known.update((p, ids) for p, ids in learnt.items() if len(p) <= 64)
-        if any(len(p) > 64 for p in learnt):
-            known = known | learnt
+        fresh = list(set(found).difference(known, "\n"))
+        known = _with(known, self._pieces(fresh) if fresh else {})
         held, turn = [], iter(plain)
         for piece in [*found, "\n"] if plain else []:
             if piece == "\n":
@@ -252,11 +258,8 @@ class WordEncoder:
         if len(self.known) >= MEMO:
             self.known.clear()
         cut, known = [t.encode().split() if t else [] for t in texts], self.known
-        fresh = list({p for parts in cut for p in parts if p not in known})
-        learnt = self._learn(fresh) if fresh else {}
-        known.update((p, ids) for p, ids in learnt.items() if len(p) <= 64)
-        if any(len(p) > 64 for p in learnt):
-            known = known | learnt
+        fresh = list(set().union(*cut).difference(known))
+        known = _with(known, self._learn(fresh) if fresh else {})
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 

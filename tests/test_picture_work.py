@@ -128,3 +128,20 @@ def test_scenes_are_measured_where_they_are_made(spark, small):
     df = catalogue.QUERIES["traced_edges"](spark, small)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and df.count() == spark.read.parquet(f"{small}/part.parquet").count()
+
+
+def test_new_words_of_op9_take_few_calls():
+    bitplanes = pytest.importorskip("framequarry.llm.bitplanes")
+    encoder = bitplanes.word_encoder(bitplanes.default_tokenizer())
+    words = [f"w{k}x{k * 7}" for k in range(3000)]
+
+    def learnt() -> list[bytes]:
+        encoder.known.clear()
+        encoder.pieces.clear()
+        return encoder.encode_all([" ".join(words), None, "y" * 300 + " " + words[0]])
+
+    ids = learnt()
+    assert ids[1] == b"" and ids[0].startswith(encoder.encode_all([words[0]])[0]) and encoder.encode_all(["y" * 300])[0] not in encoder.known.values()
+    assert ids == encoder._ids([" ".join(words), "", "y" * 300 + " " + words[0]])
+    count = _calls(learnt)
+    assert count < 3000 * 18
