@@ -21,22 +21,25 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, batches_of, fresh_folder, input_bytes, record, shuffle_partitions, stored
+from .common import arrow_batches, batches_of, fresh_folder, input_bytes, record, shuffle_partitions, stored, text_bytes
 
 BLOCK = 1 << 16
 MAGIC = b"FQBP\x01\x00\x00\x00"
 END_ID = 2
 #: How much text a range holds, ids in a file, and files that a range may have (its numbers leave room for them).
 RANGE_BYTES, FILE_IDS, TURNS = 32 << 20, 16 << 20, 1 << 20
-MEMO = 250_000
+#: How many words and pieces a worker remembers, and ids of words; no longer ones (characters).
+MEMO, PIECES, MEMO_IDS, LONGEST = 350_000, 100_000, 4_000_000, 64
 LEVEL = 3
 
 
@@ -161,6 +164,11 @@ _STEPS = {
 }
 
 
+#: In Arrow's syntax: what a text must not hold to be lower-cased and cut before the tokenizer's own steps; a letter and
+#: a mark that always parts from it (an apostrophe need not).
+_RARE, _LETTER_MARK = r"[^\x00-\x{24f}]|<", r"([a-z])([!-&(-/:-@\[-`{-~])"
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies spell each byte as a letter: printable Latin-1 as itself, the others from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -170,18 +178,73 @@ def _byte_letters() -> dict[int, str]:
 
 def _with(known: dict, learnt: dict) -> dict:
     """What is known together with what was learnt, which is remembered where it is short."""
-    if max(map(len, learnt), default=0) <= 64:
+    if max(map(len, learnt), default=0) <= LONGEST:
         known.update(learnt)
         return known
-    known.update((p, ids) for p, ids in learnt.items() if len(p) <= 64)
+    known.update((p, ids) for p, ids in learnt.items() if len(p) <= LONGEST)
     return known | learnt
 
 
+def _stretches(ids: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ids end to end, and where each ends (0 before the first)."""
+    ends = np.zeros(len(many) + 1, np.int64)
+    np.cumsum(many, out=ends[1:])
+    return ids[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])], ends
+
+
+class Memo:
+    """Ids of words that were met, word after word in one array. When it is full, the half that was met last stays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}  # in the order of the rows
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.met, self.turn = np.zeros(0, np.int64), 0
+
+    def values(self) -> list[bytes]:
+        return [self.ids[a:b].tobytes() for a, b in zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)]
+
+    def encode(self, words: pa.DictionaryArray, learn: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, and where each word's end; `learn` gives those of new words."""
+        names, known = words.dictionary.to_numpy(zero_copy_only=False).tolist(), len(self.rows)
+        row = np.fromiter(map(self.rows.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(row < 0).tolist()
+        ids, ends = self.ids, self.ends
+        if fresh:
+            short = [k for k in fresh if len(names[k]) <= LONGEST]
+            if len(short) < len(fresh):  # what is not remembered comes last
+                fresh = short + [k for k in fresh if len(names[k]) > LONGEST]
+            learnt = learn([names[k] for k in fresh])
+            row[fresh] = np.arange(known, known + len(fresh))
+            ids = np.concatenate([ids, np.frombuffer(b"".join(learnt), "<u4")])
+            ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) // 4 for x in learnt])])
+            self.rows.update(zip([names[k] for k in short], range(known, known + len(short)), strict=True))
+            known += len(short)
+            self.ids, self.ends, self.met = ids[: ends[known]], ends[: known + 1], np.concatenate([self.met, np.zeros(len(short), np.int64)])
+        self.turn += 1
+        self.met[row[row < known]] = self.turn
+        index = row[words.indices.to_numpy()]
+        out = _stretches(ids, ends[index], np.diff(ends)[index])
+        if known > MEMO or len(self.ids) > MEMO_IDS:
+            self._halve()
+        return out
+
+    def _halve(self) -> None:
+        stay, names = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :]), list(self.rows)
+        self.rows = {names[k]: n for n, k in enumerate(stay.tolist())}
+        self.ids, self.ends = _stretches(self.ids, self.ends[stay], np.diff(self.ends)[stay])
+        self.met = self.met[stay]
+
+
 class WordEncoder:
     """Encodes texts as the library does with the tokenizer's file; remembers what it has met.
 
-    Where no token spans ASCII white space, parts between white space are encoded once each. Most of
-    them (no character from U+0250 on, where normal forms and cases are plain, and no special token)
+    Where no token spans ASCII white space, Arrow cuts texts there and numbers the different parts of a
+    batch; a part is encoded once, and the ids of all texts are taken from those of their parts together.
+    Texts of plain characters are lower-cased before, and letters cut from marks after them. Most new
+    parts (no character from U+0250 on, where normal forms and cases are plain, and no special token)
     are lower-cased and split here, and only their pieces, all in one text, go to a copy of the
     tokenizer without those steps; the ends of words in the ids part them again. All other parts go
     through the whole tokenizer one by one. A file whose steps are not those goes through it text by text.
@@ -210,7 +273,7 @@ class WordEncoder:
         hard = "|".join([r"[^\x00-\u024f]", *(regex.escape(t["content"]) for t in special)])
         self.split, self.hard, self.letters = regex.compile(_SPLIT + r"|\n").findall, regex.compile(hard).search, _byte_letters()
         self.marks = all("<" in t["content"] for t in special)  # then ASCII parts without it hold none
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memo()
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -229,15 +292,16 @@ class WordEncoder:
             at = end
         return out
 
-    def _learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, texts: list[str]) -> list[bytes]:
         """Ids of new parts."""
-        texts = [p.decode() for p in parts]
+        out = [b""] * len(texts)
         hard = [k for k, t in enumerate(texts) if (not t.isascii() or "<" in t or not self.marks) and self.hard(t)]
-        out = {parts[k]: ids for k, ids in zip(hard, self._ids([texts[k] for k in hard]), strict=True)}
+        for k, ids in zip(hard, self._ids([texts[k] for k in hard]), strict=True):
+            out[k] = ids
         skip = set(hard)
         plain = [k for k in range(len(texts)) if k not in skip]
         found = self.split("\n".join([texts[k] for k in plain]).lower())
-        if len(self.pieces) >= MEMO:
+        if len(self.pieces) >= PIECES:
             self.pieces.clear()
         known = self.pieces
         fresh = list(set(found).difference(known, "\n"))
@@ -245,22 +309,30 @@ class WordEncoder:
         held, turn = [], iter(plain)
         for piece in [*found, "\n"] if plain else []:
             if piece == "\n":
-                out[parts[next(turn)]] = held[0] if len(held) == 1 else b"".join(held)
+                out[next(turn)] = held[0] if len(held) == 1 else b"".join(held)
                 held = []
             else:
                 held.append(known[piece])
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's end (0 before the first)."""
+        if not self.by_parts:
+            each = self._ids([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *(len(x) // 4 for x in each)])
+        raw, at = text_bytes(texts)
+        raw = raw.tobytes()
+        whole, small = (pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(x)]) for x in (raw, raw.lower()))
+        if self.marks:  # small letters, and letters cut from the marks after them, are fewer words with the same ids
+            whole = pc.if_else(pc.match_substring_regex(whole, _RARE), whole, pc.replace_substring_regex(small, _LETTER_MARK, r"\1 \2"))
+        parts = pc.ascii_split_whitespace(whole)
+        ids, ends = self.known.encode(parts.flatten().dictionary_encode(), self._learn)
+        return ids, ends[parts.offsets.to_numpy()]
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if not self.by_parts:
-            return self._ids([t or "" for t in texts])
-        if len(self.known) >= MEMO:
-            self.known.clear()
-        cut, known = [t.encode().split() if t else [] for t in texts], self.known
-        fresh = list(set().union(*cut).difference(known))
-        known = _with(known, self._learn(fresh) if fresh else {})
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        ids, ends = self.encode(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -303,7 +375,6 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, bits:
         fs.create_dir(base, recursive=True)
         writer = sink = None
         passing = final = ""
-        end = np.array([END_ID], "<u4").tobytes()
 
         def finish() -> pa.RecordBatch:
             writer.close()
@@ -313,13 +384,15 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, bits:
 
         for whole in batches:
             for batch in batches_of(whole):
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text").to_pylist()), strict=True):
+                ids, ends = encoder.encode(batch.column("text"))
+                ids, ends = np.insert(ids, ends[1:], END_ID), (ends + np.arange(len(ends))).tolist()
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
                     if writer is None:
                         final = f"{base}/part-{own:08d}-{turn:06d}.fqbp"
                         passing = f"{final}.{uuid.uuid4().hex}"
                         sink = fs.open_output_stream(passing)
                         writer = Writer(sink, bits)
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+                    writer.add(doc_id, ids[a:b])
                     if writer.total >= FILE_IDS:
                         yield finish()
                         writer, turn = None, turn + 1

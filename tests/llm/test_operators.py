@@ -678,6 +678,36 @@ def test_words_encode_like_the_library():
     assert bitplanes.word_encoder(path).encode_all(texts) == want
 
 
+def test_letters_cases_and_marks_are_no_new_words_of_op9(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = bitplanes.default_tokenizer(), random.Random(12)
+    encoder, whole, learnt = bitplanes.WordEncoder(path), Tokenizer.from_file(path), []
+    monkeypatch.setattr(encoder, "_learn", lambda texts, learn=encoder._learn: learnt.extend(texts) or learn(texts))
+    texts = [f"Word{'abc'[k % 3]}x, WORD{'abc'[k % 3]}X. word{'abc'[k % 3]}x! (Word{'abc'[k % 3]}x)" for k in range(30)]
+    letters = [*"abC '\n\t\r\xa0\x1c\x85éÉİ12!?_\x01.,-;>[`{~\0", "'s", "'S", "don't", "'re,", "É.", "<|endoftext|>", "<|StartOfText|>", "H̱.", "中"]
+    mixed = ["".join(rng.choices(letters[: rng.choice([10, 33, 36, 40])], k=rng.randint(0, 30))) for _ in range(4000)] + ["y" * 300 + ", Y" + "y" * 299]
+    for batch in (texts, mixed, texts):
+        assert encoder.encode_all(batch) == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(batch, add_special_tokens=False)]
+        assert batch is mixed or len(learnt) < 12
+        learnt.clear()
+    ids, ends = encoder.encode(pa.array([*mixed, None, *texts]).slice(4000, 3))
+    assert [x.tobytes() for x in np.split(ids, ends[1:-1])] == [encoder.encode_all(mixed[4000:])[0], b"", encoder.encode_all(texts[:1])[0]]
+
+
+def test_a_full_memory_of_words_keeps_the_half_met_last(monkeypatch):
+    monkeypatch.setattr(bitplanes, "MEMO", 100)
+    encoder = bitplanes.WordEncoder(bitplanes.default_tokenizer())
+    rng, words = random.Random(3), [f"q{chr(97 + k // 26)}{chr(97 + k % 26)}z" for k in range(300)]
+    for k in range(60):
+        texts = [" ".join(["of", *rng.choices(words, k=20), "x" * 80, words[k]])] * 2
+        assert encoder.encode_all(texts) == encoder._ids(texts)
+        assert "of" in encoder.known.rows and len(encoder.known.rows) == len(encoder.known.met) == len(encoder.known.ends) - 1 <= 100
+        assert len(encoder.known.ids) == encoder.known.ends[-1] and "x" * 80 not in encoder.known.rows
+    assert [encoder._ids([w])[0] for w in encoder.known.rows] == encoder.known.values()
+
+
 def test_another_tokenizer_is_not_read_by_this_ones_steps():
     import public_tokenizers
     from tokenizers import Tokenizer
