@@ -185,11 +185,15 @@ def _with(known: dict, learnt: dict) -> dict:
     return known | learnt
 
 
-def _stretches(ids: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of ids end to end, and where each ends (0 before the first)."""
-    ends = np.zeros(len(many) + 1, np.int64)
-    np.cumsum(many, out=ends[1:])
-    return ids[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])], ends
+def _stretches(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ids that rows name, end to end, and where each ends (0 before the first)."""
+    stops = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(np.diff(ends)[rows], out=stops[1:])
+    out = np.empty(stops[-1], "<u4")
+    for k in range(0, len(rows), BLOCK):
+        at = stops[k : k + BLOCK + 1]
+        out[at[0] : at[-1]] = ids[np.repeat(ends[rows[k : k + BLOCK]] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])]
+    return out, stops
 
 
 class Memo:
@@ -209,7 +213,7 @@ class Memo:
     def encode(self, words: pa.DictionaryArray, learn: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, and where each word's end; `learn` gives those of new words."""
         names, known = words.dictionary.to_numpy(zero_copy_only=False).tolist(), len(self.rows)
-        row = np.fromiter(map(self.rows.get, names, repeat(-1)), np.int64, len(names))
+        row = np.fromiter(map(self.rows.get, names, repeat(-1)), np.int32, len(names))
         fresh = np.flatnonzero(row < 0).tolist()
         ids, ends = self.ids, self.ends
         if fresh:
@@ -225,8 +229,7 @@ class Memo:
             self.ids, self.ends, self.met = ids[: ends[known]], ends[: known + 1], np.concatenate([self.met, np.zeros(len(short), np.int64)])
         self.turn += 1
         self.met[row[row < known]] = self.turn
-        index = row[words.indices.to_numpy()]
-        out = _stretches(ids, ends[index], np.diff(ends)[index])
+        out = _stretches(ids, ends, row[words.indices.to_numpy()])
         if known > MEMO or len(self.ids) > MEMO_IDS:
             self._halve()
         return out
@@ -234,7 +237,7 @@ class Memo:
     def _halve(self) -> None:
         stay, names = np.sort(np.argsort(self.met, kind="stable")[len(self.met) // 2 :]), list(self.rows)
         self.rows = {names[k]: n for n, k in enumerate(stay.tolist())}
-        self.ids, self.ends = _stretches(self.ids, self.ends[stay], np.diff(self.ends)[stay])
+        self.ids, self.ends = _stretches(self.ids, self.ends, stay)
         self.met = self.met[stay]
 
 
