@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import flow, images
+from ..operators import flow, images, rules
 from ..sources import eps, jpeg, profiles, rasters, webp
 from .adapters import PIXELS_SQL, SIDE, picture, spread
 from .flow_queries import scene_files
@@ -117,21 +117,22 @@ _ALL_FORMATS = flow.Config(width=40, height=36, formats=_ASKED, match_source=Tru
 SELECT 'jobs/' || p_partkey % 5 || '/out/p' || p_partkey || '.' || format AS key, format, 40 AS width, 36 AS height, true AS matches FROM k""")
 def flow_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow delivering JPEG, layered PSD, WebP and EPS in Adobe RGB: every file, its size as its own reader tells it, and whether its corner is the fill."""
-    done = flow.process(scene_files(spark, sf_dir), _ALL_FORMATS, [("local", images.local_engine, 0.0)])
-    rows = flow.outputs(done).where("body is not null").select("key", "format", "body")
 
-    def step(row: dict) -> dict:
-        if row["format"] == "eps":  # holds no profile: its values are the profile's
-            values = eps.decode(row["body"])
+    def read(file: dict) -> dict:
+        if file["format"] == "eps":  # holds no profile: its values are the profile's
+            values = eps.decode(file["body"])
             fill = images.profiled(np.array(_ALL_FORMATS.fill), "adobe")
         else:
-            values = rasters.light(rasters.read(row["body"]))[0]
+            values = rasters.light(rasters.read(file["body"]))[0]
             fill = np.array(_ALL_FORMATS.fill)
         h, w = values.shape[:2]
-        tolerance = 0.08 if row["format"] in ("bmp", "jpeg") else 0.02  # a BMP's values lose their profile, a JPEG's are near
-        return {"width": w, "height": h, "matches": bool(np.abs(values[0, 0] - fill).max() < tolerance)}
+        tolerance = 0.08 if file["format"] in ("bmp", "jpeg") else 0.02  # a BMP's values lose their profile, a JPEG's are near
+        return {"format": file["format"], "width": w, "height": h, "matches": bool(np.abs(values[0, 0] - fill).max() < tolerance)}
 
-    return images.each_image(rows, step, "width int, height int, matches boolean").select("key", "format", "width", "height", "matches")
+    made = "array<struct<format: string, width: int, height: int, matches: boolean>>"
+    done = flow.process(scene_files(spark, sf_dir), _ALL_FORMATS, [("local", images.local_engine, 0.0)], use=(lambda done: {"read": [read(f) for f in done["files"]]}, f"read {made}"), passed=())
+    rows = done.select("job", "source_name", F.explode("read").alias("file"))
+    return rows.select(rules.output_key(F.col("job").cast("string"), F.col("source_name"), F.col("file.format")).alias("key"), "file.format", "file.width", "file.height", "file.matches")
 
 
 # -- cutting out ---------------------------------------------------------------------------------
