@@ -7,6 +7,7 @@ import pytest
 
 from framequarry.operators import flow, images, imaging
 from framequarry.plans import catalogue
+from framequarry.sources import jpeg, webp
 
 from .test_picture_work import _calls, _scenes
 
@@ -96,3 +97,42 @@ def test_scenes_rendered_for_uploads_are_those_of_the_pictures(spark, small):
         key = int(r["source_name"][1:-4])
         if key in wanted:
             assert r["payload"] == images.encode(images.pixels_of(wanted[key].asDict())[0], None, "tiff")
+
+
+def _pictures(channels: int) -> np.ndarray:
+    """An even one, one of noise, one of few colours, and a shaded disc."""
+    rng, (y, x) = np.random.default_rng(5), np.mgrid[0:36, 0:40]
+    disc = np.where((np.hypot(y - 18, x - 20) < 12)[..., None], np.stack([180 + y, 60 + x, 60 + (x + y) // 2, 255 - y], axis=2), 232)
+    return np.stack([np.full((36, 40, 4), 90), rng.integers(0, 256, (36, 40, 4)), rng.integers(0, 3, (36, 40, 4)) * 100, disc])[..., :channels].astype(np.uint8)
+
+
+@pytest.mark.parametrize("channels", [3, 4])
+def test_pictures_written_together_are_files_as_each_by_itself(channels):
+    pixels = _pictures(channels)
+    files = webp.all_encoded(pixels)
+    assert files == [webp.encode(p) for p in pixels]
+    assert all(np.array_equal(np.rint(webp.decode(f)[0] * 255), p) for f, p in zip(files, pixels, strict=True))
+    if channels == 3:
+        assert jpeg.all_encoded(pixels, 90, b"profile") == [jpeg.encode(p, 90, b"profile") for p in pixels]
+
+
+@pytest.mark.parametrize("channels", [3, 4])
+def test_pixels_read_at_once_are_those_read_one_by_one(monkeypatch, channels):
+    for pixels in _pictures(channels):
+        data = webp.encode(pixels)
+        ways = []
+        for few in (0, 1 << 30):
+            monkeypatch.setattr(webp, "FEW_PIXELS", few)
+            ways.append(webp.decode(data)[0])
+        assert np.array_equal(*ways)
+        monkeypatch.setattr(webp, "FEW_PIXELS", 0)
+        monkeypatch.setattr(webp, "STRETCH", 64)
+        assert np.array_equal(webp.decode(data)[0], ways[0])
+        with pytest.raises(webp.BadWebp):
+            webp.decode(data[:12] + data[12:16] + (len(data) - 50).to_bytes(4, "little") + data[20 : len(data) - 30])
+
+
+def test_writing_many_pictures_takes_few_calls():
+    pixels = np.concatenate([_pictures(3)[3:]] * 32)
+    assert _calls(lambda: jpeg.all_encoded(pixels)) < 32 * 500
+    assert _calls(lambda: webp.all_encoded(pixels)) < 32 * 1_400
